@@ -19,8 +19,8 @@ from quantframe.functions.costs import CryptoCost, FxCost
 from quantframe.operators import coint, costs, diagnostics, features, metrics, pairs, splits
 from quantframe.operators import signal_backtest as signal_bt
 from quantframe.operators import spread_backtest as spread_bt
-from quantframe.plans import keep_last, running_max, running_product, running_sum
-from quantframe.session import scratch_path
+from quantframe.plans import Layout, keep_last, measure_layout, running_max, running_product, running_sum
+from quantframe.session import materialize, scratch_path
 from quantframe.sources import coverage, history, klines, payloads, universe
 from quantframe.sources.specs import SNAPSHOT_SPECS, SPECS
 from quantframe.streaming import run_available, snapshot_batches, upsert_batches
@@ -68,8 +68,13 @@ def order_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices(spark, sf_dir).select("series_id", "ts", F.col("n_orders").alias("value"))
 
 
-def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = features.forward_returns(price_panel(spark, sf_dir), [1])
+def price_layout(spark: SparkSession, sf_dir: str) -> Layout:
+    """Measured once per query; pairs, folds and horizons of the panel have no longer series."""
+    return measure_layout(price_panel(spark, sf_dir))
+
+
+def returns(spark: SparkSession, sf_dir: str, layout: Layout) -> DataFrame:
+    wide = features.forward_returns(price_panel(spark, sf_dir), [1], layout=layout)
     return wide.select("series_id", "ts", F.col("fwd_1").alias("value"))
 
 
@@ -102,63 +107,71 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 # diagnostics -------------------------------------------------------------------------------------
 
 def q_forward_returns(spark, sf_dir):
-    wide = features.forward_returns(price_panel(spark, sf_dir), HORIZONS)
+    layout = price_layout(spark, sf_dir)
+    wide = features.forward_returns(price_panel(spark, sf_dir), HORIZONS, layout=layout)
     return rounded(wide.select("series_id", "ts", *(f"fwd_{h}" for h in HORIZONS)), *(f"fwd_{h}" for h in HORIZONS))
 
 
 def q_ic_decay(spark, sf_dir):
     panel = price_panel(spark, sf_dir)
-    return rounded(diagnostics.ic_decay(panel, HORIZONS, prices=panel), "ic")
+    return rounded(diagnostics.ic_decay(panel, HORIZONS, prices=panel, layout=price_layout(spark, sf_dir)), "ic")
 
 
 def q_ic_decay_wide(spark, sf_dir):
-    wide = features.forward_returns(price_panel(spark, sf_dir), HORIZONS)
+    layout = price_layout(spark, sf_dir)
+    wide = features.forward_returns(price_panel(spark, sf_dir), HORIZONS, layout=layout)
     forward = wide.select("series_id", "ts", *(f"fwd_{h}" for h in HORIZONS))
-    return rounded(diagnostics.ic_decay(order_factor(spark, sf_dir), forward_ret=forward), "ic")
+    return rounded(diagnostics.ic_decay(order_factor(spark, sf_dir), forward_ret=forward, layout=layout), "ic")
 
 
-def _factor_pairs(spark, sf_dir):
-    wide = features.forward_returns(prices(spark, sf_dir), [5])
+def _factor_pairs(spark, sf_dir, layout):
+    wide = features.forward_returns(prices(spark, sf_dir), [5], layout=layout)
     return wide.select("series_id", "ts", F.col("n_orders").alias("factor"), F.col("fwd_5").alias("fwd_ret"))
 
 
 def q_rank_ic(spark, sf_dir):
-    return rounded(diagnostics.rank_ic(_factor_pairs(spark, sf_dir)), "ic")
+    layout = price_layout(spark, sf_dir)
+    return rounded(diagnostics.rank_ic(_factor_pairs(spark, sf_dir, layout), layout=layout), "ic")
 
 
 def q_rank_ic_by_date(spark, sf_dir):
     """Cross-section: the groups are months instead of series."""
-    monthly = _factor_pairs(spark, sf_dir).withColumn("month", F.date_format("ts", "yyyy-MM"))
-    return rounded(diagnostics.rank_ic(monthly, keys=["month"]), "ic")
+    pairs_of_day = _factor_pairs(spark, sf_dir, price_layout(spark, sf_dir))
+    monthly = pairs_of_day.withColumn("month", F.date_format("ts", "yyyy-MM"))
+    by_month = measure_layout(price_panel(spark, sf_dir).select(F.date_format("ts", "yyyy-MM").alias("month"), "ts"), ["month"])
+    return rounded(diagnostics.rank_ic(monthly, keys=["month"], layout=by_month), "ic")
 
 
 def q_ic_direction(spark, sf_dir):
+    layout = price_layout(spark, sf_dir)
     folds = splits.walk_forward_splits(price_panel(spark, sf_dir), **FOLD)
-    train = splits.rows_in_folds(_factor_pairs(spark, sf_dir), folds, "train")
-    return rounded(diagnostics.ic_direction(train, keys=["series_id", "fold_idx"]), "ic")
+    train = splits.rows_in_folds(_factor_pairs(spark, sf_dir, layout), folds, "train")
+    return rounded(diagnostics.ic_direction(train, keys=["series_id", "fold_idx"], layout=layout), "ic")
 
 
 def q_quantile_returns(spark, sf_dir):
     panel = price_panel(spark, sf_dir)
-    return rounded(diagnostics.quantile_returns(panel, 5, horizon=5, prices=panel), "mean_return")
+    return rounded(diagnostics.quantile_returns(
+        panel, 5, horizon=5, prices=panel, layout=price_layout(spark, sf_dir)), "mean_return")
 
 
 def q_quantile_returns_wide(spark, sf_dir):
     """Precomputed returns and a coarse factor, whose tied edges some series cannot be cut at."""
-    wide = features.forward_returns(price_panel(spark, sf_dir), [5]).select("series_id", "ts", "fwd_5")
+    layout = price_layout(spark, sf_dir)
+    wide = features.forward_returns(price_panel(spark, sf_dir), [5], layout=layout).select("series_id", "ts", "fwd_5")
     coarse = price_panel(spark, sf_dir).withColumn("value", F.floor(F.col("value") / 20000).cast("double"))
-    return rounded(diagnostics.quantile_returns(coarse, 4, forward_ret=wide), "mean_return")
+    return rounded(diagnostics.quantile_returns(coarse, 4, forward_ret=wide, layout=layout), "mean_return")
 
 
 # features ----------------------------------------------------------------------------------------
 
 def q_zscore_rolling(spark, sf_dir):
-    scored = features.zscore(price_panel(spark, sf_dir), "rolling", ZSCORE_WINDOW)
+    scored = features.zscore(price_panel(spark, sf_dir), "rolling", ZSCORE_WINDOW, layout=price_layout(spark, sf_dir))
     return rounded(scored.select("series_id", "ts", "zscore"), "zscore")
 
 
 def q_zscore_expanding(spark, sf_dir):
-    scored = features.zscore(price_panel(spark, sf_dir), "expanding", ZSCORE_WINDOW)
+    scored = features.zscore(price_panel(spark, sf_dir), "expanding", ZSCORE_WINDOW, layout=price_layout(spark, sf_dir))
     return rounded(scored.select("series_id", "ts", "zscore"), "zscore")
 
 
@@ -168,13 +181,13 @@ def q_zscore_fixed(spark, sf_dir):
     return rounded(scored.select("series_id", "ts", "fold_idx", "zscore"), "zscore")
 
 
-def _signals(spark, sf_dir):
-    scored = features.zscore(price_panel(spark, sf_dir), "rolling", ZSCORE_WINDOW)
+def _signals(spark, sf_dir, layout):
+    scored = features.zscore(price_panel(spark, sf_dir), "rolling", ZSCORE_WINDOW, layout=layout)
     return features.add_threshold_signal(scored, "zscore", 0.5).select("series_id", "ts", "signal")
 
 
 def q_threshold_signal(spark, sf_dir):
-    return _signals(spark, sf_dir)
+    return _signals(spark, sf_dir, price_layout(spark, sf_dir))
 
 
 # splits ------------------------------------------------------------------------------------------
@@ -203,41 +216,49 @@ def q_select_dates(spark, sf_dir):
 
 # metrics -----------------------------------------------------------------------------------------
 
+def _returns(spark, sf_dir):
+    return returns(spark, sf_dir, price_layout(spark, sf_dir))
+
+
+
 def q_sharpe(spark, sf_dir):
-    return rounded(metrics.sharpe(returns(spark, sf_dir), 1, 252, risk_free=0.03), "sharpe")
+    return rounded(metrics.sharpe(_returns(spark, sf_dir), 1, 252, risk_free=0.03), "sharpe")
 
 
 def q_sortino(spark, sf_dir):
-    return rounded(metrics.sortino(returns(spark, sf_dir), 1, 252, risk_free=0.03), "sortino")
+    return rounded(metrics.sortino(_returns(spark, sf_dir), 1, 252, risk_free=0.03), "sortino")
 
 
 def q_max_drawdown(spark, sf_dir):
-    return rounded(metrics.max_drawdown(price_panel(spark, sf_dir)), "max_drawdown")
+    return rounded(metrics.max_drawdown(price_panel(spark, sf_dir), layout=price_layout(spark, sf_dir)), "max_drawdown")
 
 
 def q_calmar(spark, sf_dir):
-    return rounded(metrics.calmar(returns(spark, sf_dir), 1, 252), "calmar", "max_drawdown")
+    layout = price_layout(spark, sf_dir)
+    return rounded(metrics.calmar(returns(spark, sf_dir, layout), 1, 252, layout=layout), "calmar", "max_drawdown")
 
 
 def q_win_rate(spark, sf_dir):
-    return rounded(metrics.win_rate(returns(spark, sf_dir)), "win_rate")
+    return rounded(metrics.win_rate(_returns(spark, sf_dir)), "win_rate")
 
 
 def q_profit_factor(spark, sf_dir):
-    return rounded(metrics.profit_factor(returns(spark, sf_dir)), "profit_factor")
+    return rounded(metrics.profit_factor(_returns(spark, sf_dir)), "profit_factor")
 
 
 def q_metric_flags(spark, sf_dir):
-    return rounded(metrics.metric_flags(returns(spark, sf_dir)), "lag1_autocorr")
+    layout = price_layout(spark, sf_dir)
+    return rounded(metrics.metric_flags(returns(spark, sf_dir, layout), layout=layout), "lag1_autocorr")
 
 
 def q_equity_curves(spark, sf_dir):
     """Compounded and additive equity and the drawdown below the running peak."""
-    daily = returns(spark, sf_dir).dropna()
+    layout = price_layout(spark, sf_dir)
+    daily = returns(spark, sf_dir, layout).dropna()
     keys = ["series_id"]
-    compounded = running_product(daily, keys, F.col("value") + 1.0, "equity")
-    peaked = running_max(compounded, keys, F.col("equity"), "peak")
-    both = running_sum(peaked, keys, F.col("value"), "total")
+    compounded = running_product(daily, keys, F.col("value") + 1.0, "equity", layout=layout)
+    peaked = running_max(compounded, keys, F.col("equity"), "peak", layout=layout)
+    both = running_sum(peaked, keys, F.col("value"), "total", layout=layout)
     return rounded(both.select("series_id", "ts", "equity", (F.col("total") + 1.0).alias("additive_equity"),
                                (F.col("equity") / F.col("peak") - 1.0).alias("drawdown")),
                    "equity", "additive_equity", "drawdown")
@@ -251,18 +272,18 @@ def q_build_spread(spark, sf_dir):
 
 
 def q_hedge_ratio(spark, sf_dir):
-    rolled = pairs.rolling_hedge_ratio(aligned(spark, sf_dir), 60)
+    rolled = pairs.rolling_hedge_ratio(aligned(spark, sf_dir), 60, layout=price_layout(spark, sf_dir))
     hedged = pairs.build_spread(rolled, F.col("hedge_ratio"))
     return hedged.select("a_id", "b_id", "ts", F.round("hedge_ratio", PLACES).alias("hedge_ratio"),
                          F.round("spread", 4).alias("spread"))
 
 
 def q_half_life(spark, sf_dir):
-    return rounded(pairs.half_life(spreads(spark, sf_dir)), "half_life")
+    return rounded(pairs.half_life(spreads(spark, sf_dir), layout=price_layout(spark, sf_dir)), "half_life")
 
 
 def q_coint_screen(spark, sf_dir):
-    screened = coint.coint_screen(aligned(spark, sf_dir))
+    screened = coint.coint_screen(aligned(spark, sf_dir), layout=price_layout(spark, sf_dir))
     numbers = [f.name for f in screened.schema if f.dataType.typeName() == "double"]
     return rounded(screened, *numbers)
 
@@ -272,19 +293,28 @@ def q_coint_screen(spark, sf_dir):
 _TRADE_NUMBERS = ("entry_price", "exit_price", "gross_return", "net_return")
 
 
+def _trades(spark, sf_dir, cost_bps):
+    layout = price_layout(spark, sf_dir)
+    return signal_bt.signal_trades(
+        _signals(spark, sf_dir, layout), price_panel(spark, sf_dir), 14, cost_bps, layout=layout)
+
+
 def q_signal_trades(spark, sf_dir):
-    return rounded(signal_bt.signal_trades(_signals(spark, sf_dir), price_panel(spark, sf_dir), 14, 5.0),
-                   *_TRADE_NUMBERS)
+    return rounded(_trades(spark, sf_dir, 5.0), *_TRADE_NUMBERS)
 
 
 def q_signal_summary(spark, sf_dir):
-    summary = signal_bt.run_signal_backtest(_signals(spark, sf_dir), price_panel(spark, sf_dir), 14, 5.0)["summary"]
+    layout = price_layout(spark, sf_dir)
+    summary = signal_bt.run_signal_backtest(
+        _signals(spark, sf_dir, layout), price_panel(spark, sf_dir), 14, 5.0, layout=layout)["summary"]
     return rounded(summary, "sharpe", "max_drawdown", "win_rate", "profit_factor", "avg_return_pct")
 
 
 def q_signal_sweep(spark, sf_dir):
     params = [{"holding_days": h, "cost_bps": c} for h in (5, 14, 30) for c in (0.0, 10.0)]
-    summary = signal_bt.sweep_signal_backtest(_signals(spark, sf_dir), price_panel(spark, sf_dir), params)["summary"]
+    layout = price_layout(spark, sf_dir)
+    summary = signal_bt.sweep_signal_backtest(
+        _signals(spark, sf_dir, layout), price_panel(spark, sf_dir), params, layout=layout)["summary"]
     return rounded(summary, "sharpe", "max_drawdown", "win_rate", "profit_factor", "avg_return_pct").drop("param_id")
 
 
@@ -293,31 +323,31 @@ def q_walk_forward_backtest(spark, sf_dir):
     of every fold."""
     panel = price_panel(spark, sf_dir)
     keys = ["series_id", "fold_idx"]
-    folds = splits.walk_forward_splits(panel, **FOLD)
+    layout = price_layout(spark, sf_dir)
+    folds = materialize(splits.walk_forward_splits(panel, **FOLD))
     direction = diagnostics.ic_direction(
-        splits.rows_in_folds(_factor_pairs(spark, sf_dir), folds, "train"), keys=keys)
+        splits.rows_in_folds(_factor_pairs(spark, sf_dir, layout), folds, "train"), keys=keys, layout=layout)
     scored = splits.zscore_by_fold(order_factor(spark, sf_dir), folds)
     signals = features.add_threshold_signal(scored, "zscore", 0.5).join(direction, keys).select(
         *keys, "ts", (F.col("signal") * F.col("direction")).alias("signal"))
     tests = splits.rows_in_folds(panel, folds, "test")
-    summary = signal_bt.run_signal_backtest(signals, tests, 5, 5.0, keys=keys)["summary"]
+    summary = signal_bt.run_signal_backtest(signals, tests, 5, 5.0, keys=keys, layout=layout)["summary"]
     return rounded(summary, "sharpe", "max_drawdown", "win_rate", "profit_factor", "avg_return_pct")
 
 
 def q_trade_costs(spark, sf_dir):
-    trades = signal_bt.signal_trades(_signals(spark, sf_dir), price_panel(spark, sf_dir), 14, 0.0)
+    trades = _trades(spark, sf_dir, 0.0)
     held = F.datediff("exit_date", "entry_date")
     size = F.col("entry_price")
     costed = costs.with_costs(trades, CryptoCost(5.0), size, name="crypto_cost")
     costed = costs.with_costs(costed, FxCost(1.5, 0.0001, -0.00001), size, held, "fx_cost")
     costed = costs.with_costs(costed, lambda notional, days: notional * 0.0002 + days * 0.5, size, held, "own_cost")
-    return rounded(costed.select("series_id", "entry_date", "crypto_cost", "fx_cost", "own_cost"),
-                   "crypto_cost", "fx_cost", "own_cost")
+    return costed.select("series_id", "entry_date", "crypto_cost", "fx_cost", "own_cost")
 
 
 def q_instrument_costs(spark, sf_dir):
     """Costs from a table per instrument, here read off the customers of each priority."""
-    trades = signal_bt.signal_trades(_signals(spark, sf_dir), price_panel(spark, sf_dir), 14, 0.0)
+    trades = _trades(spark, sf_dir, 0.0)
     per_series = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("series_id")).agg(
         (F.countDistinct("o_custkey") / 1000.0).alias("taker_bps"))
     urgent = F.col("series_id").startswith("1")
@@ -325,11 +355,12 @@ def q_instrument_costs(spark, sf_dir):
         "series_id", F.when(urgent, "fx").otherwise("crypto").alias("kind"), "taker_bps",
         F.lit(1.5).alias("spread_pips"), F.lit(0.0001).alias("pip_value"), F.lit(0.00002).alias("swap_per_day"))
     costed = costs.with_instrument_costs(trades, priced, F.col("entry_price"), F.datediff("exit_date", "entry_date"))
-    return rounded(costed.select("series_id", "entry_date", "cost"), "cost")
+    return costed.select("series_id", "entry_date", "cost")
 
 
 def _spread_run(spark, sf_dir):
-    return spread_bt.run_spread_backtest(spreads(spark, sf_dir), trading_days_per_year=252, **vars(SPREAD_RULES))
+    return spread_bt.run_spread_backtest(
+        spreads(spark, sf_dir), trading_days_per_year=252, layout=price_layout(spark, sf_dir), **vars(SPREAD_RULES))
 
 
 def q_spread_trades(spark, sf_dir):

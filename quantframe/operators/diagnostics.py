@@ -12,6 +12,7 @@ from quantframe.functions.columns import is_finite, missing_as_null, safe_corr
 from quantframe.operators.features import SERIES, check_horizons, forward_returns
 from quantframe.plans.layout import DEFAULT_LAYOUT, Layout
 from quantframe.plans.ranks import average_ranks, ordered_counts
+from quantframe.session import materialize
 
 MIN_IC_ROWS = 10
 
@@ -25,7 +26,7 @@ def rank_ic(pairs: DataFrame, factor: str = "factor", forward: str = "fwd_ret",
     """
     valid = pairs.filter(is_finite(F.col(factor)) & is_finite(F.col(forward))).select(
         *keys, F.col(factor).cast("double").alias("_x"), F.col(forward).cast("double").alias("_y"))
-    ranked = average_ranks(average_ranks(valid, keys, "_x", "_rx", layout), keys, "_y", "_ry", layout)
+    ranked = average_ranks(valid, keys, {"_x": "_rx", "_y": "_ry"}, layout)
     scored = ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_finite"), safe_corr(F.col("_rx"), F.col("_ry")).alias("_corr"))
     ic = F.when(F.col("n_finite") >= MIN_IC_ROWS, F.col("_corr"))
@@ -176,6 +177,8 @@ def quantile_returns(factor: DataFrame, n_quantiles: int = 5, horizon: int | Non
     forward = returns.select(*keys, ts, missing_as_null(F.col(column)).alias("fwd_ret"))
     rows = _factor_rows(factor, keys, ts, value).join(forward, [*keys, ts]).dropna(
         subset=["factor", "fwd_ret"])
+    if not layout.fits_one_task:
+        rows = materialize(rows)
     edges = quantile_edges(rows, keys, "factor", n_quantiles, layout)
     status = (
         F.when(F.coalesce(F.col("total"), F.lit(0)) < n_quantiles, "too_few_rows")

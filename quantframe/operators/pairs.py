@@ -5,14 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from quantframe.functions.columns import INF, as_column, missing_as_null
 from quantframe.operators.features import SERIES
-from quantframe.plans.halo import drop_halo, in_block, with_halo
+from quantframe.plans.halo import over_rows
 from quantframe.plans.layout import DEFAULT_LAYOUT, Layout
-from quantframe.plans.scan import index_rows, previous_row
+from quantframe.plans.scan import previous_row
 
 PAIR = ("a_id", "b_id")
 MIN_SXX = 1e-10
@@ -45,12 +46,14 @@ def rolling_hedge_ratio(aligned: DataFrame, window: int = 60, keys: Sequence[str
 
     NULL on the first ``window`` rows, with a gap in the frame, or when b hardly varies.
     """
-    blocks = with_halo(index_rows(aligned, keys, ts, layout), before=window, layout=layout)
-    frame = in_block(keys).rowsBetween(-window, -1)
     y, x = missing_as_null(F.col(a)), missing_as_null(F.col(b))
-    full = F.count(y + x).over(frame) == window
-    slope = F.when(full & (F.regr_sxx(y, x).over(frame) >= MIN_SXX), F.regr_slope(y, x).over(frame))
-    return drop_halo(blocks.withColumn(name, slope), layout)
+
+    def slope(rows: WindowSpec) -> dict[str, Column]:
+        frame = rows.rowsBetween(-window, -1)
+        usable = (F.count(y + x).over(frame) == window) & (F.regr_sxx(y, x).over(frame) >= MIN_SXX)
+        return {name: F.when(usable, F.regr_slope(y, x).over(frame))}
+
+    return over_rows(aligned, keys, ts, slope, before=window, layout=layout)
 
 
 def half_life(spread: DataFrame, keys: Sequence[str] = SERIES, ts: str = "ts", value: str = "value",

@@ -12,7 +12,7 @@ from quantframe.functions.costs import BPS
 from quantframe.operators.features import SERIES
 from quantframe.operators.metrics import (
     compounded_drawdown, profit_factor_agg, sharpe_agg, win_rate_agg)
-from quantframe.plans.halo import drop_halo, in_block, with_halo
+from quantframe.plans.halo import over_rows
 from quantframe.plans.layout import DEFAULT_LAYOUT, Layout
 from quantframe.plans.scan import ROW_INDEX, index_rows
 
@@ -44,9 +44,8 @@ def signal_trade_grid(signals: DataFrame, prices: DataFrame, params: Sequence[Ma
     numbered = sampled.withColumn(
         ROW_INDEX, (F.col(ROW_INDEX) / F.col("holding_days")).cast("long"))
     groups = [*keys, *PARAMS]
-    inside = in_block(groups)
-    paired = drop_halo(with_halo(numbered, after=1, layout=layout).withColumns({
-        "exit_date": F.lead(ts).over(inside), "exit_price": F.lead("_price").over(inside)}), layout)
+    paired = over_rows(numbered, groups, ts, lambda rows: {
+        "exit_date": F.lead(ts).over(rows), "exit_price": F.lead("_price").over(rows)}, after=1, layout=layout)
     opened = paired.withColumn("position", F.col("_signal").cast("int")).filter(
         F.col("exit_date").isNotNull() & (F.col("position") != 0) & (F.col("_price") > 0))
     gross = F.col("position") * (F.col("exit_price") / F.col("_price") - 1)

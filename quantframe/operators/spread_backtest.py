@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from quantframe.functions.columns import INF, is_finite, missing_as_null
 from quantframe.operators import positions
-from quantframe.operators.features import SERIES, add_rolling_zscores
+from quantframe.operators.features import SERIES, rolling_zscore_column
 from quantframe.operators.metrics import max_drawdown, sharpe_agg
 from quantframe.plans.halo import BLOCK, drop_halo, in_block, with_halo
 from quantframe.plans.layout import DEFAULT_LAYOUT, Layout
@@ -55,9 +55,11 @@ def _scored_bars(spread: DataFrame, rules: Sequence[SpreadRules], keys: Sequence
     indexed = index_rows(present, keys, ts, layout, series_rows=True)
     lookbacks = sorted({r.lookback for r in rules})
     blocks = with_halo(indexed, before=max(max(lookbacks) - 1, 1), layout=layout)
+    rows = in_block(keys)
     columns = {f"_z{n}": n for n in lookbacks}
-    scored = add_rolling_zscores(blocks, keys, "spread", columns).withColumn(
-        "change", F.col("spread") - F.lag("spread").over(in_block(keys)))
+    scored = blocks.withColumns({
+        **{c: rolling_zscore_column(rows, "spread", n) for c, n in columns.items()},
+        "change": F.col("spread") - F.lag("spread").over(rows)})
     bars = drop_halo(scored, layout, keep_block=True).withColumn("_rule", F.explode(_rule_literals(rules)))
     bars = bars.select(*[c for c in bars.columns if c != "_rule"], "_rule.*")
     z = F.coalesce(*(F.when(F.col("lookback") == n, F.col(c)) for c, n in columns.items()))
@@ -80,7 +82,7 @@ def _schema_of(df: DataFrame, columns: Sequence[str], extra: str) -> T.StructTyp
     return T.StructType([df.schema[c] for c in columns] + T.StructType.fromDDL(extra).fields)
 
 
-def _marked_bars(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _marked_bars(bars: DataFrame, keys: Sequence[str], layout: Layout) -> DataFrame:
     """Bars with the position held into them and the trades they open or close."""
     groups = [*keys, PARAM]
 
@@ -99,12 +101,15 @@ def _marked_bars(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
         marked = positions.mark_bars(ordered, int(ordered["state"].iloc[0]), last)
         return marked.drop(columns=["state"])
 
-    map_schema = _schema_of(bars, [*groups, BLOCK], positions.MAP_SCHEMA)
-    maps = bars.groupBy(*groups, BLOCK).applyInPandas(to_map, map_schema)
-    # one map per block: a group here holds (rows of the series / block_rows) rows
-    states = maps.groupBy(*groups).applyInPandas(
-        to_states, _schema_of(bars, [*groups, BLOCK], "state long"))
-    entered = bars.join(states, [*groups, BLOCK])
+    if layout.fits_one_task:
+        entered = bars.withColumn("state", F.lit(0).cast("long"))
+    else:
+        map_schema = _schema_of(bars, [*groups, BLOCK], positions.MAP_SCHEMA)
+        maps = bars.groupBy(*groups, BLOCK).applyInPandas(to_map, map_schema)
+        # one map per block: a group here holds (rows of the series / block_rows) rows
+        states = maps.groupBy(*groups).applyInPandas(
+            to_states, _schema_of(bars, [*groups, BLOCK], "state long"))
+        entered = bars.join(states, [*groups, BLOCK])
     return entered.select(*bars.columns, "state").groupBy(*groups, BLOCK).applyInPandas(
         to_marks, _schema_of(bars, bars.columns, positions.MARK_SCHEMA))
 
@@ -184,7 +189,7 @@ def sweep_spread_backtest(spread: DataFrame, rules: Sequence[SpreadRules], tradi
     """
     if any(r.capital_base <= 0 for r in rules):
         raise ValueError("capital_base must be positive")
-    marked = materialize(_marked_bars(_scored_bars(spread, rules, keys, ts, value, layout), keys))
+    marked = materialize(_marked_bars(_scored_bars(spread, rules, keys, ts, value, layout), keys, layout))
     trades = _trades(marked, keys)
     equity = _equity(marked, trades, keys, layout)
     series = spread.select(*keys).distinct().withColumn("_rule", F.explode(_rule_literals(rules)))

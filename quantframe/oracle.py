@@ -368,14 +368,14 @@ names AS (SELECT DISTINCT series_id, fold_idx FROM prices JOIN folds ON ts BETWE
 {signal_trades("directed", keys, "5", "5.0")}, {signal_summary(keys, "names", "5")}"""
     sql["trade_costs"] = f"""WITH {FREE_TRADES}, held AS (
   SELECT *, date_diff('day', entry_date, exit_date) AS days FROM trades)
-SELECT series_id, entry_date, {r("entry_price * 5.0 * 2 / 10000")} AS crypto_cost,
-       {r("entry_price * 1.5 * 0.0001 + entry_price * 0.00001 * days")} AS fx_cost,
-       {r("entry_price * 0.0002 + days * 0.5")} AS own_cost FROM held"""
+SELECT series_id, entry_date, entry_price * 5.0 * 2 / 10000 AS crypto_cost,
+       entry_price * 1.5 * 0.0001 + entry_price * 0.00001 * days AS fx_cost,
+       entry_price * 0.0002 + days * 0.5 AS own_cost FROM held"""
     sql["instrument_costs"] = f"""WITH {FREE_TRADES}, fees AS (
   SELECT o_orderpriority AS series_id, count(DISTINCT o_custkey) / 1000.0 AS taker_bps FROM orders GROUP BY 1)
-SELECT series_id, entry_date, {r('''CASE WHEN series_id LIKE '1%'
+SELECT series_id, entry_date, CASE WHEN series_id LIKE '1%'
          THEN entry_price * 1.5 * 0.0001 + entry_price * 0.00002 * date_diff('day', entry_date, exit_date)
-         ELSE entry_price * taker_bps * 2 / 10000 END''')} AS cost FROM trades JOIN fees USING (series_id)"""
+         ELSE entry_price * taker_bps * 2 / 10000 END AS cost FROM trades JOIN fees USING (series_id)"""
 
     spread_walk = SPREAD_WALK
     sql["spread_trades"] = f"""WITH RECURSIVE {spread_walk} SELECT series_id, {trade_columns}, {r("entry_z")} AS entry_z,

@@ -1,7 +1,9 @@
-"""How one long series is cut into bounded pieces.
+"""How one long series is cut into bounded pieces, and when it does not have to be.
 
-A window keyed by series alone would sort a whole series in one task, and one series may hold a
-third of all rows. Operators therefore key their windows by (series, piece):
+A window keyed by series alone sorts a whole series in one task. That is the cheapest plan while every
+series is known to fit, and no plan at all when one series holds a third of all rows. ``measure_layout``
+counts the longest series with one small aggregate. Up to ``task_rows`` operators use plain keyed
+windows; beyond it, or when nothing was measured, they key their windows by (series, piece):
 
 * ``chunk``: a fixed span of calendar hours, a pure function of the timestamp;
 * ``block``: a fixed number of rows, a pure function of the row index inside the series.
@@ -11,6 +13,7 @@ Both are deterministic, so a task that is run again after a lost executor builds
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,8 +23,16 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Layout:
+    """``longest_series`` is the measured row count of the longest series, None if unknown."""
+
     chunk_hours: int = 90 * 24
     block_rows: int = 65_536
+    longest_series: int | None = None
+    task_rows: int = 1_000_000
+
+    @property
+    def fits_one_task(self) -> bool:
+        return self.longest_series is not None and self.longest_series <= self.task_rows
 
 
 DEFAULT_LAYOUT = Layout()
@@ -31,19 +42,29 @@ def hours_since_epoch(ts: Column) -> Column:
     return F.datediff(ts, F.lit("1970-01-01").cast("date")) * 24 + F.hour(ts)
 
 
+def _is_integer(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+
+
 def chunk_of(df: DataFrame, ts: str, layout: Layout) -> Column:
     """Chunk number of a row. An integer order column is cut by value instead of by hours."""
-    if isinstance(df.schema[ts].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+    if layout.fits_one_task:
+        return F.lit(0).cast("long")
+    if _is_integer(df, ts):
         return F.floor(F.col(ts) / layout.block_rows)
     return F.floor(hours_since_epoch(F.col(ts)) / layout.chunk_hours)
 
 
-def suggest_layout(panel: DataFrame, keys=("series_id",), ts: str = "ts",
-                   target_rows: int = 1_000_000) -> Layout:
-    """Chunk width that keeps the densest (series, day) within ``target_rows`` per chunk.
+def measure_layout(panel: DataFrame, keys: Sequence[str] = ("series_id",), ts: str = "ts",
+                   task_rows: int = Layout.task_rows) -> Layout:
+    """Layout for a panel, and for whatever is derived from it without adding rows to a series.
 
-    Runs one small aggregate; only its single number reaches the driver.
+    One aggregate over the key and time columns, combined map-side; two numbers reach the driver. If a
+    series is too long for one task, chunks are made so narrow that the densest one fits.
     """
-    per_hour = panel.groupBy(*keys, hours_since_epoch(F.col(ts)).alias("hour")).count()
-    densest = per_hour.agg(F.max("count")).first()[0] or 1
-    return Layout(chunk_hours=max(1, target_rows // densest))
+    hour = F.lit(0) if _is_integer(panel, ts) else hours_since_epoch(F.col(ts))
+    per_hour = panel.groupBy(*keys, hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_rows"))
+    per_series = per_hour.groupBy(*keys).agg(F.sum("_rows").alias("_rows"), F.max("_rows").alias("_densest"))
+    longest, densest = per_series.agg(F.max("_rows"), F.max("_densest")).first()
+    width = max(1, task_rows // max(densest or 1, 1))
+    return Layout(chunk_hours=width, longest_series=longest or 0, task_rows=task_rows)

@@ -9,12 +9,13 @@ are exact for any choice of split points.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantframe.plans.layout import DEFAULT_LAYOUT, Layout
+from quantframe.session import materialize
 
 MAX_SPLITS_LOG2 = 12
 RANGE = "_range"
@@ -40,33 +41,47 @@ def ordered_counts(df: DataFrame, keys: Sequence[str], value: str,
     """One row per distinct value with its count ``n``, the count ``below`` it, and per group the
     number of rows ``total`` and of distinct values ``distinct_total``. Values must not be NULL."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy(*keys)
+    unbounded = (Window.unboundedPreceding, Window.currentRow)
+    if layout.fits_one_task:
+        upto = F.sum("n").over(whole.orderBy(value).rowsBetween(*unbounded))
+        return counts.select(*keys, value, "n", (upto - F.col("n")).alias("below"),
+                             F.sum("n").over(whole).alias("total"), F.count(F.lit(1)).over(whole).alias("distinct_total"))
     splits = (
-        counts.filter(F.pmod(F.xxhash64(value), F.lit(layout.block_rows)) == 0)
+        df.filter(F.pmod(F.xxhash64(value), F.lit(layout.block_rows)) == 0)
         .groupBy(*keys).agg(_thin(F.sort_array(F.collect_set(value))).alias("_splits"))
     )
     ranged = counts.join(splits, list(keys), "left").withColumn(
         RANGE, F.coalesce(_lower_bound(F.col("_splits"), F.col(value)), F.lit(0))).drop("_splits")
-
-    whole = Window.partitionBy(*keys)
     earlier = whole.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranged.groupBy(*keys, RANGE).agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_d"))
     offsets = ranges.select(
         *keys, RANGE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
         F.sum("_n").over(whole).alias("total"), F.sum("_d").over(whole).alias("distinct_total"))
-    inside = Window.partitionBy(*keys, RANGE).orderBy(value)
-    upto = F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    upto = F.sum("n").over(Window.partitionBy(*keys, RANGE).orderBy(value).rowsBetween(*unbounded))
     return ranged.join(offsets, [*keys, RANGE]).select(
         *keys, value, "n", (F.col("_offset") + upto - F.col("n")).alias("below"),
         "total", "distinct_total")
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str,
+def average_ranks(df: DataFrame, keys: Sequence[str], values: Mapping[str, str],
                   layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
-    """Add the rank of ``value`` inside its group; tied rows share the mean of their ranks.
+    """Add the rank of each column of ``values`` inside its group, under the name mapped to it; tied
+    rows share the mean of their ranks.
 
-    The join back is on (keys, value). A value shared by very many rows makes one large probe
-    partition, which adaptive execution splits; its other side is a single row.
+    Groups that fit one task are ranked by windows, all columns over one shuffle. Otherwise the counts
+    of distinct values are joined back on (keys, value): a value shared by very many rows makes one
+    large probe partition, which adaptive execution splits, against a single row on the other side.
     """
-    ranks = ordered_counts(df, keys, value, layout).select(
-        *keys, value, (F.col("below") + (F.col("n") + 1) / 2).alias(name))
-    return df.join(ranks, [*keys, value])
+    if layout.fits_one_task:
+        return df.withColumns({
+            name: F.rank().over(Window.partitionBy(*keys).orderBy(value))
+            + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2
+            for value, name in values.items()})
+    rows = materialize(df)
+    ranked = rows
+    for value, name in values.items():
+        ranks = ordered_counts(rows, keys, value, layout).select(
+            *keys, value, (F.col("below") + (F.col("n") + 1) / 2).alias(name))
+        ranked = ranked.join(ranks, [*keys, value])
+    return ranked

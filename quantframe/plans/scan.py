@@ -1,13 +1,14 @@
-"""Running computations over long series in two levels.
+"""Running computations over series of any length.
 
 Level one works inside (series, chunk). Level two is a table with one row per (series, chunk); its
-prefix values are joined back as carries. The join and the windows that follow use the same
-hash partitioning, so the panel itself is shuffled once.
+prefix values are joined back as carries. The join and the windows that follow use the same hash
+partitioning, so the panel itself is shuffled once. A series that fits one task is one chunk without
+carries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +20,6 @@ CHUNK = "_chunk"
 ROW_INDEX = "row_index"
 SERIES_ROWS = "series_rows"
 
-Prefix = Callable[[WindowSpec], Column]
-
 
 def with_chunk(df: DataFrame, ts: str, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     return df.withColumn(CHUNK, chunk_of(df, ts, layout))
@@ -57,53 +56,60 @@ def index_rows(df: DataFrame, keys: Sequence[str], ts: str = "ts",
     """
     if ROW_INDEX in df.columns and (not series_rows or SERIES_ROWS in df.columns):
         return df
-    earlier = F.coalesce(F.sum("_n").over(earlier_chunks(keys)), F.lit(0))
-    carries = {"_rows_before": earlier}
+    bare = df.drop(ROW_INDEX, SERIES_ROWS)
+    whole = Window.partitionBy(*keys)
+    if layout.fits_one_task:
+        columns = {ROW_INDEX: (F.row_number().over(whole.orderBy(ts)) - 1).cast("long")}
+        if series_rows:
+            columns[SERIES_ROWS] = F.count(F.lit(1)).over(whole)
+        return bare.withColumns(columns)
+    carries = {"_before": F.coalesce(F.sum("_n").over(earlier_chunks(keys)), F.lit(0))}
     if series_rows:
-        carries[SERIES_ROWS] = F.sum("_n").over(Window.partitionBy(*keys))
-    counted = carry_in(with_chunk(df.drop(ROW_INDEX, SERIES_ROWS), ts, layout), keys,
-                       {"_n": F.count(F.lit(1))}, carries)
-    position = F.col("_rows_before") + F.row_number().over(in_chunk(keys, ts)) - 1
-    return counted.withColumn(ROW_INDEX, position.cast("long")).drop(CHUNK, "_rows_before")
+        carries[SERIES_ROWS] = F.sum("_n").over(whole)
+    counted = carry_in(with_chunk(bare, ts, layout), keys, {"_n": F.count(F.lit(1))}, carries)
+    position = F.col("_before") + F.row_number().over(in_chunk(keys, ts)) - 1
+    return counted.withColumn(ROW_INDEX, position.cast("long")).drop(CHUNK, "_before")
+
+
+def _running(df: DataFrame, keys: Sequence[str], value: Column, name: str, ts: str, layout: Layout,
+             aggregate, combine) -> DataFrame:
+    """``aggregate`` folds the rows of a chunk as well as the chunks; ``combine`` adds the carry."""
+    staged = with_chunk(df.withColumn("_step", value), ts, layout)
+    inside = aggregate("_step").over(running_in_chunk(keys, ts))
+    if layout.fits_one_task:
+        return staged.withColumn(name, inside).drop(CHUNK, "_step")
+    carried = carry_in(staged, keys, {"_total": aggregate("_step")},
+                       {"_carry": aggregate("_total").over(earlier_chunks(keys))})
+    return carried.withColumn(name, combine(F.col("_carry"), inside)).drop(CHUNK, "_step", "_carry")
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], value: Column, name: str, ts: str = "ts",
                 layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     """Cumulative sum of ``value`` per series."""
-    staged = with_chunk(df.withColumn("_step", value), ts, layout)
-    carried = carry_in(staged, keys, {"_sum": F.sum("_step")},
-                       {"_carry": F.sum("_sum").over(earlier_chunks(keys))})
-    total = F.coalesce(F.col("_carry"), F.lit(0.0)) + F.sum("_step").over(running_in_chunk(keys, ts))
-    return carried.withColumn(name, total).drop(CHUNK, "_step", "_carry")
+    return _running(df, keys, value, name, ts, layout, F.sum,
+                    lambda carry, inside: F.coalesce(carry, F.lit(0.0)) + inside)
 
 
 def running_product(df: DataFrame, keys: Sequence[str], value: Column, name: str, ts: str = "ts",
                     layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     """Cumulative product of ``value`` per series."""
-    staged = with_chunk(df.withColumn("_step", value), ts, layout)
-    carried = carry_in(staged, keys, {"_prod": F.product("_step")},
-                       {"_carry": F.product("_prod").over(earlier_chunks(keys))})
-    total = F.coalesce(F.col("_carry"), F.lit(1.0)) * F.product("_step").over(running_in_chunk(keys, ts))
-    return carried.withColumn(name, total).drop(CHUNK, "_step", "_carry")
+    return _running(df, keys, value, name, ts, layout, F.product,
+                    lambda carry, inside: F.coalesce(carry, F.lit(1.0)) * inside)
 
 
 def running_max(df: DataFrame, keys: Sequence[str], value: Column, name: str, ts: str = "ts",
                 layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     """Cumulative maximum of ``value`` per series."""
-    staged = with_chunk(df.withColumn("_step", value), ts, layout)
-    carried = carry_in(staged, keys, {"_top": F.max("_step")},
-                       {"_carry": F.max("_top").over(earlier_chunks(keys))})
-    top = F.greatest(F.col("_carry"), F.max("_step").over(running_in_chunk(keys, ts)))
-    return carried.withColumn(name, top).drop(CHUNK, "_step", "_carry")
+    return _running(df, keys, value, name, ts, layout, F.max, F.greatest)
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], value: str, name: str, ts: str = "ts",
                  layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     """Value of the row before, across chunk borders; NULL on the first row of a series."""
-    last_of_chunk = F.max_by(value, ts)
+    if layout.fits_one_task:
+        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(ts)))
     before = F.lag("_last").over(Window.partitionBy(*keys).orderBy(CHUNK))
-    carried = carry_in(with_chunk(df, ts, layout), keys, {"_last": last_of_chunk}, {"_carry": before})
+    carried = carry_in(with_chunk(df, ts, layout), keys, {"_last": F.max_by(value, ts)}, {"_carry": before})
     inside = in_chunk(keys, ts)
-    first = F.row_number().over(inside) == 1
-    prior = F.when(first, F.col("_carry")).otherwise(F.lag(value).over(inside))
+    prior = F.when(F.row_number().over(inside) == 1, F.col("_carry")).otherwise(F.lag(value).over(inside))
     return carried.withColumn(name, prior).drop(CHUNK, "_carry")
