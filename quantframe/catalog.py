@@ -78,14 +78,14 @@ def returns(spark: SparkSession, sf_dir: str, layout: Layout) -> DataFrame:
     return wide.select("series_id", "ts", F.col("fwd_1").alias("value"))
 
 
-def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def aligned(spark: SparkSession, sf_dir: str, layout: Layout) -> DataFrame:
     """The pairs to screen are named by the caller, here all of the five priorities."""
     named = spark.createDataFrame(list(itertools.combinations(PRIORITIES, 2)), "a_id string, b_id string")
-    return pairs.align_pairs(price_panel(spark, sf_dir), named)
+    return pairs.align_pairs(price_panel(spark, sf_dir), named, layout=layout)
 
 
-def spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = pairs.build_spread(aligned(spark, sf_dir), 1.0)
+def spreads(spark: SparkSession, sf_dir: str, layout: Layout) -> DataFrame:
+    built = pairs.build_spread(aligned(spark, sf_dir, layout), 1.0)
     return built.select(F.concat_ws("|", "a_id", "b_id").alias("series_id"), "ts", F.col("spread").alias("value"))
 
 
@@ -177,7 +177,8 @@ def q_zscore_expanding(spark, sf_dir):
 
 def q_zscore_fixed(spark, sf_dir):
     panel = price_panel(spark, sf_dir)
-    scored = splits.zscore_by_fold(panel, splits.walk_forward_splits(panel, **FOLD))
+    folds = splits.walk_forward_splits(panel, **FOLD)
+    scored = splits.zscore_by_fold(panel, folds, layout=price_layout(spark, sf_dir))
     return rounded(scored.select("series_id", "ts", "fold_idx", "zscore"), "zscore")
 
 
@@ -267,23 +268,26 @@ def q_equity_curves(spark, sf_dir):
 # pairs -------------------------------------------------------------------------------------------
 
 def q_build_spread(spark, sf_dir):
-    built = pairs.build_spread(aligned(spark, sf_dir), 0.5)
+    built = pairs.build_spread(aligned(spark, sf_dir, price_layout(spark, sf_dir)), 0.5)
     return rounded(built.select("a_id", "b_id", "ts", "spread"), "spread")
 
 
 def q_hedge_ratio(spark, sf_dir):
-    rolled = pairs.rolling_hedge_ratio(aligned(spark, sf_dir), 60, layout=price_layout(spark, sf_dir))
+    layout = price_layout(spark, sf_dir)
+    rolled = pairs.rolling_hedge_ratio(aligned(spark, sf_dir, layout), 60, layout=layout)
     hedged = pairs.build_spread(rolled, F.col("hedge_ratio"))
     return hedged.select("a_id", "b_id", "ts", F.round("hedge_ratio", PLACES).alias("hedge_ratio"),
                          F.round("spread", 4).alias("spread"))
 
 
 def q_half_life(spark, sf_dir):
-    return rounded(pairs.half_life(spreads(spark, sf_dir), layout=price_layout(spark, sf_dir)), "half_life")
+    layout = price_layout(spark, sf_dir)
+    return rounded(pairs.half_life(spreads(spark, sf_dir, layout), layout=layout), "half_life")
 
 
 def q_coint_screen(spark, sf_dir):
-    screened = coint.coint_screen(aligned(spark, sf_dir), layout=price_layout(spark, sf_dir))
+    layout = price_layout(spark, sf_dir)
+    screened = coint.coint_screen(aligned(spark, sf_dir, layout), layout=layout)
     numbers = [f.name for f in screened.schema if f.dataType.typeName() == "double"]
     return rounded(screened, *numbers)
 
@@ -327,7 +331,7 @@ def q_walk_forward_backtest(spark, sf_dir):
     folds = materialize(splits.walk_forward_splits(panel, **FOLD))
     direction = diagnostics.ic_direction(
         splits.rows_in_folds(_factor_pairs(spark, sf_dir, layout), folds, "train"), keys=keys, layout=layout)
-    scored = splits.zscore_by_fold(order_factor(spark, sf_dir), folds)
+    scored = splits.zscore_by_fold(order_factor(spark, sf_dir), folds, layout=layout)
     signals = features.add_threshold_signal(scored, "zscore", 0.5).join(direction, keys).select(
         *keys, "ts", (F.col("signal") * F.col("direction")).alias("signal"))
     tests = splits.rows_in_folds(panel, folds, "test")
@@ -359,8 +363,9 @@ def q_instrument_costs(spark, sf_dir):
 
 
 def _spread_run(spark, sf_dir):
+    layout = price_layout(spark, sf_dir)
     return spread_bt.run_spread_backtest(
-        spreads(spark, sf_dir), trading_days_per_year=252, layout=price_layout(spark, sf_dir), **vars(SPREAD_RULES))
+        spreads(spark, sf_dir, layout), trading_days_per_year=252, layout=layout, **vars(SPREAD_RULES))
 
 
 def q_spread_trades(spark, sf_dir):

@@ -21,6 +21,7 @@ from quantframe.functions.columns import missing_as_null
 from quantframe.operators.pairs import PAIR
 from quantframe.plans.halo import BLOCK, home_block, with_halo
 from quantframe.plans.layout import DEFAULT_LAYOUT, Layout
+from quantframe.plans.skew import join_by_key
 from quantframe.plans.scan import ROW_INDEX, SERIES_ROWS, index_rows
 
 # Published response surfaces for two series and a constant -------------------------
@@ -141,7 +142,7 @@ def coint_screen(aligned: DataFrame, keys: Sequence[str] = PAIR, ts: str = "ts",
                          & (F.col("n_obs") - 1 - 2 * F.col("_max_lag") > 1))
     indexed = index_rows(present, groups, ts, layout)
     residual = y - F.col("_intercept") - F.col("_slope") * x
-    rows = indexed.join(usable, groups).select(
+    rows = join_by_key(indexed, usable, groups, ROW_INDEX, layout=layout).select(
         *groups, ROW_INDEX, F.col("n_obs").alias(SERIES_ROWS), "_max_lag", residual.alias("residual"))
     placed = with_halo(rows, before=F.col("_max_lag") + 1, layout=layout).withColumn("_home", home_block(layout))
 

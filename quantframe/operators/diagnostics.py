@@ -12,6 +12,7 @@ from quantframe.functions.columns import is_finite, missing_as_null, safe_corr
 from quantframe.operators.features import SERIES, check_horizons, forward_returns
 from quantframe.plans.layout import DEFAULT_LAYOUT, Layout
 from quantframe.plans.ranks import average_ranks, ordered_counts
+from quantframe.plans.skew import join_by_key
 from quantframe.session import materialize
 
 MIN_IC_ROWS = 10
@@ -193,7 +194,7 @@ def quantile_returns(factor: DataFrame, n_quantiles: int = 5, horizon: int | Non
     interior = F.slice("edges", 2, n_quantiles - 1)
     bucket = 1 + F.size(F.filter(interior, lambda e: e < F.col("factor")))
     usable = checked.filter(F.col("status") == "ok").select(*keys, "edges")
-    buckets = rows.join(usable, list(keys)).groupBy(*keys, bucket.alias("quantile")).agg(
+    buckets = join_by_key(rows, usable, keys, ts, layout=layout).groupBy(*keys, bucket.alias("quantile")).agg(
         F.avg("fwd_ret").alias("mean_return"), F.count(F.lit(1)).alias("count"))
     return checked.select(*keys, "status").join(buckets, list(keys), "left").select(
         *keys, F.lit(horizon).alias("horizon"), "quantile", "mean_return", "count", "status")

@@ -14,6 +14,7 @@ from quantframe.operators.features import SERIES
 from quantframe.plans.halo import over_rows
 from quantframe.plans.layout import DEFAULT_LAYOUT, Layout
 from quantframe.plans.scan import previous_row
+from quantframe.plans.skew import join_by_key
 
 PAIR = ("a_id", "b_id")
 MIN_SXX = 1e-10
@@ -21,16 +22,17 @@ MIN_HALF_LIFE_ROWS = 20
 
 
 def align_pairs(panel: DataFrame, pairs: DataFrame, series: str = "series_id", ts: str = "ts",
-                value: str = "value") -> DataFrame:
+                value: str = "value", layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     """Common timestamps of each listed pair: ``a_id, b_id, ts, a, b``.
 
-    Both joins are equi-joins. The first fans a series out to its pairs, the second matches
-    timestamps; with many pairs its key (b_id, ts) spreads even one dominant series.
+    Both joins are equi-joins. The first fans a series out to its pairs, salted by timestamp; the
+    second matches timestamps, and its key (b_id, ts) spreads even one dominant series.
     """
     left = panel.select(F.col(series).alias("a_id"), ts, F.col(value).alias("a"))
     right = panel.select(F.col(series).alias("b_id"), ts, F.col(value).alias("b"))
     listed = pairs.select("a_id", "b_id").distinct()
-    return left.join(listed, "a_id").join(right, ["b_id", ts]).select("a_id", "b_id", ts, "a", "b")
+    fanned = join_by_key(left, listed, ["a_id"], ts, layout=layout)
+    return fanned.join(right, ["b_id", ts]).select("a_id", "b_id", ts, "a", "b")
 
 
 def build_spread(aligned: DataFrame, hedge_ratio: Column | float = 1.0, name: str = "spread",

@@ -11,6 +11,8 @@ from quantframe.functions.columns import finite_or_null
 from quantframe.functions.signals import zscore_fixed
 from quantframe.operators.features import SERIES
 from quantframe.plans.intervals import join_ranges
+from quantframe.plans.layout import DEFAULT_LAYOUT, Layout
+from quantframe.plans.skew import join_by_key
 
 MIN_TRAIN_DATES = 10
 MIN_TEST_DATES = 5
@@ -125,13 +127,13 @@ def rows_in_folds(data: DataFrame, folds: DataFrame, split: str | None = None, t
 
 def zscore_by_fold(panel: DataFrame, folds: DataFrame, keys: Sequence[str] = SERIES, ts: str = "ts",
                    value: str = "value", name: str = "zscore",
-                   fold_keys: Sequence[str] = ()) -> DataFrame:
+                   fold_keys: Sequence[str] = (), layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     """Test rows scored with the mean and deviation of their own fold's training rows."""
     grouped = [*keys, "fold_idx"]
     number = finite_or_null(F.col(value))
     train = rows_in_folds(panel, folds, "train", ts, fold_keys).groupBy(*grouped).agg(
         F.avg(number).alias("_mu"), F.stddev_samp(number).alias("_sd"))
     test = rows_in_folds(panel, folds, "test", ts, fold_keys)
-    scored = test.join(train, grouped, "left")
+    scored = join_by_key(test, train, grouped, ts, "left", layout)
     return scored.withColumn(name, zscore_fixed(F.col(value), F.col("_mu"), F.col("_sd"))).select(
         *test.columns, name)

@@ -17,6 +17,7 @@ from quantframe.operators.metrics import max_drawdown, sharpe_agg
 from quantframe.plans.halo import BLOCK, drop_halo, in_block, with_halo
 from quantframe.plans.layout import DEFAULT_LAYOUT, Layout
 from quantframe.plans.scan import ROW_INDEX, SERIES_ROWS, index_rows, running_sum
+from quantframe.plans.skew import join_by_key
 from quantframe.session import materialize
 
 PARAM = "param_id"
@@ -138,7 +139,7 @@ def _equity(marked: DataFrame, trades: DataFrame, keys: Sequence[str], layout: L
     traded = trades.select(*groups).distinct()
     booked = F.when(F.col("live"), F.col("held") * F.col("change")).otherwise(0.0)
     charged = F.when(F.col("exit_code") > 0, F.col("cost_per_trade")).otherwise(0.0)
-    pnl = marked.join(traded, groups, "left_semi").select(
+    pnl = join_by_key(marked, traded, groups, "ts", "left_semi", layout).select(
         *groups, "ts", (booked - charged).alias("daily_pnl"),
         ((booked - charged) / F.col("capital_base")).alias("daily_returns"))
     summed = running_sum(pnl, groups, F.col("daily_returns"), "_sum", "ts", layout)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantframe.plans.layout import DEFAULT_LAYOUT, Layout
+from quantframe.plans.skew import join_by_key
 from quantframe.session import materialize
 
 MAX_SPLITS_LOG2 = 12
@@ -51,7 +52,7 @@ def ordered_counts(df: DataFrame, keys: Sequence[str], value: str,
         df.filter(F.pmod(F.xxhash64(value), F.lit(layout.block_rows)) == 0)
         .groupBy(*keys).agg(_thin(F.sort_array(F.collect_set(value))).alias("_splits"))
     )
-    ranged = counts.join(splits, list(keys), "left").withColumn(
+    ranged = join_by_key(counts, splits, keys, value, "left", layout).withColumn(
         RANGE, F.coalesce(_lower_bound(F.col("_splits"), F.col(value)), F.lit(0))).drop("_splits")
     earlier = whole.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranged.groupBy(*keys, RANGE).agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_d"))
