@@ -6,6 +6,7 @@ same doubles; ``bars`` holds 15-minute candles of event values per event type.
 
 from __future__ import annotations
 
+import functools
 import io
 import itertools
 import zipfile
@@ -14,6 +15,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantframe.functions.costs import CryptoCost, FxCost
 from quantframe.operators import coint, costs, diagnostics, features, metrics, pairs, splits
@@ -40,8 +42,15 @@ TAIL_FROM = "2024-01-15"
 PLACES = 6
 
 
+@functools.cache
+def _schema(spark: SparkSession, path: str) -> T.StructType:
+    """Read off the file once per session instead of once per use."""
+    return spark.read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -68,9 +77,15 @@ def order_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices(spark, sf_dir).select("series_id", "ts", F.col("n_orders").alias("value"))
 
 
+def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series and dates of the price panel, before orders of a day are averaged."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.select(F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").alias("ts"))
+
+
 def price_layout(spark: SparkSession, sf_dir: str) -> Layout:
     """Measured once per query; pairs, folds and horizons of the panel have no longer series."""
-    return measure_layout(price_panel(spark, sf_dir))
+    return measure_layout(order_dates(spark, sf_dir), bar_hours=24)
 
 
 def returns(spark: SparkSession, sf_dir: str, layout: Layout) -> DataFrame:
@@ -131,20 +146,20 @@ def _factor_pairs(spark, sf_dir, layout):
 
 def q_rank_ic(spark, sf_dir):
     layout = price_layout(spark, sf_dir)
-    return rounded(diagnostics.rank_ic(_factor_pairs(spark, sf_dir, layout), layout=layout), "ic")
+    return rounded(diagnostics.rank_ic(_factor_pairs(spark, sf_dir, layout), layout=layout), "ic").drop("n_obs")
 
 
 def q_rank_ic_by_date(spark, sf_dir):
     """Cross-section: the groups are months instead of series."""
     pairs_of_day = _factor_pairs(spark, sf_dir, price_layout(spark, sf_dir))
     monthly = pairs_of_day.withColumn("month", F.date_format("ts", "yyyy-MM"))
-    by_month = measure_layout(price_panel(spark, sf_dir).select(F.date_format("ts", "yyyy-MM").alias("month"), "ts"), ["month"])
-    return rounded(diagnostics.rank_ic(monthly, keys=["month"], layout=by_month), "ic")
+    by_month = measure_layout(order_dates(spark, sf_dir).select(F.date_format("ts", "yyyy-MM").alias("month"), "ts"), ["month"])
+    return rounded(diagnostics.rank_ic(monthly, keys=["month"], layout=by_month), "ic").drop("n_obs")
 
 
 def q_ic_direction(spark, sf_dir):
     layout = price_layout(spark, sf_dir)
-    folds = splits.walk_forward_splits(price_panel(spark, sf_dir), **FOLD)
+    folds = splits.walk_forward_splits(order_dates(spark, sf_dir), **FOLD)
     train = splits.rows_in_folds(_factor_pairs(spark, sf_dir, layout), folds, "train")
     return rounded(diagnostics.ic_direction(train, keys=["series_id", "fold_idx"], layout=layout), "ic")
 
@@ -177,7 +192,7 @@ def q_zscore_expanding(spark, sf_dir):
 
 def q_zscore_fixed(spark, sf_dir):
     panel = price_panel(spark, sf_dir)
-    folds = splits.walk_forward_splits(panel, **FOLD)
+    folds = splits.walk_forward_splits(order_dates(spark, sf_dir), **FOLD)
     scored = splits.zscore_by_fold(panel, folds, layout=price_layout(spark, sf_dir))
     return rounded(scored.select("series_id", "ts", "fold_idx", "zscore"), "zscore")
 
@@ -194,17 +209,17 @@ def q_threshold_signal(spark, sf_dir):
 # splits ------------------------------------------------------------------------------------------
 
 def q_walk_forward_folds(spark, sf_dir):
-    return splits.walk_forward_splits(price_panel(spark, sf_dir), **FOLD)
+    return splits.walk_forward_splits(order_dates(spark, sf_dir), **FOLD)
 
 
 def q_walk_forward_overlapping(spark, sf_dir):
     """Folds per series that step by less than the test period."""
-    return splits.walk_forward_splits(price_panel(spark, sf_dir), 200, 50, 5, step_days=20, keys=["series_id"])
+    return splits.walk_forward_splits(order_dates(spark, sf_dir), 200, 50, 5, step_days=20, keys=["series_id"])
 
 
 def q_fold_rows(spark, sf_dir):
     panel = price_panel(spark, sf_dir)
-    rows = splits.rows_in_folds(panel, splits.walk_forward_splits(panel, **FOLD))
+    rows = splits.rows_in_folds(panel, splits.walk_forward_splits(order_dates(spark, sf_dir), **FOLD))
     return rows.groupBy("series_id", "fold_idx", "split").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
@@ -328,7 +343,7 @@ def q_walk_forward_backtest(spark, sf_dir):
     panel = price_panel(spark, sf_dir)
     keys = ["series_id", "fold_idx"]
     layout = price_layout(spark, sf_dir)
-    folds = materialize(splits.walk_forward_splits(panel, **FOLD))
+    folds = materialize(splits.walk_forward_splits(order_dates(spark, sf_dir), **FOLD))
     direction = diagnostics.ic_direction(
         splits.rows_in_folds(_factor_pairs(spark, sf_dir, layout), folds, "train"), keys=keys, layout=layout)
     scored = splits.zscore_by_fold(order_factor(spark, sf_dir), folds, layout=layout)

@@ -20,18 +20,31 @@ MIN_IC_ROWS = 10
 
 def rank_ic(pairs: DataFrame, factor: str = "factor", forward: str = "fwd_ret",
             keys: Sequence[str] = SERIES, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
-    """Spearman correlation per group, with columns ``ic`` and ``n_finite``.
+    """Spearman correlation per group, with columns ``ic``, ``n_finite`` and ``n_obs``.
 
     Only rows finite on both sides count; under ten of them, or with a constant side, ``ic`` is
-    NULL. The groups may be series, dates, folds or horizons.
+    NULL. ``n_obs`` counts the rows present on both sides, infinities included. The groups may be
+    series, dates, folds or horizons; each has a row, whatever its rows hold.
     """
-    valid = pairs.filter(is_finite(F.col(factor)) & is_finite(F.col(forward))).select(
-        *keys, F.col(factor).cast("double").alias("_x"), F.col(forward).cast("double").alias("_y"))
-    ranked = average_ranks(valid, keys, {"_x": "_rx", "_y": "_ry"}, layout)
-    scored = ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_finite"), safe_corr(F.col("_rx"), F.col("_ry")).alias("_corr"))
+    groups = list(keys)
+    x, y = missing_as_null(F.col(factor)), missing_as_null(F.col(forward))
+    present = (x.isNotNull() & y.isNotNull()).alias("_present")
+    rows = pairs.select(*groups, x.alias("_x"), y.alias("_y"), present,
+                        (is_finite(x) & is_finite(y)).alias("_finite"))
+    ranks = {"_x": "_rx", "_y": "_ry"}
+    finite = F.col("_finite")
+    sizes = [F.count(F.when(F.col("_present"), 1)).alias("n_obs"), F.count(F.when(finite, 1)).alias("n_finite")]
+    if layout.fits_one_task:
+        ranked = average_ranks(rows, [*groups, "_finite"], ranks, layout)
+        both = (F.when(finite, F.col(r)) for r in ranks.values())
+        scored = ranked.groupBy(*groups).agg(*sizes, safe_corr(*both).alias("_corr"))
+    else:
+        rows = materialize(rows)
+        ranked = average_ranks(rows.filter(finite), groups, ranks, layout)
+        scored = rows.groupBy(*groups).agg(*sizes).join(
+            ranked.groupBy(*groups).agg(safe_corr(F.col("_rx"), F.col("_ry")).alias("_corr")), groups, "left")
     ic = F.when(F.col("n_finite") >= MIN_IC_ROWS, F.col("_corr"))
-    return scored.select(*keys, ic.alias("ic"), "n_finite")
+    return scored.select(*groups, ic.alias("ic"), "n_finite", "n_obs")
 
 
 def ic_sign(ic: Column, min_abs_ic: float = 0.005) -> Column:
@@ -45,10 +58,8 @@ def ic_direction(train_pairs: DataFrame, factor: str = "factor", forward: str =
 
     Give it training rows only; ``splits.rows_in_folds(..., split="train")`` selects them.
     """
-    groups = train_pairs.select(*keys).distinct()
     scored = rank_ic(train_pairs, factor, forward, keys, layout)
-    return groups.join(scored, list(keys), "left").select(
-        *keys, "ic", ic_sign(F.col("ic"), min_abs_ic).alias("direction"))
+    return scored.select(*keys, "ic", ic_sign(F.col("ic"), min_abs_ic).alias("direction"))
 
 
 def horizon_of(column: str | None) -> int | None:
@@ -105,14 +116,10 @@ def ic_decay(factor: DataFrame, horizons: Iterable[int] | None = None,
         columns = _horizon_columns(forward_ret, horizons, [*keys, ts])
     wide = returns.select(*keys, ts, *(F.col(c).cast("double").alias(c) for c in columns))
     joined = _factor_rows(factor, keys, ts, value).join(wide, [*keys, ts])
-    pairs = joined.unpivot([*keys, "factor"], list(columns), "column", "_raw").select(
-        *keys, "column", "factor", missing_as_null(F.col("_raw")).alias("fwd_ret"))
-    groups = [*keys, "column"]
-    present = F.col("factor").isNotNull() & F.col("fwd_ret").isNotNull()
-    sizes = pairs.groupBy(*groups).agg(F.count(F.when(present, 1)).alias("n_obs"))
-    scored = rank_ic(pairs, "factor", "fwd_ret", groups, layout)
+    pairs = joined.unpivot([*keys, "factor"], list(columns), "column", "fwd_ret")
+    scored = rank_ic(pairs, "factor", "fwd_ret", [*keys, "column"], layout)
     horizon = F.split_part(F.col("column"), F.lit("_"), F.lit(2)).cast("int")
-    return sizes.join(scored, groups, "left").select(
+    return scored.select(
         *keys, horizon.alias("horizon"), "column", "ic", "n_obs")
 
 

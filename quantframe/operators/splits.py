@@ -50,13 +50,12 @@ def walk_forward_splits(panel: DataFrame, train_days: int, test_days: int, embar
         raise ValueError("train_days, test_days and step_days must be positive, embargo_days not negative")
     group = [*keys]
     dates = panel.select(*group, F.col(ts).alias("_date")).dropna(subset=["_date"]).distinct()
-    bounds = [F.min("_date").alias("_first"), F.max("_date").alias("_last")]
+    bounds = [F.min(ts).alias("_first"), F.max(ts).alias("_last")]
     if group:
-        spanned = dates.join(dates.groupBy(*group).agg(*bounds), group)
+        spanned = dates.join(panel.groupBy(*group).agg(*bounds), group)
     else:
-        edge = dates.agg(*bounds)
-        spanned = dates.withColumn("_first", edge.select("_first").scalar()).withColumn(
-            "_last", edge.select("_last").scalar())
+        edge = panel.agg(F.struct(*bounds)).scalar()
+        spanned = dates.select("_date", edge["_first"].alias("_first"), edge["_last"].alias("_last"))
 
     need = train_days + embargo_days + test_days
     reach = _micros(F.col("_last")) - _micros(F.col("_first"))

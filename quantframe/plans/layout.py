@@ -14,7 +14,7 @@ Both are deterministic, so a task that is run again after a lost executor builds
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,15 +56,25 @@ def chunk_of(df: DataFrame, ts: str, layout: Layout) -> Column:
 
 
 def measure_layout(panel: DataFrame, keys: Sequence[str] = ("series_id",), ts: str = "ts",
-                   task_rows: int = Layout.task_rows) -> Layout:
+                   bar_hours: float | None = None, task_rows: int = Layout.task_rows) -> Layout:
     """Layout for a panel, and for whatever is derived from it without adding rows to a series.
 
-    One aggregate over the key and time columns, combined map-side; two numbers reach the driver. If a
-    series is too long for one task, chunks are made so narrow that the densest one fits.
+    One aggregate of count, first and last hour per key, combined map-side, of which one number reaches
+    the driver. ``bar_hours`` states the width of the panel's time grid; a series is then no longer than
+    its span in bars, so the rows a panel is built from may be measured instead of the panel. If a
+    series is too long for one task, a second aggregate makes chunks so narrow that the densest fits.
     """
-    hour = F.lit(0) if _is_integer(panel, ts) else hours_since_epoch(F.col(ts))
+    dated = not _is_integer(panel, ts)
+    hour = hours_since_epoch(F.col(ts)) if dated else F.lit(0)
+    rows = F.count(F.lit(1))
+    if dated and bar_hours is not None:
+        rows = F.least(rows, F.floor((F.max(hour) - F.min(hour) + 1) / bar_hours) + 1)
+    longest = panel.groupBy(*keys).agg(rows.alias("_rows")).agg(F.max("_rows")).first()[0] or 0
+    layout = Layout(longest_series=longest, task_rows=task_rows)
+    if layout.fits_one_task or not dated:
+        return layout
     per_hour = panel.groupBy(*keys, hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_rows"))
-    per_series = per_hour.groupBy(*keys).agg(F.sum("_rows").alias("_rows"), F.max("_rows").alias("_densest"))
-    longest, densest = per_series.agg(F.max("_rows"), F.max("_densest")).first()
-    width = max(1, task_rows // max(densest or 1, 1))
-    return Layout(chunk_hours=width, longest_series=longest or 0, task_rows=task_rows)
+    densest = per_hour.agg(F.max("_rows")).first()[0]
+    if bar_hours is not None:
+        densest = min(densest, max(1, round(1 / bar_hours)))
+    return replace(layout, chunk_hours=max(1, task_rows // densest))

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from quantframe.plans.layout import DEFAULT_LAYOUT, Layout
 from quantframe.plans.skew import join_by_key
-from quantframe.session import materialize
 
 MAX_SPLITS_LOG2 = 12
 RANGE = "_range"
@@ -79,10 +78,9 @@ def average_ranks(df: DataFrame, keys: Sequence[str], values: Mapping[str, str],
             name: F.rank().over(Window.partitionBy(*keys).orderBy(value))
             + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2
             for value, name in values.items()})
-    rows = materialize(df)
-    ranked = rows
+    ranked = df
     for value, name in values.items():
-        ranks = ordered_counts(rows, keys, value, layout).select(
+        ranks = ordered_counts(df, keys, value, layout).select(
             *keys, value, (F.col("below") + (F.col("n") + 1) / 2).alias(name))
         ranked = ranked.join(ranks, [*keys, value])
     return ranked
