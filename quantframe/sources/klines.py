@@ -47,7 +47,8 @@ def _unzip_lines(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
                             yield _line_frame(path, done, lines)
                             done += len(lines)
                             lines = []
-                yield _line_frame(path, done, lines)
+                if lines:
+                    yield _line_frame(path, done, lines)
 
 
 def _line_frame(path: str, first: int, lines: list[str]) -> pd.DataFrame:
