@@ -287,7 +287,7 @@ FROM pairs LEFT JOIN ics USING (series_id) GROUP BY series_id"""
     sql["rank_ic_by_date"] = f"""WITH {FWD}, pairs AS (
   SELECT strftime(ts, '%Y-%m') AS "month", n_orders AS factor, fwd_5 AS fwd_ret FROM fwd),
 {ranked_ic("pairs", '"month"')} SELECT "month", {r("any_value(ic)")} AS ic, coalesce(any_value(n_finite), 0) AS n_finite
-FROM pairs LEFT JOIN ics USING ("month") GROUP BY "month""""
+FROM pairs LEFT JOIN ics USING ("month") GROUP BY 1"""
     sql["ic_direction"] = f"""WITH {FOLD_PAIRS} SELECT series_id, fold_idx, {r("ic")} AS ic, direction FROM directions"""
     sql["quantile_returns"] = f"WITH {FWD}, " + quantiles(
         "SELECT series_id, value AS factor, fwd_5 AS fwd_ret FROM fwd", 5, 5)
