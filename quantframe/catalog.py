@@ -23,8 +23,8 @@ from quantframe.operators import signal_backtest as signal_bt
 from quantframe.operators import spread_backtest as spread_bt
 from quantframe.plans import Layout, keep_last, measure_layout, running_max, running_product, running_sum
 from quantframe.session import materialize, scratch_path
-from quantframe.sources import coverage, history, klines, payloads, universe
-from quantframe.sources.specs import SNAPSHOT_SPECS, SPECS
+from quantframe.sources import coverage, history, klines, payloads, refresh, universe
+from quantframe.sources.specs import SNAPSHOT_SPECS, SPECS, spec_for
 from quantframe.streaming import run_available, snapshot_batches, upsert_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,7 @@ SPREAD_RULES = spread_bt.SpreadRules(
 AS_OF = "2024-02-02 10:07:00"
 HISTORY_START = "2023-12-01 00:00:00"
 TAIL_FROM = "2024-01-15"
+REFRESH_AS_OF = "2024-01-30 12:07:00"
 PLACES = 6
 
 
@@ -601,6 +602,32 @@ def q_save_bars(spark, sf_dir):
     return history.save_bars(candles(spark, sf_dir), scratch_path(spark, "bars"), scratch_path(spark, "manifest"))
 
 
+def q_refresh_bars(spark, sf_dir):
+    """15-minute archives with a later page of the same bars and bars that are still forming."""
+    archives = candles(spark, sf_dir)
+    pages = archives.filter(F.col("ts") >= F.lit(TAIL_FROM).cast("timestamp_ntz")).withColumn("c", F.col("h"))
+    path = scratch_path(spark, "refresh")
+    as_of = F.lit(REFRESH_AS_OF).cast("timestamp_ntz")
+    refresh.refresh_bars(archives, pages, path, symbols(spark, sf_dir), as_of)
+    return history.read_table(spark, path).select("symbol", "ts", "o", "h", "l", "c", "v")
+
+
+def q_refresh_endpoints(spark, sf_dir):
+    """Documents of three endpoints with overlapping records; the last record of a second wins."""
+    names = {"click": "taker_pair", "view": "basis", "error": "fr"}
+    landed = None
+    for event_type, name in names.items():
+        spec = spec_for(name)
+        documents = _payload_documents(spark, sf_dir, spec).filter(F.col("symbol") == event_type)
+        part = documents.select(F.lit("BTC").alias("symbol"), F.lit("4h").alias("interval"),
+                                F.lit(name).alias("endpoint"), "value")
+        landed = part if landed is None else landed.unionByName(part)
+    summary = refresh.refresh_endpoints(landed, [spec_for(n) for n in names.values()], scratch_path(spark, "endpoints"),
+                                        _stamp(_FETCHED[0]))
+    named = refresh.with_scope_names(summary)
+    return named.withColumns({c: F.date_trunc("second", c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
 def _endpoint_history(spark, sf_dir) -> DataFrame:
     """Hourly history in which each event type stands for one endpoint."""
     names = {"click": "taker_pair", "view": "taker_agg", "error": "basis", "signup": "fr_oi_weight",

@@ -442,6 +442,15 @@ FROM events GROUP BY 1, 2"""
 UNION ALL SELECT event_type, count(*), max(value), 'oi_exchange', TIMESTAMP '2024-02-02' FROM events GROUP BY 1"""
     sql["stream_snapshots"] = "SELECT event_id, value, 'oi_exchange' AS endpoint, CAST(0 AS BIGINT) AS batch_id FROM events"
     sql["save_bars"] = f"""WITH {candles("bars", 15)} SELECT symbol, count(*) AS rows, min(ts) AS start, max(ts) AS "end" FROM bars GROUP BY 1"""
+    sql["refresh_bars"] = f"""WITH {candles("bars", 15)}
+SELECT symbol, ts, o, h, l, CASE WHEN ts >= TIMESTAMP '{catalog.TAIL_FROM}' THEN h ELSE c END AS c, v FROM bars
+WHERE ts + INTERVAL 15 MINUTE <= TIMESTAMP '{catalog.REFRESH_AS_OF}'"""
+    sql["refresh_endpoints"] = """WITH e AS (
+  SELECT CASE event_type WHEN 'click' THEN 'taker_pair' WHEN 'view' THEN 'basis' WHEN 'error' THEN 'fr' END AS endpoint,
+         date_trunc(CASE WHEN event_type <> 'error' AND event_id % 2 = 1 THEN 'millisecond' ELSE 'second' END, ts) AS ts FROM events)
+SELECT 'v4_4h' AS scope, 'BTC_' || endpoint AS name, count(DISTINCT ts) AS rows,
+       CAST(date_trunc('second', min(ts)) AS TIMESTAMP) AS start, CAST(date_trunc('second', max(ts)) AS TIMESTAMP) AS "end"
+FROM e WHERE endpoint IS NOT NULL GROUP BY endpoint"""
     sql["export_taker"] = f"""WITH {ENDPOINT_HISTORY} SELECT CASE endpoint WHEN 'taker_pair' THEN 'pair' ELSE 'agg' END AS endpoint,
        symbol, "interval", ts, value FROM history WHERE "interval" = '4h' AND endpoint IN ('taker_pair', 'taker_agg')"""
     sql["export_daily"] = f"""WITH {ENDPOINT_HISTORY} SELECT CASE endpoint WHEN 'basis' THEN 'basis' ELSE 'fr_oiw' END AS endpoint,

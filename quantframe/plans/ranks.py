@@ -69,15 +69,17 @@ def average_ranks(df: DataFrame, keys: Sequence[str], values: Mapping[str, str],
     """Add the rank of each column of ``values`` inside its group, under the name mapped to it; tied
     rows share the mean of their ranks.
 
-    Groups that fit one task are ranked by windows, all columns over one shuffle. Otherwise the counts
+    Groups that fit one task are ranked by windows, all columns over one shuffle and one sort each. Otherwise the counts
     of distinct values are joined back on (keys, value): a value shared by very many rows makes one
     large probe partition, which adaptive execution splits, against a single row on the other side.
     """
     if layout.fits_one_task:
-        return df.withColumns({
-            name: F.rank().over(Window.partitionBy(*keys).orderBy(value))
-            + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2
-            for value, name in values.items()})
+        def rank_of(value: str) -> Column:
+            ordered = Window.partitionBy(*keys).orderBy(value)
+            tied = ordered.rangeBetween(Window.currentRow, Window.currentRow)
+            return F.rank().over(ordered) + (F.count(F.lit(1)).over(tied) - 1) / 2
+
+        return df.withColumns({name: rank_of(value) for value, name in values.items()})
     ranked = df
     for value, name in values.items():
         ranks = ordered_counts(df, keys, value, layout).select(

@@ -46,8 +46,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return spark.read.schema(schema).parquet(path)
 
 
-def _stored(spark: SparkSession, path: str, schema: T.StructType | None,
-            types: Mapping[str, T.DataType]) -> DataFrame | None:
+def stored_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
+                 types: Mapping[str, T.DataType] | None = None) -> DataFrame | None:
+    """The table at ``path``, or None where nothing has been stored yet."""
     try:
         return read_table(spark, path, schema, types)
     except AnalysisException as error:
@@ -124,7 +125,7 @@ def upsert_history(incoming: DataFrame, path: str, metadata: Mapping[str, object
         raise ValueError(f"partition columns {loose} are not determined by the key {list(key)}")
     fresh = batch.withColumn("_age", F.lit(1))
     types = {c: batch.schema[c].dataType for c in partition_by}
-    stored = _stored(spark, path, table_schema, types)
+    stored = stored_table(spark, path, table_schema, types)
     if stored is not None:
         old = _touched_part(stored, batch, partition_by).withColumn("_age", F.lit(0))
         fresh = union_batches(old, fresh)

@@ -15,6 +15,7 @@ from quantframe.plans.latest import keep_last
 from quantframe.sources.specs import BAR_FIELDS, KLINE_FIELDS
 
 LINES_PER_BATCH = 50_000
+BAR_MINUTES = 15
 SYMBOL_IN_FILE_NAME = r"([A-Z0-9]+)USDT-"
 
 
@@ -103,6 +104,6 @@ def normalize_bars(bars: DataFrame, order_by: Sequence[str], key: Sequence[str]
     return keep_last(typed, list(key), list(order_by)).select(*key, *BAR_FIELDS)
 
 
-def drop_forming_bars(bars: DataFrame, as_of: Column, bar_minutes: int = 15) -> DataFrame:
+def drop_forming_bars(bars: DataFrame, as_of: Column, bar_minutes: int = BAR_MINUTES) -> DataFrame:
     """Without bars that were still open at ``as_of``."""
     return bars.filter(F.col("ts") + F.make_dt_interval(mins=F.lit(bar_minutes)) <= as_of)
