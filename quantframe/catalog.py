@@ -22,7 +22,7 @@ from quantframe.operators import coint, costs, diagnostics, features, metrics, p
 from quantframe.operators import signal_backtest as signal_bt
 from quantframe.operators import spread_backtest as spread_bt
 from quantframe.plans import Layout, keep_last, measure_layout, running_max, running_product, running_sum
-from quantframe.session import materialize, scratch_path
+from quantframe.session import materialize, scratch_path, ship_package
 from quantframe.sources import coverage, history, klines, payloads, refresh, universe
 from quantframe.sources.specs import SNAPSHOT_SPECS, SPECS, spec_for
 from quantframe.streaming import run_available, snapshot_batches, upsert_batches
@@ -522,6 +522,7 @@ def q_read_kline_zips(spark, sf_dir):
         symbol = day["symbol"].iloc[0].upper()
         return pd.DataFrame({"path": [f"/landed/{symbol}USDT-15m-{day['day'].iloc[0]}.zip"], "content": [buffer.getvalue()]})
 
+    ship_package(spark)
     lines = candles(spark, sf_dir).select("symbol", F.to_date("ts").cast("string").alias("day"),
                                           F.concat_ws(",", *_kline_fields()).alias("line"))
     archives = lines.groupBy("symbol", "day").applyInPandas(pack, "path string, content binary")

@@ -23,6 +23,7 @@ from quantframe.plans.halo import BLOCK, home_block, with_halo
 from quantframe.plans.layout import DEFAULT_LAYOUT, Layout
 from quantframe.plans.skew import join_by_key
 from quantframe.plans.scan import ROW_INDEX, SERIES_ROWS, index_rows
+from quantframe.session import ship_package
 
 # Published response surfaces for two series and a constant -------------------------
 
@@ -129,6 +130,7 @@ def coint_screen(aligned: DataFrame, keys: Sequence[str] = PAIR, ts: str = "ts",
     other. Pairs of too few rows have NULLs. ``top`` keeps the most significant pairs, sorted.
     """
     groups = list(keys)
+    ship_package(aligned.sparkSession)
     present = aligned.select(*groups, ts, missing_as_null(F.col(a)).alias("_a"), missing_as_null(F.col(b)).alias("_b"))
     present = present.dropna(subset=["_a", "_b"])
     y, x = F.col("_a"), F.col("_b")

@@ -18,7 +18,7 @@ from quantframe.plans.halo import BLOCK, drop_halo, in_block, with_halo
 from quantframe.plans.layout import DEFAULT_LAYOUT, Layout
 from quantframe.plans.scan import ROW_INDEX, SERIES_ROWS, index_rows, running_sum
 from quantframe.plans.skew import join_by_key
-from quantframe.session import materialize
+from quantframe.session import materialize, ship_package
 
 PARAM = "param_id"
 MIN_ROWS_AFTER_LOOKBACK = 10
@@ -86,6 +86,7 @@ def _schema_of(df: DataFrame, columns: Sequence[str], extra: str) -> T.StructTyp
 def _marked_bars(bars: DataFrame, keys: Sequence[str], layout: Layout) -> DataFrame:
     """Bars with the position held into them and the trades they open or close."""
     groups = [*keys, PARAM]
+    ship_package(bars.sparkSession)
 
     def to_map(block: pd.DataFrame) -> pd.DataFrame:
         row = positions.block_map(block.sort_values(ROW_INDEX))
@@ -186,7 +187,7 @@ def sweep_spread_backtest(spread: DataFrame, rules: Sequence[SpreadRules], tradi
                           layout: Layout = DEFAULT_LAYOUT) -> dict[str, DataFrame]:
     """``trades``, ``equity`` and ``summary`` of every series under every rule set, in one job.
 
-    The marked bars feed all three results and are computed once, into the checkpoint folder.
+    The marked bars feed all three results and are computed once, into the shared folder.
     """
     if any(r.capital_base <= 0 for r in rules):
         raise ValueError("capital_base must be positive")

@@ -16,19 +16,20 @@ from pyspark.sql import functions as F
 
 from quantframe.plans.layout import DEFAULT_LAYOUT, Layout
 from quantframe.plans.skew import join_by_key
+from quantframe.session import materialize
 
 MAX_SPLITS_LOG2 = 12
 RANGE = "_range"
 
 
-def _lower_bound(sorted_values: Column, value: Column) -> Column:
-    """How many entries of the sorted array are below ``value``, by halving steps."""
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(MAX_SPLITS_LOG2 + 1))))
-
-    def advance(found: Column, step: Column) -> Column:
-        return F.when(F.get(sorted_values, found + step - 1) < value, found + step).otherwise(found)
-
-    return F.aggregate(steps, F.lit(0), advance)
+def _with_range(df: DataFrame, splits: str, value: str) -> DataFrame:
+    """Number of split points below the value, by halving steps. Each step is its own projection:
+    compiled code with two array reads, where one expression for all would be a slow lambda."""
+    found = df.withColumn(RANGE, F.lit(0))
+    for step in (1 << k for k in reversed(range(MAX_SPLITS_LOG2 + 1))):
+        probe = F.get(F.col(splits), F.col(RANGE) + (step - 1))
+        found = found.withColumn(RANGE, F.when(probe < F.col(value), F.col(RANGE) + step).otherwise(F.col(RANGE)))
+    return found
 
 
 def _thin(sorted_values: Column) -> Column:
@@ -51,8 +52,9 @@ def ordered_counts(df: DataFrame, keys: Sequence[str], value: str,
         df.filter(F.pmod(F.xxhash64(value), F.lit(layout.block_rows)) == 0)
         .groupBy(*keys).agg(_thin(F.sort_array(F.collect_set(value))).alias("_splits"))
     )
-    ranged = join_by_key(counts, splits, keys, value, "left", layout).withColumn(
-        RANGE, F.coalesce(_lower_bound(F.col("_splits"), F.col(value)), F.lit(0))).drop("_splits")
+    # used twice below, and its many projections would be optimised again with everything on top
+    ranged = materialize(
+        _with_range(join_by_key(counts, splits, keys, value, "left", layout), "_splits", value).drop("_splits"))
     earlier = whole.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranged.groupBy(*keys, RANGE).agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_d"))
     offsets = ranges.select(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quantframe.plans.latest import keep_last
+from quantframe.session import ship_package
 from quantframe.sources.specs import BAR_FIELDS, KLINE_FIELDS
 
 LINES_PER_BATCH = 50_000
@@ -68,6 +69,7 @@ def bars_from_zips(files: DataFrame, symbol_pattern: str = SYMBOL_IN_FILE_NAME)
     Spark has no zip codec, so archives are opened in Arrow batches and everything after that is
     columns. One archive is one input row; monthly archives are far under the 2 GB a row may hold.
     """
+    ship_package(files.sparkSession)
     lines = files.select("path", "content").mapInPandas(_unzip_lines, "path string, line_no long, line string")
     symbol = F.regexp_extract(F.element_at(F.split("path", "/"), -1), symbol_pattern, 1)
     named = lines.withColumn("symbol", symbol)
