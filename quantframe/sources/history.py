@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from quantframe.functions.columns import as_column
 from quantframe.plans.latest import keep_last
-from quantframe.session import scratch_path
+from quantframe.session import materialize
 from quantframe.sources.coverage import coverage_summary
 from quantframe.sources.specs import (
     BAR_FIELDS, DAILY_EXPORT_NAMES, GLOBAL_EXPORT_NAMES, GLOBAL_VALUE_NAMES, TAKER_EXPORT_NAMES)
@@ -123,6 +123,8 @@ def upsert_history(incoming: DataFrame, path: str, metadata: Mapping[str, object
     loose = [c for c in partition_by if c not in key and not (c == MONTH and ts in key)]
     if loose:
         raise ValueError(f"partition columns {loose} are not determined by the key {list(key)}")
+    # read three times below; parsed and time-stamped once
+    batch = materialize(batch, "batch")
     fresh = batch.withColumn("_age", F.lit(1))
     types = {c: batch.schema[c].dataType for c in partition_by}
     stored = stored_table(spark, path, table_schema, types)
@@ -130,9 +132,7 @@ def upsert_history(incoming: DataFrame, path: str, metadata: Mapping[str, object
         old = _touched_part(stored, batch, partition_by).withColumn("_age", F.lit(0))
         fresh = union_batches(old, fresh)
     merged = keep_last(fresh, list(key), ["_age", *order_by]).drop("_age", *order_by)
-    staging = scratch_path(spark, "upsert")
-    merged.write.parquet(staging)
-    _write_partitions(spark.read.schema(merged.schema).parquet(staging), path, partition_by)
+    _write_partitions(materialize(merged, "upsert"), path, partition_by)
 
 
 def append_snapshot(records: DataFrame, path: str, metadata: Mapping[str, object] | None = None,
