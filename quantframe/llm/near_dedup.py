@@ -9,11 +9,12 @@ documents of the similarity asked for agree in at least ``matches`` coordinates,
 documents share one of their first ``coordinates - matches + 1`` pairs: only this prefix is posted. A passage
 that very many documents share thus leaves the prefixes, however many there are; pairs of one holder are skipped.
 
-Pairs. In the postings of a pair, documents are compared with a pivot first, in a few rounds with other pivots,
-and classes that are found linked are merged; then all pairs of documents that share a posting but lie in
+Pairs. In the postings of a pair, documents are compared with a pivot first (the text most typical of them, then
+others in further rounds) and classes that are found linked are merged; then all pairs of documents that share a posting but lie in
 different classes are compared. So every link between different classes is tried, and none inside a class need
-be. A comparison counts equal coordinates inside the join, so only pairs with enough matches leave it; what is
-left is confirmed on the full sets.
+be. With pivots, equal coordinates are counted first and pairs with enough matches are confirmed on the full
+sets; the rest is compared on full sets in blocks of a bounded number of documents, where pairs that are not
+links never become rows.
 
 Defined cases: a text without words has an empty set, is linked with nothing and kept; with fewer words than a
 shingle the whole sequence is one; rows with a NULL id are kept and have no component; repeated rows of one id
@@ -48,6 +49,7 @@ class Settings:
     percent: int = 80
     coordinates: int = 48
     pivots: int = 2
+    block: int = 256
     seed: int = 11
 
     @property
@@ -131,7 +133,11 @@ def shingle_sets(docs: DataFrame, settings: Settings, text: str) -> DataFrame:
 
 
 def _postings(reps: DataFrame, settings: Settings) -> DataFrame:
-    """(token, id): the prefix of each document, where a token packs a coordinate and its value."""
+    """(token, id, weight): the prefix of each document, where a token packs a coordinate and its value.
+
+    The weight sums the holders of all its coordinates: in a group of near copies the text they stem from is
+    the heaviest.
+    """
     token = (F.col("pos").cast("bigint") * (1 << 32)) + (F.col("value").cast("bigint") + (1 << 31))
     posted = reps.select("id", F.posexplode("sig").alias("pos", "value")).select("id", token.alias("token"))
     shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
@@ -140,7 +146,8 @@ def _postings(reps: DataFrame, settings: Settings) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("tokens"))
     enough = held.filter(F.size("tokens") >= settings.matches)
     prefix = F.slice("tokens", 1, F.size("tokens") - settings.matches + 1)
-    return enough.select("id", F.explode(F.transform(prefix, lambda t: t["token"])).alias("token"))
+    weight = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda total, t: total + t["holders"])
+    return enough.select("id", weight.alias("weight"), F.explode(F.transform(prefix, lambda t: t["token"])).alias("token"))
 
 
 def _similar(a: Column, b: Column, n_a: Column, n_b: Column, settings: Settings) -> Column:
@@ -161,8 +168,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFra
 
 
 def _pivot_pairs(members: DataFrame, settings: Settings, turn: int) -> DataFrame:
-    """Members of postings with several classes against the posting's pivot, in other classes."""
-    rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+    """Members of postings with several classes against the posting's pivot, in other classes.
+
+    The first pivot is the heaviest member, later ones follow a hash.
+    """
+    rank = -F.col("weight") if turn == 0 else F.xxhash64("id", F.lit(turn))
     pivots = members.groupBy("token").agg(
         F.min("class").alias("low"), F.max("class").alias("high"),
         F.min(F.struct(rank.alias("rank"), F.col("id").alias("id"), F.col("class").alias("class"))).alias("p"))
@@ -171,15 +181,70 @@ def _pivot_pairs(members: DataFrame, settings: Settings, turn: int) -> DataFrame
     return met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
-def _other_pairs(members: DataFrame, signed: DataFrame, settings: Settings) -> DataFrame:
-    """All pairs of one posting that lie in different classes and match well enough."""
-    several = members.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
-    open_ = members.join(several.select("token"), "token").join(signed, "id")
-    a = open_.select("token", *(F.col(c).alias(f"{c}_a") for c in ("id", "class", "n", "sig")))
-    b = open_.select("token", *(F.col(c).alias(f"{c}_b") for c in ("id", "class", "n", "sig")))
-    on = ((a["token"] == b["token"]) & (F.col("id_a") < F.col("id_b")) & (F.col("class_a") != F.col("class_b"))
-          & _similar(F.col("sig_a"), F.col("sig_b"), F.col("n_a"), F.col("n_b"), settings))
-    return a.join(b, on).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+def block_links(ids: np.ndarray, classes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between different classes of one block by exact similarity, as many as it takes to join them."""
+    m = len(ids)
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    values, column, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), sizes)
+    # shingles of one holder count in no intersection
+    number = np.where(holders > 1, np.cumsum(holders > 1) - 1, -1)[column]
+    owner, number = owner[number >= 0], number[number >= 0]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    common = np.zeros((m, m), dtype=np.float32)
+    for start in range(0, int((holders > 1).sum()), 4096):
+        a, b = np.searchsorted(number, [start, start + 4096])
+        part = np.zeros((m, 4096), dtype=np.float32)
+        part[owner[a:b], number[a:b] - start] = 1
+        common += part @ part.T
+    common = common.astype(np.int64)
+    similar = common * 100 >= (sizes[:, None] + sizes[None, :] - common) * percent
+    found, root = [], {}
+
+    def top(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    for i, j in np.argwhere(np.triu(similar & (classes[:, None] != classes[None, :]), 1)).tolist():
+        a, b = top(int(classes[i])), top(int(classes[j]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            found.append((int(ids[i]), int(ids[j])))
+    return found
+
+
+def _rest_links(members: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) among all pairs that share a posting but lie in different classes.
+
+    The members of a posting are dealt to blocks; each pair of blocks is one group, where full sets are compared
+    by matrix products. Pairs never become rows, only links that join classes do. Small postings share groups.
+    """
+    open_ = members.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"),
+                                         F.ceil(F.count(F.lit(1)) / settings.block).cast("int").alias("blocks"))
+    open_ = materialize(members.join(open_.filter("low < high").select("token", "blocks"), "token").select(
+        "token", "id", "class", "blocks"), "open")
+    groups = max(1, open_.count() // settings.block)
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", "id", "class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("token"), F.lit(groups))).otherwise(
+                             F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))).alias("group"))
+    percent = settings.percent
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("token", "ascending"), ("i", "ascending"), ("j", "ascending"), ("id", "ascending")])
+        key = np.stack([table[c].to_numpy() for c in ("token", "i", "j")], axis=1)
+        cuts = np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1
+        links = []
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+            part = table.slice(a, b - a)
+            sets_ = [x.values.to_numpy(zero_copy_only=False) for x in part["set"]]
+            links += block_links(part["id"].to_numpy(), part["class"].to_numpy(), sets_, percent)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return dealt.join(sets, "id").groupBy("group").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def _link_classes(reps: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
@@ -187,24 +252,26 @@ def _link_classes(reps: DataFrame, texts: DataFrame, settings: Settings) -> Data
     spark = reps.sparkSession
     posted = _postings(reps, settings)
     posted = materialize(posted, "postings")
-    met = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    posted = materialize(posted.join(met.select("token"), "token"), "met")
+    # of postings with the same members one is enough
+    met = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"),
+                                      F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("n > 1")
+    posted = materialize(posted.join(met.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token"), "token"), "met")
     involved = posted.select("id").distinct()
     signed = materialize(reps.join(involved, "id").select("id", F.col("n_shingles").alias("n"), "sig"), "signed")
     sets = materialize(shingle_sets(texts.join(involved, "id").dropDuplicates(["id"]), settings, "text"), "sets")
     classes = spark.createDataFrame([], "id bigint, component bigint")
     for turn in range(settings.pivots + 1):
         members = posted.join(classes, "id", "left").select(
-            "token", "id", F.coalesce("component", "id").alias("class"))
+            "token", "id", "weight", F.coalesce("component", "id").alias("class"))
         if turn < settings.pivots:
             pairs = _pivot_pairs(members, settings, turn)
             a = signed.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
             b = signed.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-            pairs = pairs.join(a, "a").join(b, "b").filter(
-                _similar(F.col("sig_a"), F.col("sig_b"), F.col("n_a"), F.col("n_b"), settings)).select("a", "b")
+            pairs = materialize(pairs.join(a, "a").join(b, "b").filter(
+                _similar(F.col("sig_a"), F.col("sig_b"), F.col("n_a"), F.col("n_b"), settings)).select("a", "b"), "pairs")
+            links = materialize(_confirmed(pairs, sets, settings), "links")
         else:
-            pairs = _other_pairs(members, signed, settings)
-        links = materialize(_confirmed(materialize(pairs, "pairs"), sets, settings), "links")
+            links = materialize(_rest_links(members, sets, settings), "links")
         if links.isEmpty():
             continue
         known = classes.select(F.col("id").alias("a"), F.col("component").alias("b"))
