@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantframe.llm import (
-    bpe, html_extraction, near_dedup, quality_classifier, quality_rules, token_files, toxicity, url_filter)
+    bpe, decontamination, html_extraction, language_model, near_dedup, quality_classifier, quality_rules, token_files, toxicity, url_filter)
 from quantframe.llm.common import fold_of
 from quantframe.session import scratch_path
 
@@ -85,6 +85,13 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.page_id", "row.url", "text", "n_chars", "n_blocks")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against all benchmark items."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("row.doc_id", (F.size("items") > 0).alias("contaminated"), "items", "overlap_words")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model that learned from four folds of the labels."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -95,6 +102,17 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "n_segments")
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model that learned from four folds of them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = fold_of("doc_id", 5) == 1
+    model, counts = language_model.fit(docs, ~held)
+    scored = language_model.score(docs, model, counts, keep=["doc_id"]).select(
+        "row.doc_id", "n_tokens", "n_known", "base_score", "score")
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+                         "base_score", "score")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: shingles of three words, similarity 0.85."""
     settings = near_dedup.Settings(width=3, percent=85)
@@ -115,5 +133,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_quality_classifier, op2_url_filter, op3_bpe, op4_html_extraction, op6_toxicity, op8_near_dedup,
-        op9_quality_rules, op10_token_files)}
+        op1_quality_classifier, op2_url_filter, op3_bpe, op4_html_extraction, op5_decontamination, op6_toxicity,
+        op7_language_model, op8_near_dedup, op9_quality_rules, op10_token_files)}
