@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantframe.llm.common import SPACES, let, words_of
+from quantframe.session import materialize
 
 SYMBOLS = "#*$%&|<>"
 #: Characters counted as capitals: ASCII, and the Latin-1 capitals.
@@ -140,16 +141,19 @@ def _limits(sketch: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """(lang, source, one limit per share) for every group: its own sketch, its language's, or that of all."""
+    """(lang, source, one limit per share) for every group: its own sketch, its language's, or that of all.
+
+    The driver gets one row, the limits of all documents.
+    """
     own = _limits(sketch, ["lang", "source"], rules)
     broad = _limits(sketch, ["lang"], rules).select("lang", F.struct("*").alias("by_lang"))
-    every = _limits(sketch.withColumn("_all", F.lit(0)), ["_all"], rules).select(F.struct("*").alias("by_all"), "_all")
-    joined = own.withColumn("_all", F.lit(0)).join(broad, "lang").join(every, "_all")
+    every = _limits(sketch.withColumn("_all", F.lit(0)), ["_all"], rules).first()
+    joined = own.join(broad, "lang")
 
     def pick(name: str) -> Column:
         return (F.when(F.col("docs") >= rules.min_group, F.col(name))
                 .when(F.col("by_lang.docs") >= rules.min_group, F.col(f"by_lang.{name}"))
-                .otherwise(F.col(f"by_all.{name}")).alias(name))
+                .otherwise(F.lit(every[name] if every else None).cast("int")).alias(name))
 
     return joined.select("lang", "source", *(pick(k) for k in TOLERANCE))
 
@@ -174,26 +178,24 @@ def judge(stats: DataFrame, limits: DataFrame, lang: Column, source: Column, rul
     return joined.withColumn("_verdict", verdict).drop("_lang", "_source", "_limits")
 
 
+def _judged(stats: DataFrame, lang: Column, source: Column, rules: Rules) -> DataFrame:
+    """Counts are taken once and kept as a table, then summed to sketches and joined with their limits."""
+    stats = materialize(stats, "stats")
+    sketch = materialize(sketches(stats, lang, source, rules), "sketches")
+    return judge(stats, thresholds(sketch, rules), lang, source, rules)
+
+
 def apply_quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
                         rules: Rules = Rules()) -> DataFrame:
-    """One row per input row: struct ``row`` of the input, structs ``_stats`` and ``_verdict``.
-
-    Texts are read twice, once for the sketches and once for the verdicts: counts are cheaper to repeat than
-    to store beside the texts.
-    """
+    """One row per input row: struct ``row`` of the input, structs ``_stats`` and ``_verdict``."""
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     stats = with_stats(packed.withColumn("_t", F.col("row")[text]), "_t").drop("_t")
-    at = F.col("row")[lang], F.col("row")[source]
-    limits = thresholds(sketches(stats, *at, rules), rules)
-    return judge(stats, limits, *at, rules)
+    return _judged(stats, F.col("row")[lang], F.col("row")[source], rules)
 
 
 def quality_report(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the shares over their limits."""
-    narrow = docs.select("doc_id", "text", "lang", "source")
-    stats = with_stats(narrow).drop("text")
-    at = F.col("lang"), F.col("source")
-    limits = thresholds(sketches(stats, *at, rules), rules)
-    judged = judge(stats, limits, *at, rules)
+    stats = with_stats(docs.select("doc_id", "text", "lang", "source")).drop("text")
+    judged = _judged(stats, F.col("lang"), F.col("source"), rules)
     return judged.select("doc_id", *(f"{STATS}.{c}" for c in BASE), "_verdict.base_failed", "_verdict.kept",
                          F.array_join("_verdict.rejected_by", ",").alias("rejected_by"))
