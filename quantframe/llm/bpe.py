@@ -31,10 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from quantframe.llm.common import field, map_texts
+from quantframe.llm.common import chunks_of, field, map_texts
 
-#: Only these end a chunk when texts are cut; other white space is left to the vocabulary's own rules.
-CUT = b" \t\n\r"
 CACHE = 250_000
 
 
@@ -167,7 +165,7 @@ class PairIndexEncoder:
 
 
 class TextEncoder:
-    """Ids of whole texts. What lies between blanks is a chunk; each distinct chunk has one cached entry."""
+    """Ids of whole texts. Each distinct chunk has one cached entry."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.merge = vocabulary, PairIndexEncoder(vocabulary)
@@ -240,7 +238,7 @@ class TextEncoder:
 
     def chunks(self, texts: list[bytes]) -> list[list[bytes]]:
         """Chunks of each text, all of them known on return."""
-        cut = [t.translate(BLANKS).split(b" ") for t in texts]
+        cut = [chunks_of(t) for t in texts]
         used = set().union(*cut)
         used.add(b"")
         fresh = used.difference(self.known)
@@ -251,9 +249,6 @@ class TextEncoder:
         return cut
 
 
-BLANKS = bytes(32 if b in CUT else b for b in range(256))
-
-
 class ArrayEncoder(TextEncoder):
     """As TextEncoder, but entries are lists of ids."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -17,6 +18,9 @@ SPACES = " \t\n\x0b\f\r"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 ROW, TEXT = "row", "_text"
 PIECE_BYTES = 4 << 20
+#: Only these end a chunk; other white space is left to the vocabulary's own rules.
+BLANKS = bytes(32 if b in b" \t\n\r" else b for b in range(256))
+STOP = re.compile(rb"(?<=[a-z])([,.])(?= |\Z)")
 
 
 def lower_az(text: Column) -> Column:
@@ -53,6 +57,18 @@ def pieces(array: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int
         yield start, len(lengths)
 
 
+def chunks_of(text: bytes) -> list[bytes]:
+    """Pieces of a text that a lower-casing vocabulary without blanks encodes one by one.
+
+    Cut at blanks, and before a comma or full stop that ends a piece after a letter, so that a word has one
+    form; lower-cased in ASCII, unless the text may hold a special token, whose case matters.
+    """
+    text = text.translate(BLANKS)
+    if b"<|" in text:
+        return text.split(b" ")
+    return STOP.sub(b" \\1", text.lower()).split(b" ")
+
+
 def map_texts(df: DataFrame, text: str | Column, make: Callable[[], Callable[[list[bytes]], Sequence[Sequence]]],
               fields: Sequence[T.StructField], keep: Sequence[str] | None = None, limit: int = PIECE_BYTES) -> DataFrame:
     """Columns computed from one text column in Arrow batches, beside a struct ``row`` of the input's columns.

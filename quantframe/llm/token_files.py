@@ -26,6 +26,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,11 +35,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantframe.llm.common import pieces
+from quantframe.llm.common import chunks_of, pieces
 from quantframe.session import ship_package
 
 BLOCK_IDS = 1 << 19
-BLANKS = bytes(32 if b in b" \t\n\r" else b for b in range(256))
 CACHE = 500_000
 SCHEMA = ("part int, seq int, doc_ids array<bigint>, lengths array<int>, n_ids bigint, ranked binary, "
           "control binary, data binary")
@@ -99,7 +99,7 @@ def _ids_of(texts: list[bytes], spec: str, end_id: int) -> Iterator[bytes]:
     """uint32 ids of each text and the end id. The library sees each distinct chunk between blanks once, as
     words never reach over blanks."""
     tokenizer, known = _library(spec)
-    cut = [t.translate(BLANKS).split(b" ") for t in texts]
+    cut = [chunks_of(t) for t in texts]
     used = set().union(*cut)
     fresh = list(used.difference(known))
     if len(known) + len(fresh) > CACHE:
@@ -107,14 +107,7 @@ def _ids_of(texts: list[bytes], spec: str, end_id: int) -> Iterator[bytes]:
         known.clear()
         known.update(kept)
     found = tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in fresh], add_special_tokens=False)
-    flat, counts = [], []
-    for e in found:
-        ids = e.ids
-        flat += ids
-        counts.append(len(ids))
-    octets = np.array(flat, dtype="<u4").tobytes()
-    ends = (np.cumsum(counts) * 4).tolist() if counts else []
-    known.update(zip(fresh, [octets[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+    known.update(zip(fresh, [array("I", e.ids).tobytes() for e in found], strict=True))
     end = int(end_id).to_bytes(4, "little")
     for cs in cut:
         yield b"".join([known[c] for c in cs]) + end
