@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantframe.llm.common import field, map_texts
+from quantframe.session import materialize
 
 WORD = regex.compile(r"\p{L}+")
 CACHE = 200_000
@@ -178,6 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Colu
     drawn = usable.filter(F.pmod(F.xxhash64(doc_id, F.lit(23)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
     sample = docs.select(doc_id, text).join(drawn, doc_id).groupBy(F.xxhash64(text).alias("_h")).agg(
         F.first(text).alias("_t"), F.max("_label").alias("_label")).select("_label", "_t")
+    sample = materialize(sample.repartition(max(8, settings.max_rows // 1000)), "sample")
 
     def make():
         def compute(texts: list[bytes]):
@@ -195,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Colu
         "row._label", F.inline("nodes"))
     t, c = F.col("_label") * F.col("n"), (1 - F.col("_label")) * F.col("n")
     # only nodes of toxic texts can be kept; whole words carry the totals
-    counted = found.groupBy("node").agg(F.sum(t).alias("t"), F.sum(c).alias("c"), F.count(F.lit(1)).alias("docs"))
+    counted = materialize(found.groupBy("node").agg(F.sum(t).alias("t"), F.sum(c).alias("c"), F.count(F.lit(1)).alias("docs")),
+                          "nodes")
     totals = counted.filter(F.col("node").endswith(" ")).agg(F.sum("t"), F.sum("c")).first()
     toxic, clean = int(totals[0] or 0), int(totals[1] or 0)
     if not toxic or not clean:
