@@ -126,8 +126,13 @@ def _drawdown_table(rows: DataFrame, keys: Sequence[str], ts: str, level: Column
     scale = F.coalesce(F.product("_growth").over(earlier), F.lit(1.0)) if compounded else F.lit(1.0)
     scaled = chunks.withColumn("_scale", scale).withColumn("_top", F.col("_scale") * F.col("_high"))
     before = F.max("_top").over(earlier)
-    from_before = F.try_divide(F.col("_scale") * F.col("_low") - before, before)
-    return scaled.withColumn("_depth", F.least(F.col("_depth"), from_before))
+    bottom = F.col("_scale") * F.col("_low")
+    from_before = F.try_divide(bottom - before, before)
+    # what matters is the whole curve: it may overflow or vanish where no chunk of it does
+    return scaled.withColumns({
+        "_depth": F.least(F.col("_depth"), from_before),
+        "_not_finite": F.col("_not_finite") | ~is_finite(F.col("_top")) | ~is_finite(bottom),
+        "_not_positive": F.col("_not_positive") | (bottom <= 0)})
 
 
 def _drawdown_columns() -> list[Column]:

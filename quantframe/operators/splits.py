@@ -62,8 +62,8 @@ def walk_forward_splits(panel: DataFrame, train_days: int, test_days: int, embar
     span = _floor_div(reach, DAY_MICROS)
     if strict:
         message = F.format_string(
-            f"Date range spans %d days, but need at least {need} (train={train_days} + "
-            f"embargo={embargo_days} + test={test_days})", span)
+            f"one fold takes {train_days} + {embargo_days} + {test_days} days of training, embargo and test: "
+            f"need at least {need}, the dates cover %d", span + 1)
         spanned = spanned.filter(F.when(span + 1 >= need, True).otherwise(
             F.raise_error(message).cast("boolean")))
 
@@ -100,7 +100,7 @@ def walk_forward_splits(panel: DataFrame, train_days: int, test_days: int, embar
 
 def _check_split(split: str) -> None:
     if split not in ("train", "test"):
-        raise ValueError(f"split must be 'train' or 'test', got {split!r}")
+        raise ValueError(f"no split is named {split!r}: use train or test")
 
 
 def select_dates(data: DataFrame, fold, split: str = "train", ts: str = "ts") -> DataFrame:

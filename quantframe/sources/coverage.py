@@ -67,36 +67,39 @@ def period_grid(symbols: DataFrame, start: Column, end: Column, unit: str,
         (spans / (60 * bar_minutes)).cast("long").alias("expected"))
 
 
-def missing_periods(bars: DataFrame, grid: DataFrame) -> DataFrame:
+def missing_periods(bars: DataFrame, grid: DataFrame, bar_minutes: int = BAR_MINUTES) -> DataFrame:
     """Periods of the grid that hold fewer bars than expected, with ``present``.
 
-    Bars are counted per period first (combined map-side); only the counts are joined.
+    One pass counts bars per symbol and day, for the day's and for the month's end; months are sums of
+    days, and only the counts are joined. ``bar_minutes`` is the width that the grid was made with.
     """
-    def counted(unit: str) -> DataFrame:
-        stamp = F.col("ts").cast("timestamp")
-        start = F.date_trunc(unit, stamp)
-        following = start + (F.make_ym_interval(months=F.lit(1)) if unit == "month" else _days(1))
-        inside = stamp <= following - _minutes(BAR_MINUTES)
-        return bars.filter(inside).groupBy("symbol", start.alias("period_start")).agg(
-            F.count(F.lit(1)).alias("present")).withColumn("unit", F.lit(unit))
-
-    counts = counted("month").unionByName(counted("day"))
+    stamp = F.col("ts").cast("timestamp")
+    day, month = F.date_trunc("day", stamp), F.date_trunc("month", stamp)
+    in_day = stamp <= day + _days(1) - _minutes(bar_minutes)
+    in_month = stamp <= month + F.make_ym_interval(months=F.lit(1)) - _minutes(bar_minutes)
+    days = bars.groupBy("symbol", day.alias("period_start")).agg(
+        F.count_if(in_day).alias("present"), F.count_if(in_month).alias("of_month"))
+    months = days.groupBy("symbol", F.date_trunc("month", "period_start").alias("period_start")).agg(
+        F.sum("of_month").alias("present"))
+    counts = days.select("symbol", F.lit("day").alias("unit"), "period_start", "present").unionByName(
+        months.select("symbol", F.lit("month").alias("unit"), "period_start", "present"))
     joined = grid.join(counts, ["symbol", "unit", "period_start"], "left")
     filled = joined.withColumn("present", F.coalesce("present", F.lit(0)))
     return filled.filter(F.col("present") < F.col("expected")).select(
         "symbol", "unit", "period_start", "period_end", "expected", "present")
 
 
-def history_gaps(bars: DataFrame, symbols: DataFrame, history_start, as_of) -> DataFrame:
+def history_gaps(bars: DataFrame, symbols: DataFrame, history_start, as_of,
+                 bar_minutes: int = BAR_MINUTES) -> DataFrame:
     """Incomplete periods up to the day before ``as_of``: whole months before that day's month, and the
     single days of that month."""
     begin, now = as_column(history_start).cast("timestamp"), as_column(as_of).cast("timestamp")
     last_day = F.date_trunc("day", now) - _days(1)
     month = F.date_trunc("month", last_day)
     before = month - _days(1)
-    months = period_grid(symbols, begin, before, "month").filter(begin <= before)
-    days = period_grid(symbols, month, last_day, "day").filter(F.date_trunc("day", begin) <= last_day)
-    return missing_periods(bars, months.unionByName(days))
+    months = period_grid(symbols, begin, before, "month", bar_minutes).filter(begin <= before)
+    days = period_grid(symbols, month, last_day, "day", bar_minutes).filter(F.date_trunc("day", begin) <= last_day)
+    return missing_periods(bars, months.unionByName(days), bar_minutes)
 
 
 def fetch_watermark(bars: DataFrame, symbols: DataFrame, as_of, bar_minutes: int = BAR_MINUTES) -> DataFrame:

@@ -6,6 +6,8 @@ Tables are Parquet, partitioned so that a batch rewrites only the partitions it
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,16 +82,14 @@ def _with_month(df: DataFrame, ts: str) -> DataFrame:
 
 
 def _touched_part(stored: DataFrame, incoming: DataFrame, partition_by: Sequence[str]) -> DataFrame:
-    """Stored rows of the partitions that the batch touches.
+    """Stored rows of the partitions that the batch touches, a NULL partition among them.
 
-    The distinct values of each partition column, a few names, become static partition filters; the
-    semi join then selects the exact combinations.
+    The batch's distinct partitions meet the table in a semi join. The month is never NULL, so its plain
+    equality prunes the table's folders at run time; the other columns compare NULL-safe.
     """
-    values = incoming.agg(*(F.collect_set(c).alias(c) for c in partition_by)).first()
-    pruned = stored
-    for column in partition_by:
-        pruned = pruned.filter(F.col(column).isin(list(values[column])))
-    return pruned.join(incoming.select(*partition_by).distinct(), list(partition_by), "left_semi")
+    touched = incoming.select(*(F.col(c).alias(f"_{c}") for c in partition_by)).distinct()
+    same = [F.col(c) == F.col(f"_{c}") if c == MONTH else F.col(c).eqNullSafe(F.col(f"_{c}")) for c in partition_by]
+    return stored.join(touched, reduce(and_, same), "left_semi")
 
 
 def _write_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
@@ -125,6 +125,13 @@ def upsert_history(incoming: DataFrame, path: str, metadata: Mapping[str, object
         raise ValueError(f"partition columns {loose} are not determined by the key {list(key)}")
     # read three times below; parsed and time-stamped once
     batch = materialize(batch, "batch")
+    if MONTH in partition_by:
+        timeless = batch.filter(F.col(ts).isNull())
+        if not timeless.isEmpty():
+            timeless.drop(*order_by).write.mode("append").parquet(f"{path}_rejected")
+            batch = batch.filter(F.col(ts).isNotNull())
+            if batch.isEmpty():
+                return
     fresh = batch.withColumn("_age", F.lit(1))
     types = {c: batch.schema[c].dataType for c in partition_by}
     stored = stored_table(spark, path, table_schema, types)

@@ -10,12 +10,12 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as entry
 from check_oracle import TABLES, canonical
-from quantframe import Layout, catalog
+from quantframe import Layout, catalog, oracle
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test data not present")
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.registered(), oracle.statements()
 TWO_LEVEL = ["forward_returns", "ic_decay", "quantile_returns", "zscore_expanding", "calmar", "equity_curves",
              "hedge_ratio", "signal_sweep", "spread_trades", "spread_equity"]
 
@@ -56,5 +56,9 @@ def test_only_the_screen_has_no_sql():
     assert set(SQL) <= set(QUERIES) and set(QUERIES) - set(SQL) == {"coint_screen"}
 
 
+def test_entry_registers_the_whole_catalog():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_screen_covers_all_pairs(spark):
     assert QUERIES["coint_screen"](spark, SF_DIR).count() == 10

@@ -18,7 +18,7 @@ def test_forward_returns(spark, layout):
 
 
 @pytest.mark.parametrize("horizons,message", [
-    (None, "must be provided"), ([], "not be empty"), ([0], "positive"), ([1, 1], "unique")])
+    (None, "at least one"), ([], "at least one"), ([0], "positive"), ([1, 1], "once")])
 def test_bad_horizons(spark, horizons, message):
     with pytest.raises(ValueError, match=message):
         forward_returns(panel(spark, {"a": walk(5)}), horizons)

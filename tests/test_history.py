@@ -159,3 +159,21 @@ def test_stream_snapshots(spark, tmp_path):
     run_available(stream, sink, str(tmp_path / "c"))
     sink(batch(spark, [("BTC", at(1), 1.0)]), 0)
     assert history.read_table(spark, str(tmp_path / "s")).count() == 1
+
+
+def test_upsert_keeps_rows_of_null_partitions(spark, tmp_path):
+    path = str(tmp_path / "globals")
+    columns = "api_version string, interval string, endpoint string, symbol string, ts timestamp, value double"
+
+    def rows(*rows):
+        return spark.createDataFrame([("v4", None, "index", None, at(d), v) for d, v in rows], columns)
+
+    history.upsert_history(rows((1, 1.0), (2, 2.0)), path)
+    history.upsert_history(rows((2, 9.0), (3, 3.0)), path)
+    stored = history.read_table(spark, path).orderBy("ts").collect()
+    assert [(r["ts"].day, r["value"]) for r in stored] == [(1, 1.0), (2, 9.0), (3, 3.0)]
+    timeless = spark.createDataFrame([("v4", None, "index", None, None, 5.0)], columns)
+    history.upsert_history(timeless.union(rows((4, 4.0))), path)
+    history.upsert_history(timeless, path)
+    assert history.read_table(spark, path).count() == 4
+    assert spark.read.parquet(f"{path}_rejected").count() == 2

@@ -100,3 +100,11 @@ def test_flags(spark, layout):
 def test_metrics_accept_any_grouping(spark):
     df = panel(spark, {"a": DAILY, "b": DAILY}).withColumn("fold_idx", F.month("ts") % 2)
     assert sharpe(df, keys=["series_id", "fold_idx"]).count() == 4
+
+
+@BOTH
+@pytest.mark.parametrize("returns, status", [
+    ([0.5] * 3000 + [-0.2] * 10, "non_finite_equity"), ([-0.5] * 1200, "non_positive_equity")])
+def test_curves_beyond_doubles_are_told_in_both_layouts(spark, layout, returns, status):
+    row = one(calmar(panel(spark, {"A": series(returns)}), layout=layout))["A"]
+    assert (row["status"], row["calmar"], row["max_drawdown"]) == (status, None, None)

@@ -245,3 +245,10 @@ def test_watermark(spark):
     got = {r["symbol"]: (r["from_ts"], r["to_ts"]) for r in plan.collect()}
     ten = dt.datetime(2024, 1, 1, 10, 0)
     assert got == {"OLD": (ten, ten), "EMPTY": (ten - dt.timedelta(days=2), ten)}
+
+
+def test_gaps_of_five_minute_bars(spark):
+    stamps = [dt.datetime(2024, 3, 1) + dt.timedelta(minutes=5 * i) for i in range(288)]
+    full, short = bars_at(spark, {"FULL": stamps, "SHORT": stamps[:-1]}), names(spark, "FULL", "SHORT")
+    got = coverage.history_gaps(full, short, "2024-03-01", "2024-03-02 01:00:00", bar_minutes=5).collect()
+    assert [(r["symbol"], r["expected"], r["present"]) for r in got] == [("SHORT", 288, 287)]
