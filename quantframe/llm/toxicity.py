@@ -29,6 +29,7 @@ from dataclasses import dataclass, field as default
 from math import lgamma
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -183,17 +184,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Colu
 
     def make():
         def compute(texts: list[bytes]):
-            found = []
+            names, counts, ends = [], [], [0]
             for t in texts:
                 nodes = Counter()
                 for w in set(WORD.findall(t.decode("utf-8", "replace").lower())):
                     nodes.update(nodes_of(w, settings))
-                found.append([{"node": k, "n": n} for k, n in nodes.items()])
-            return [found]
+                names += nodes
+                counts += nodes.values()
+                ends.append(len(names))
+            flat = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int32())], ["node", "n"])
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
 
         return compute
 
-    found = map_texts(sample, "_t", make, [field("nodes", "array<struct<node:string,n:int>>")], keep=["_label"]).select(
+    found = map_texts(sample, "_t", make, [field("nodes", "array<struct<node:string,n:int>>")], keep=["_label"],
+                      limit=256 << 10).select(
         "row._label", F.inline("nodes"))
     t, c = F.col("_label") * F.col("n"), (1 - F.col("_label")) * F.col("n")
     # only nodes of toxic texts can be kept; whole words carry the totals
