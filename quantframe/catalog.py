@@ -474,6 +474,26 @@ def _payload_documents(spark, sf_dir, spec):
     return events.select(F.col("event_type").alias("symbol"), "event_id", body.alias("value"))
 
 
+def _snapshot_documents(spark, sf_dir):
+    """One undated list per event, whose record has a symbol of its own."""
+    events = table(spark, sf_dir, "events")
+    record = F.struct(F.col("event_type").alias("symbol"), F.col("value").alias("oi"))
+    body = F.to_json(F.struct(F.lit("0").alias("code"), F.array(record).alias("data")))
+    return events.select(F.col("event_type").alias("symbol"), "event_id", body.alias("value"))
+
+
+def q_read_payload_many(spark, sf_dir):
+    """Landed files with up to a hundred records a document; the folder names the symbol."""
+    events, path = table(spark, sf_dir, "events"), scratch_path(spark, "landed")
+    record = F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("time"), F.col("value").alias("taker_buy_volume_usd"),
+                      F.col("event_id").cast("string").alias("taker_sell_volume_usd"))
+    pages = events.groupBy("event_type", F.floor(F.col("event_id") / 100).alias("page")).agg(F.collect_list(record).alias("data"))
+    body = F.to_json(F.struct(F.lit("0").alias("code"), "data"))
+    pages.select(F.col("event_type").alias("symbol"), body.alias("value")).write.partitionBy("symbol").text(path)
+    read = payloads.read_payload(spark, path, "taker_pair")
+    return read.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "buy", "sell")
+
+
 def _payload_query(spec) -> Query:
     def run(spark, sf_dir):
         parsed = payloads.parse_payload(_payload_documents(spark, sf_dir, spec), spec)
@@ -614,14 +634,16 @@ def q_refresh_bars(spark, sf_dir):
 
 
 def q_refresh_endpoints(spark, sf_dir):
-    """Documents of three endpoints with overlapping records; the last record of a second wins."""
-    names = {"click": "taker_pair", "view": "basis", "error": "fr"}
+    """Documents of five endpoints, a global one and a snapshot among them; the last record of a second wins."""
+    names = {"click": "taker_pair", "view": "basis", "error": "fr", "signup": "cgdi", "purchase": "oi_exchange"}
     landed = None
     for event_type, name in names.items():
         spec = spec_for(name)
-        documents = _payload_documents(spark, sf_dir, spec).filter(F.col("symbol") == event_type)
-        part = documents.select(F.lit("BTC").alias("symbol"), F.lit("4h").alias("interval"),
-                                F.lit(name).alias("endpoint"), "value")
+        documents = _snapshot_documents(spark, sf_dir) if spec.shape == "snapshot" else _payload_documents(spark, sf_dir, spec)
+        symbol, interval = F.lit("BTC" if spec.scope != "global" else None), F.lit("4h" if spec.scope == "symbol_interval" else None)
+        part = documents.filter(F.col("symbol") == event_type).select(
+            symbol.cast("string").alias("symbol"), interval.cast("string").alias("interval"),
+            F.lit(name).alias("endpoint"), "value")
         landed = part if landed is None else landed.unionByName(part)
     summary = refresh.refresh_endpoints(landed, [spec_for(n) for n in names.values()], scratch_path(spark, "endpoints"),
                                         _stamp(_FETCHED[0]))
@@ -629,6 +651,16 @@ def q_refresh_endpoints(spark, sf_dir):
     return named.withColumns({c: F.date_trunc("second", c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
+def q_document_report(spark, sf_dir):
+    """Broken and refused documents, answers without data, foreign symbols and an endpoint nobody asked for."""
+    spec, k = spec_for("coinbase_premium"), F.col("event_id") % 7
+    landed = _payload_documents(spark, sf_dir, spec).select(
+        F.when(k == 0, "ETH").otherwise("BTC").alias("symbol"), F.when(k == 1, "other").otherwise(spec.name).alias("endpoint"),
+        F.when(k == 2, "broken {").when(k == 3, '{"code": "1", "data": []}').when(k == 4, '{"code": "0"}').otherwise(
+            F.col("value")).alias("value"))
+    return refresh.document_report(landed, [spec])
+
+
 def _endpoint_history(spark, sf_dir) -> DataFrame:
     """Hourly history in which each event type stands for one endpoint."""
     names = {"click": "taker_pair", "view": "taker_agg", "error": "basis", "signup": "fr_oi_weight",

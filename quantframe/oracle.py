@@ -447,10 +447,18 @@ SELECT symbol, ts, o, h, l, CASE WHEN ts >= TIMESTAMP '{catalog.TAIL_FROM}' THEN
 WHERE ts + INTERVAL 15 MINUTE <= TIMESTAMP '{catalog.REFRESH_AS_OF}'"""
     sql["refresh_endpoints"] = """WITH e AS (
   SELECT CASE event_type WHEN 'click' THEN 'taker_pair' WHEN 'view' THEN 'basis' WHEN 'error' THEN 'fr' END AS endpoint,
-         date_trunc(CASE WHEN event_type <> 'error' AND event_id % 2 = 1 THEN 'millisecond' ELSE 'second' END, ts) AS ts FROM events)
+         event_type, date_trunc(CASE WHEN event_type <> 'error' AND event_id % 2 = 1 THEN 'millisecond' ELSE 'second' END, ts) AS ts FROM events)
 SELECT 'v4_4h' AS scope, 'BTC_' || endpoint AS name, count(DISTINCT ts) AS rows,
        CAST(date_trunc('second', min(ts)) AS TIMESTAMP) AS start, CAST(date_trunc('second', max(ts)) AS TIMESTAMP) AS "end"
-FROM e WHERE endpoint IS NOT NULL GROUP BY endpoint"""
+FROM e WHERE endpoint IS NOT NULL GROUP BY endpoint
+UNION ALL SELECT 'v4_global', 'cgdi', count(DISTINCT ts), CAST(date_trunc('second', min(ts)) AS TIMESTAMP),
+       CAST(date_trunc('second', max(ts)) AS TIMESTAMP) FROM e WHERE event_type = 'signup'
+UNION ALL SELECT 'v4_snapshot', 'BTC_oi_exchange', count(*), NULL, NULL FROM e WHERE event_type = 'purchase'"""
+    sql["document_report"] = """SELECT CASE event_id % 7 WHEN 1 THEN 'other' ELSE 'coinbase_premium' END AS endpoint,
+       CASE event_id % 7 WHEN 0 THEN 'unsupported_symbol' WHEN 1 THEN 'unknown_endpoint' WHEN 2 THEN 'unreadable'
+            WHEN 3 THEN 'refused' WHEN 4 THEN 'no_data' ELSE 'ok' END AS status, count(*) AS documents FROM events GROUP BY 1, 2"""
+    sql["read_payload_many"] = """SELECT event_type AS symbol, date_trunc('millisecond', ts) AS ts, value AS buy,
+       CAST(event_id AS DOUBLE) AS sell FROM events"""
     sql["export_taker"] = f"""WITH {ENDPOINT_HISTORY} SELECT CASE endpoint WHEN 'taker_pair' THEN 'pair' ELSE 'agg' END AS endpoint,
        symbol, "interval", ts, value FROM history WHERE "interval" = '4h' AND endpoint IN ('taker_pair', 'taker_agg')"""
     sql["export_daily"] = f"""WITH {ENDPOINT_HISTORY} SELECT CASE endpoint WHEN 'basis' THEN 'basis' ELSE 'fr_oiw' END AS endpoint,

@@ -15,6 +15,7 @@ from quantframe.sources.specs import PayloadSpec, spec_for
 
 DOCUMENT = "value"
 MILLIS_FROM = 1e12
+SUCCESS = "0"
 
 
 def epoch_to_timestamp(value: Column) -> Column:
@@ -41,6 +42,15 @@ def _record_type(spec: PayloadSpec) -> T.StructType:
     return T.StructType([T.StructField(f, T.StringType()) for f in (spec.time_field, *spec.fields)])
 
 
+def document_status(envelope: bool = True) -> Column:
+    """``unreadable`` (no JSON), ``refused`` (another code than 0), ``no_data``, or ``ok``."""
+    status = F.when(F.try_parse_json(F.col(DOCUMENT)).isNull(), "unreadable")
+    if envelope:
+        status = status.when(F.get_json_object(DOCUMENT, "$.code") != SUCCESS, "refused")
+        status = status.when(F.get_json_object(DOCUMENT, "$.data").isNull(), "no_data")
+    return status.otherwise("ok")
+
+
 def _records(raw: DataFrame, spec: PayloadSpec, envelope: bool) -> DataFrame:
     """One row per record, in column ``_r`` with its place ``record_no`` in the document."""
     kept = [c for c in raw.columns if c != DOCUMENT]
@@ -51,8 +61,11 @@ def _records(raw: DataFrame, spec: PayloadSpec, envelope: bool) -> DataFrame:
         body = T.ArrayType(_record_type(spec))
     else:
         body = _record_type(spec)
-    parsed = F.from_json(F.col(DOCUMENT), T.StructType([T.StructField("data", body)]) if envelope else body)
-    data = parsed["data"] if envelope else parsed
+    response = T.StructType([T.StructField("code", T.StringType()), T.StructField("data", body)])
+    parsed = F.from_json(F.col(DOCUMENT), response if envelope else body)
+    data = parsed
+    if envelope:
+        data = F.when(F.coalesce(parsed["code"], F.lit(SUCCESS)) == SUCCESS, parsed["data"])
     if spec.shape == "parallel":
         lists = [data[f] for f in (spec.time_field, *spec.fields)]
         well_formed = F.size(lists[0]) == F.size(lists[1])
@@ -61,14 +74,20 @@ def _records(raw: DataFrame, spec: PayloadSpec, envelope: bool) -> DataFrame:
         # a line that is no object parses to a record without any field
         filled = F.coalesce(*(data[f] for f in (spec.time_field, *spec.fields)))
         data = F.when(filled.isNotNull(), F.array(data))
+    if spec.strict:
+        status = document_status(envelope)
+        # an answer without data has no records; anything else that gives none is an error
+        wrong = ~status.isin("no_data", "ok") | (status == "ok" if envelope else F.lit(False))
+        failure = F.raise_error(F.concat(F.lit(f"{spec.name}: bad document: "), F.substring(DOCUMENT, 1, 200)))
+        data = F.when(data.isNull(), F.when(wrong, failure)).otherwise(data)
     return raw.select(*kept, F.posexplode(data).alias("record_no", "_r"))
 
 
 def parse_payload(raw: DataFrame, spec: PayloadSpec | str, envelope: bool = True) -> DataFrame:
     """``ts`` and the endpoint's value columns for each record, next to the kept input columns.
 
-    Fields a record lacks are NULL, malformed or wrongly shaped documents give no rows
-    (``corrupt_documents`` lists them).
+    Fields a record lacks are NULL. A document that is malformed, refused or wrongly shaped fails the job
+    where the spec is strict, and gives no rows elsewhere (``corrupt_documents`` lists them).
     """
     spec = spec_for(spec) if isinstance(spec, str) else spec
     if spec.shape == "snapshot":
@@ -78,20 +97,12 @@ def parse_payload(raw: DataFrame, spec: PayloadSpec | str, envelope: bool = True
     values = {out: _number(F.col("_r")[f], spec) for f, out in spec.fields.items()}
     typed = rows.select(*kept, "record_no", _timestamp(F.col("_r")[spec.time_field], spec).alias("ts"),
                         *(c.alias(n) for n, c in values.items()))
-    if spec.name == "liq":
-        typed = typed.withColumns({
-            "net_liq": F.col("long_liq") - F.col("short_liq"),
-            "total_liq": F.col("long_liq") + F.col("short_liq")})
-    return typed
+    return typed.withColumns({name: F.expr(formula) for name, formula in spec.derived.items()})
 
 
 def corrupt_documents(raw: DataFrame, envelope: bool = True) -> DataFrame:
-    """Input rows that are no JSON document, or carry no ``data`` where an envelope is expected."""
-    readable = F.try_parse_json(F.col(DOCUMENT))
-    bad = readable.isNull()
-    if envelope:
-        bad = bad | F.get_json_object(DOCUMENT, "$.data").isNull()
-    return raw.filter(F.coalesce(bad, F.lit(True)))
+    """Input rows that are no JSON document, or where an envelope is expected, were refused or carry no ``data``."""
+    return raw.filter(document_status(envelope) != "ok")
 
 
 def read_payload(spark: SparkSession, path: str, spec: PayloadSpec | str, envelope: bool = True) -> DataFrame:

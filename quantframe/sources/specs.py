@@ -9,7 +9,8 @@ from dataclasses import dataclass, field
 @dataclass(frozen=True)
 class PayloadSpec:
     """``fields`` maps record fields to output columns. ``strict`` numbers fail the job when malformed,
-    others become NULL. ``epoch`` is ``s`` for seconds or ``auto`` for seconds or milliseconds."""
+    others become NULL. ``epoch`` is ``s`` for seconds or ``auto`` for seconds or milliseconds.
+    ``derived`` are further columns as SQL over the value columns."""
 
     name: str
     api_version: str
@@ -20,6 +21,7 @@ class PayloadSpec:
     strict: bool = False
     epoch: str = "auto"
     shape: str = "records"
+    derived: Mapping[str, str] = field(default_factory=dict)
 
 
 # Names, paths and fields of the landed records -------------------------------------
@@ -29,8 +31,8 @@ INTERVALS = ("4h", "6h", "12h", "1d")
 _OHLC = {"open": "open", "high": "high", "low": "low", "close": "close"}
 
 
-def _v3(name, path, time_field, fields):
-    return PayloadSpec(name, "v3", "symbol_interval", path, time_field, fields, strict=True, epoch="s")
+def _v3(name, path, time_field, fields, **derived):
+    return PayloadSpec(name, "v3", "symbol_interval", path, time_field, fields, strict=True, epoch="s", derived=derived)
 
 
 def _v4(name, path, fields):
@@ -49,7 +51,8 @@ V3_SPECS = (
     _v3("oi", "/futures/openInterest/ohlc-aggregated-history", "t",
         {"o": "oi_open", "h": "oi_high", "l": "oi_low", "c": "oi_close"}),
     _v3("liq", "/futures/liquidation/aggregated-history", "t",
-        {"longLiquidationUsd": "long_liq", "shortLiquidationUsd": "short_liq"}),
+        {"longLiquidationUsd": "long_liq", "shortLiquidationUsd": "short_liq"},
+        net_liq="long_liq - short_liq", total_liq="long_liq + short_liq"),
     _v3("global_ls", "/futures/globalLongShortAccountRatio/history", "time",
         {"longShortRatio": "global_ls_ratio", "longAccount": "global_long_pct"}),
     _v3("top_acct", "/futures/topLongShortAccountRatio/history", "time",

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quantframe.sources import coverage, klines, payloads, universe
+from quantframe.sources import coverage, klines, payloads, refresh, universe
 from quantframe.sources.specs import RESEARCH_SYMBOLS, SPECS, spec_for
 
 T0 = 1_700_000_000
@@ -90,6 +90,44 @@ def test_corrupt_documents_are_listed(spark):
     assert {r["value"] for r in payloads.corrupt_documents(df).collect()} == {"broken {", '{"code": "1"}'}
 
 
+@pytest.mark.parametrize("body", ["broken {", '{"code": "429", "msg": "slow"}', '{"code": "0", "data": 5}'])
+def test_strict_endpoints_fail_on_bad_documents(spark, body):
+    bodies = [[{"t": T0, "c": 1}], body]
+    with pytest.raises(Exception, match="fr: bad document"):
+        payloads.parse_payload(documents(spark, bodies), "fr").collect()
+    assert payloads.parse_payload(documents(spark, bodies), "cgdi").filter("cgdi IS NOT NULL").count() == 0
+
+
+def test_strict_endpoints_accept_answers_without_data(spark):
+    got = payloads.parse_payload(documents(spark, [[{"t": T0, "c": 1}], '{"code": "0"}', []]), "fr")
+    assert [r["fr_close"] for r in got.collect()] == [1.0]
+
+
+def test_refused_answers_give_no_rows(spark):
+    body = json.dumps({"code": "1", "data": [{"time": T0, "cgdi_index_value": 1}]})
+    assert payloads.parse_payload(documents(spark, [body]), "cgdi").count() == 0
+
+
+def test_refresh_of_globals_and_snapshots(spark, tmp_path):
+    def landed(cgdi, exchanges, symbol="BTC"):
+        answers = [(None, None, "cgdi", cgdi), (symbol, None, "oi_exchange", exchanges), ("XRP", None, "option_maxpain", [{"p": 1}])]
+        rows = [(s, i, e, json.dumps({"code": "0", "data": d}, indent=1)) for s, i, e, d in answers]
+        return spark.createDataFrame([*rows, (None, None, "nobody", "{}")], "symbol string, interval string, endpoint string, value string")
+
+    specs = [spec_for(n) for n in ("cgdi", "oi_exchange", "option_maxpain")]
+    path = str(tmp_path / "store")
+    first = landed([{"time": T0, "cgdi_index_value": 1}, {"time": T0 + 60, "cgdi_index_value": 2}], [{"symbol": "x", "oi": 1}])
+    refresh.refresh_endpoints(first, specs, path)
+    second = landed([{"time": T0 + 60, "cgdi_index_value": 3}], [{"symbol": "x", "oi": 2, "new": "n"}, {"symbol": "y"}])
+    named = refresh.with_scope_names(refresh.refresh_endpoints(second, specs, path))
+    got = {(r["scope"], r["name"]): (r["rows"], r["start"] is None) for r in named.collect()}
+    assert got == {("v4_global", "cgdi"): (2, False), ("v4_snapshot", "BTC_oi_exchange"): (3, True)}
+    assert {r["symbol"] for r in spark.read.parquet(f"{path}/oi_exchange").collect()} == {"BTC"}
+    report = spark.read.parquet(f"{path}_documents").groupBy("endpoint", "status").agg(F.sum("documents").alias("n"))
+    assert {tuple(r) for r in report.collect()} == {
+        ("cgdi", "ok", 2), ("oi_exchange", "ok", 2), ("option_maxpain", "unsupported_symbol", 2), ("nobody", "unknown_endpoint", 2)}
+
+
 def test_landed_directories_become_columns(spark, tmp_path):
     folder = tmp_path / "symbol=ETH" / "interval=4h"
     folder.mkdir(parents=True)
