@@ -1,19 +1,23 @@
 """Language-model scores by a log-bilinear neural model trained with noise-contrastive estimation.
 
-Model. The most frequent ``words`` words, the end of a text and one class of all other words are predicted from
-the two tokens before: context vectors of both places are weighted and added, and a matrix product with the
-output vectors gives scores, which a sum over all outputs turns into log-probabilities. A word of the other
-class has, inside the class, the probability of its smoothed count, so a text's probability adds up to one over
+Model. Every word with ``least`` occurrences, and in small corpora the ``words`` most frequent ones, the end of a
+text and one class of all other words are predicted from the two tokens before: context vectors of both places
+are weighted and added, and products with output vectors give scores. The vocabulary follows the corpus. The
+softmax is factored: outputs are cut by frequency into classes of about equal sums of square roots of their
+shares, and a token's probability is that of its class times its own inside the class. A word of the other
+class has, inside that class, the probability of its smoothed count, so a text's probability adds up to one over
 all texts.
 
 Training. Word counts and the counts of (before, before, token) come from all training texts, summed over the
-cluster. The second table has at most (words + 2)**3 rows whatever the corpus; it is split over ``shards`` groups, in
-each of which numpy draws tokens in proportion to their counts, with noise tokens from the unigram, and takes
-AdaGrad steps. After every round the shards' parameters are averaged.
+cluster. The second table is split over ``shards`` groups, in each of which numpy draws tokens in proportion to
+their counts, with noise words and noise classes from their unigrams, and takes AdaGrad steps on the rows it
+meets. After every round each row's change is averaged over the shards that met it, weighted by how often they
+did; the sums are made block by block on the cluster, and the driver adds one change per row.
 
-Scoring. Texts are scored in Arrow batches against one table of log-probabilities, computed by batched matrix
-products. Counts of the ``local_words`` most frequent words are broadcast; those of other words meet the texts in
-a join on the word's hash, summed per text.
+Scoring. Texts are scored in Arrow batches: the distinct contexts of a batch meet all classes, and its distinct
+contexts and tokens the outputs of their class, in matrix products. Counts of the ``local_words`` most frequent
+words, at least those of the vocabulary, are broadcast; those of other words meet the texts in a join on the
+word's hash, summed per text.
 
 Defined cases: NULL text is empty and is one end token; without training texts every count is zero; repeated
 rows are scored alike.
@@ -35,9 +39,16 @@ from quantframe.llm.common import field, map_texts
 from quantframe.session import materialize, ship_package
 
 
+#: Keys scored at a time, contexts that meet the classes at a time, and scores inside a class at a time.
+PIECE, ROWS, CELLS = 1 << 17, 1 << 13, 1 << 22
+#: Rows of a parameter averaged at a time, and the largest vocabulary whose keys fit 63 bits.
+BLOCK, MOST_OUTPUTS = 1 << 13, (1 << 21) - 1
+
+
 @dataclass(frozen=True)
 class Settings:
     words: int = 254
+    least: int = 20
     local_words: int = 150_000
     size: int = 24
     noise: int = 48
@@ -49,7 +60,7 @@ class Settings:
 
     @property
     def outputs(self) -> int:
-        """End of text (0), the words, and the class of other words."""
+        """End of text (0), ``words`` words, and the class of other words: the smallest model of a corpus."""
         return self.words + 2
 
 
@@ -141,11 +152,29 @@ def count_contexts(texts: DataFrame, text: str, words: tuple[bytes, ...], output
     return parts.groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def class_edges(unigram: np.ndarray) -> np.ndarray:
+    """First output of each class, and the number of outputs: about equal sums of square roots of the shares, which
+    keep the expected products per token lowest."""
+    root = np.sqrt(unigram)
+    upto = np.cumsum(root)
+    number = ((upto - root / 2) / upto[-1] * np.ceil(upto[-1])).astype(np.int64)
+    return np.append(np.unique(number, return_index=True)[1], len(unigram)).astype(np.int64)
+
+
 def new_params(unigram: np.ndarray, settings: Settings, seed: int = 1) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    shape = settings.outputs, settings.size
-    return {"context": rng.normal(0, 0.1, shape).astype(np.float32), "output": rng.normal(0, 0.1, shape).astype(np.float32),
-            "place": np.ones((2, settings.size), dtype=np.float32), "bias": np.log(unigram).astype(np.float32)}
+    edges = class_edges(unigram)
+
+    def normal(rows: int) -> np.ndarray:
+        return rng.normal(0, 0.1, (rows, settings.size)).astype(np.float32)
+
+    return {"context": normal(len(unigram)), "output": _with_bias(normal(len(unigram)), unigram),
+            "classes": _with_bias(normal(len(edges) - 1), np.add.reduceat(unigram, edges[:-1])),
+            "place": np.ones((2, settings.size), dtype=np.float32), "edges": edges}
+
+
+def _with_bias(vectors: np.ndarray, unigram: np.ndarray) -> np.ndarray:
+    return np.column_stack([vectors, np.log(unigram)]).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -156,51 +185,85 @@ def train_shard(keys: np.ndarray, counts: np.ndarray, params: dict[str, np.ndarr
                 settings: Settings, seed: int) -> dict[str, np.ndarray]:
     """One round of noise-contrastive estimation on tokens drawn in proportion to their counts."""
     rng = np.random.default_rng(seed)
-    p = {k: v.astype(np.float32).copy() for k, v in params.items()}
-    seen = {k: np.full_like(v, 1e-3) for k, v in p.items()}
+    edges, size = params["edges"], settings.size
+    p = {k: v.copy() for k, v in params.items()}
+    seen = {k: np.full_like(v, 1e-3) for k, v in p.items() if k != "edges"}
     drawn = rng.choice(keys, settings.draws, p=counts / counts.sum())
-    v = settings.outputs
+    v = len(unigram)
     token, one, two = drawn % v, drawn // v % v, drawn // v // v
-    base = np.log(settings.noise * unigram).astype(np.float32)
-
-    def step(name: str, grad: np.ndarray) -> None:
-        seen[name] += grad * grad
-        p[name] += settings.rate * grad / np.sqrt(seen[name])
+    class_of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    heads = [(name, at, np.log(settings.noise * share).astype(np.float32), np.cumsum(share) / share.sum())
+             for name, at, share in (("output", token, unigram),
+                                     ("classes", class_of[token], np.add.reduceat(unigram, edges[:-1])))]
+
+    def step(name: str, rows: np.ndarray, grad: np.ndarray) -> None:
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        rows, grad = rows[first], np.add.reduceat(grad[order], first, axis=0)
+        total = seen[name][rows] + grad * grad
+        seen[name][rows] = total
+        p[name][rows] += settings.rate * grad / np.sqrt(total)
 
     for a in range(0, len(drawn), settings.batch):
-        first, second, w = one[a:a + settings.batch], two[a:a + settings.batch], token[a:a + settings.batch]
-        noise = rng.choice(v, settings.noise, p=unigram)  # one draw for the whole batch
+        first, second = one[a:a + settings.batch], two[a:a + settings.batch]
         r1, r2 = p["context"][first], p["context"][second]
-        h = r1 * p["place"][0] + r2 * p["place"][1]
-        q, q_noise = p["output"][w], p["output"][noise]
-        right = (1 - _sigmoid((h * q).sum(axis=1) + p["bias"][w] - base[w])) / len(w)
-        wrong = -_sigmoid(h @ q_noise.T + p["bias"][noise] - base[noise]) / len(w)
-        d_h = right[:, None] * q + wrong @ q_noise
-        grad, bias = np.zeros_like(p["output"]), np.zeros_like(p["bias"])
-        np.add.at(grad, w, right[:, None] * h)
-        np.add.at(grad, noise, wrong.T @ h)
-        np.add.at(bias, w, right)
-        np.add.at(bias, noise, wrong.sum(axis=0))
-        context = np.zeros_like(p["context"])
-        np.add.at(context, first, d_h * p["place"][0])
-        np.add.at(context, second, d_h * p["place"][1])
-        step("place", np.stack([(d_h * r1).sum(axis=0), (d_h * r2).sum(axis=0)]))
-        step("output", grad)
-        step("bias", bias)
-        step("context", context)
+        h = np.ones((len(first), size + 1), dtype=np.float32)
+        h[:, :size] = r1 * p["place"][0] + r2 * p["place"][1]
+        d_h, steps = 0, []
+        for name, at, base, upto in heads:
+            w = at[a:a + settings.batch]
+            # one draw for the whole batch
+            noise = np.minimum(np.searchsorted(upto, rng.random(settings.noise), side="right"), len(upto) - 1)
+            q, q_noise = p[name][w], p[name][noise]
+            right = 1 - _sigmoid(np.einsum("ij,ij->i", h, q) - base[w])
+            wrong = -_sigmoid(h @ q_noise.T - base[noise])
+            d_h = d_h + (right[:, None] * q + wrong @ q_noise)[:, :size]
+            steps.append((name, np.concatenate([w, noise]), np.concatenate([right[:, None] * h, wrong.T @ h])))
+        steps.append(("context", np.concatenate([first, second]), np.concatenate([d_h * p["place"][0], d_h * p["place"][1]])))
+        steps.append(("place", np.arange(2), np.stack([(d_h * r1).sum(axis=0), (d_h * r2).sum(axis=0)])))
+        for name, rows, grad in steps:
+            step(name, rows, grad)
     return p
 
 
+def _log_sum(score: np.ndarray) -> np.ndarray:
+    top = score.max(axis=1)
+    return top + np.log(np.exp(score - top[:, None]).sum(axis=1))
+
+
+def log_probs(params: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """Normalised natural log-probability of each key's token after its context. Keys are distinct and sorted."""
+    out = np.empty(len(keys), dtype=np.float64)
+    edges, v, size = params["edges"], len(params["output"]), params["context"].shape[1]
+    class_of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    for a in range(0, len(keys), PIECE):
+        part = keys[a:a + PIECE]
+        token, context = part % v, part // v
+        new = np.concatenate([[True], context[1:] != context[:-1]])
+        context, place = context[new], np.cumsum(new) - 1
+        h = np.ones((len(context), size + 1), dtype=np.float32)
+        h[:, :size] = params["context"][context % v] * params["place"][0] + params["context"][context // v] * params["place"][1]
+        norm = np.concatenate([_log_sum(h[b:b + ROWS] @ params["classes"].T) for b in range(0, len(h), ROWS)])
+        group = class_of[token]
+        value = np.einsum("ij,ij->i", h[place], params["classes"][group]) - norm[place]
+        order = np.argsort(group, kind="stable")
+        ends = np.searchsorted(group[order], np.arange(len(edges)))
+        for c in np.unique(group):
+            low, high = edges[c], edges[c + 1]
+            step = max(1, CELLS // int(high - low))
+            for b in range(ends[c], ends[c + 1] if high > low + 1 else 0, step):
+                at = order[b:min(b + step, ends[c + 1])]
+                score = h[place[at]] @ params["output"][low:high].T
+                value[at] += score[np.arange(len(at)), token[at] - low] - _log_sum(score)
+        out[a:a + PIECE] = value
+    return out
+
+
 def log_table(params: dict[str, np.ndarray]) -> np.ndarray:
-    """Normalised natural log-probabilities [two before, one before, token]."""
-    v = len(params["bias"])
-    table = np.empty((v, v, v), dtype=np.float32)
-    one = params["context"] * params["place"][0]
-    for two in range(v):
-        score = (one + params["context"][two] * params["place"][1]) @ params["output"].T + params["bias"]
-        score -= score.max(axis=1, keepdims=True)
-        table[two] = score - np.log(np.exp(score).sum(axis=1, keepdims=True))
-    return table
+    """The log-probabilities [two before, one before, token] of a small vocabulary."""
+    v = len(params["output"])
+    return log_probs(params, np.arange(v ** 3)).reshape(v, v, v)
 
 
 def fit(docs: DataFrame, training: Column | None = None, text: str = "text",
@@ -211,63 +274,90 @@ def fit(docs: DataFrame, training: Column | None = None, text: str = "text",
     texts = docs if training is None else docs.filter(training)
     counts = materialize(count_words(texts, text), "words")
     n_texts = texts.select(F.lit(1)).count()
-    total = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(settings.local_words).select("word", "n").toPandas()
+    total = counts.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") >= settings.least)).first()
+    tokens, types = int(total[0] or 0), int(total[1])
+    known = max(settings.words, int(total[2]))
+    if known + 2 > MOST_OUTPUTS:
+        raise ValueError(f"{known} words occur {settings.least} times; raise least so that fewer than {MOST_OUTPUTS} do")
+    top = counts.orderBy(F.desc("n"), "word").limit(max(settings.local_words, known)).select("word", "n").toPandas()
     local = dict(zip(map(bytes, top["word"]), map(int, top["n"]), strict=True))
-    words = tuple(list(local)[:settings.words])
+    words = tuple(list(local)[:known])
     held = sum(local[w] for w in words)
-    tokens, types = int(total[0] or 0), int(total[1])
     # every output keeps some mass, seen or not
-    unigram = np.array([n_texts, *(local[w] for w in words), *[0] * (settings.words - len(words)), tokens - held]) + 0.5
+    unigram = np.array([n_texts, *(local[w] for w in words), tokens - held]) + 0.5
     unigram = unigram / unigram.sum()
     params = new_params(unigram, settings)
-    contexts = count_contexts(texts, text, words, settings.outputs).withColumn(
+    contexts = count_contexts(texts, text, words, len(unigram)).withColumn(
         "shard", F.pmod(F.xxhash64("key"), F.lit(settings.shards)).cast("int"))
     contexts = materialize(contexts, "contexts")
     for turn in range(settings.rounds if n_texts else 0):
         train = _round(spark.sparkContext.broadcast(params), unigram, settings, turn)
-        schema = "weight double, " + ", ".join(f"{k} binary" for k in params)
-        shards = contexts.groupBy("shard").applyInArrow(train, schema).collect()
-        whole = sum(s["weight"] for s in shards)
-        params = {k: sum(np.frombuffer(s[k], np.float32).reshape(v.shape) * np.float32(s["weight"] / whole) for s in shards)
-                  for k, v in params.items()}
+        changes = contexts.groupBy("shard").applyInArrow(train, "name string, block int, rows binary, weight binary, change binary")
+        changes = changes.groupBy("name", "block").applyInArrow(_average, "name string, rows binary, change binary")
+        params = {k: v.copy() for k, v in params.items()}
+        for c in changes.collect():
+            params[c["name"]][np.frombuffer(c["rows"], np.int32)] += _matrix(c["change"], params[c["name"]].shape[1])
     model = Model(words, local, tokens + n_texts, types + int(n_texts > 0), n_texts, tokens - held,
                   max(types - len(words), 0), params)
     return model, counts
 
 
+def _matrix(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data, np.float16).astype(np.float32).reshape(-1, width)
+
+
 def _round(shared, unigram: np.ndarray, settings: Settings, turn: int):
-    """What one shard does in one round."""
+    """What one shard does in one round: the rows it changed, block by block, and how often it met them."""
     def train(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["key"].to_numpy())
-        keys, n = table["key"].to_numpy()[order], table["n"].to_numpy()[order]
-        done = train_shard(keys, n, shared.value, unigram, settings, turn * 1000 + int(table["shard"][0].as_py()))
-        return pa.table({"weight": [float(n.sum())], **{k: [v.tobytes()] for k, v in done.items()}})
+        keys, n, params = table["key"].to_numpy(), table["n"].to_numpy(), shared.value
+        order = np.lexsort((n, keys))
+        keys, n, v = keys[order], n[order], len(unigram)
+        done = train_shard(keys, n, params, unigram, settings, turn * 100_000 + int(table["shard"][0].as_py()))
+        token = np.bincount(keys % v, n, v)
+        met = {"output": token, "context": np.bincount(keys // v % v, n, v) + np.bincount(keys // v // v, n, v),
+               "classes": np.add.reduceat(token, params["edges"][:-1]), "place": np.full(2, n.sum(), dtype=np.float64)}
+        out = {"name": [], "block": [], "rows": [], "weight": [], "change": []}
+        for name, times in met.items():
+            change = done[name] - params[name]
+            changed = np.flatnonzero(change.any(axis=1)).astype(np.int32)
+            for block in np.unique(changed // BLOCK).tolist():
+                rows = changed[changed // BLOCK == block]
+                weight = np.maximum(times[rows], 0.5).astype(np.float32)  # met as noise only
+                values = name, block, rows.tobytes(), weight.tobytes(), change[rows].astype(np.float16).tobytes()
+                for column, value in zip(out.values(), values, strict=True):
+                    column.append(value)
+        kinds = pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()
+        return pa.table({k: pa.array(x, t) for (k, x), t in zip(out.items(), kinds, strict=True)})
 
     return train
 
 
-_tables: dict[bytes, np.ndarray] = {}
-
-
-def _table_of(params: dict[str, np.ndarray]) -> np.ndarray:
-    """The log-probability table, once per worker process."""
-    key = xxhash.xxh3_128_digest(b"".join(v.tobytes() for v in params.values()))
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = log_table(params)
-    return _tables[key]
+def _average(table: pa.Table) -> pa.Table:
+    """Mean change of the rows of one block over the shards that met them."""
+    parts = sorted((r["rows"], r["weight"], r["change"]) for r in table.to_pylist())
+    start = int(table["block"][0].as_py()) * BLOCK
+    total, weights = None, np.zeros((BLOCK, 1))
+    for rows, weight, change in parts:
+        at, w = np.frombuffer(rows, np.int32) - start, np.frombuffer(weight, np.float32)[:, None]
+        change = _matrix(change, len(change) // 2 // len(at))
+        total = np.zeros((BLOCK, change.shape[1])) if total is None else total
+        total[at] += w * change
+        weights[at] += w
+    met = np.flatnonzero(weights[:, 0])
+    mean = (total[met] / weights[met]).astype(np.float16)
+    return pa.table({"name": pa.array([table["name"][0].as_py()], pa.string()),
+                     "rows": pa.array([(met + start).astype(np.int32).tobytes()], pa.binary()),
+                     "change": pa.array([mean.tobytes()], pa.binary())})
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", keep: list[str] | None = None,
           settings: Settings = Settings()) -> DataFrame:
     """Struct ``row`` of the kept columns, n_tokens, n_known, base_score and score (log10) of each text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    v = settings.outputs
+    v = len(model.words) + 2
 
     def make():
         m = shared.value
-        table = _table_of(m.params).reshape(-1)
         ids = {w: i for i, w in enumerate(m.words, 1)}
         place = {w: i for i, w in enumerate(m.local)}
         logs = np.log10(np.array([*m.local.values(), 0]) + 0.5)
@@ -279,18 +369,18 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
 
         def compute(texts: list[bytes]):
             out = [[] for _ in range(8)]
-            for t in texts:
-                words = words_of(t)
-                at = np.array([place.get(w, far) for w in words], dtype=np.int64)
-                tokens = np.append(output[at], 0)
+            split = [words_of(t) for t in texts]
+            placed = [np.array([place.get(w, far) for w in words], dtype=np.int64) for words in split]
+            keys, back = np.unique(np.concatenate([_keys(np.append(output[at], 0), v) for at in placed]), return_inverse=True)
+            parts = np.split(log_probs(m.params, keys)[back] / np.log(10), np.cumsum([len(at) + 1 for at in placed])[:-1])
+            for t, words, at, model_log in zip(texts, split, placed, parts, strict=True):
                 near = at < far
-                rare = tokens[:-1] == v - 1
-                model_log = float(table[_keys(tokens, v)].sum(dtype=np.float64)) / np.log(10)
+                rare = output[at] == v - 1
                 rest = Counter([w for w, ok in zip(words, near.tolist(), strict=True) if not ok])
                 n = len(words)
                 values = (n + 1, int(near.sum()) + end_known,
                           float(logs[at[near]].sum() + end_log - base_norm * (n + 1)),
-                          model_log + float(logs[at[near & rare]].sum() - other_norm * rare.sum()),
+                          float(model_log.sum() + logs[at[near & rare]].sum() - other_norm * rare.sum()),
                           list(map(word_hash, rest)), list(rest.values()), word_hash(t),
                           xxhash.xxh3_64_intdigest(t, seed=1) - (1 << 63))
                 for column, value in zip(out, values, strict=True):

@@ -430,6 +430,19 @@ def test_probabilities_add_up_and_training_helps():
     assert after.reshape(-1)[keys] @ counts > before.reshape(-1)[keys] @ counts + 0.5 * counts.sum()
 
 
+def test_vocabulary_follows_the_corpus(spark):
+    rng = random.Random(12)
+    pairs = [f"a{i} b{i}" for i in range(300)] * 25  # 600 words, each second one follows from the one before
+    rng.shuffle(pairs)
+    docs = spark.createDataFrame([(i, " ".join(pairs[i::150])) for i in range(150)], "doc_id bigint, text string")
+    settings = language_model.Settings(draws=40_000)
+    model, counts = language_model.fit(docs, settings=settings)
+    assert len(model.words) == 600 and model.other_tokens == 0
+    rows = language_model.score(docs, model, counts, settings=settings).collect()
+    gain = sum(r["score"] - r["base_score"] for r in rows) / sum(r["n_tokens"] for r in rows)
+    assert gain > 0.5  # half of the words are certain, worth up to 1.2 each
+
+
 # --- pipeline
 
 @needs_data
