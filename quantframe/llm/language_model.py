@@ -9,9 +9,10 @@ class has, inside that class, the probability of its smoothed count, so a text's
 all texts.
 
 Training. Word counts and the counts of (before, before, token) come from all training texts, summed over the
-cluster. The second table is split over ``shards`` groups, in each of which numpy draws tokens in proportion to
-their counts, with noise words and noise classes from their unigrams, and takes AdaGrad steps on the rows it
-meets. After every round each row's change is averaged over the shards that met it, weighted by how often they
+cluster. The second table is split over groups of about ``shard_tokens`` tokens, at least ``shards``; a context met
+very often is dealt to several. In every round numpy goes over each token of each group once, in random order (in
+small groups as often as makes ``draws`` tokens), with noise words and noise classes from their unigrams, and takes
+AdaGrad steps on the rows it meets. After every round each row's change is averaged over the shards that met it, weighted by how often they
 did; the sums are made block by block on the cluster, and the driver adds one change per row.
 
 Scoring. Texts are scored in Arrow batches: the distinct contexts of a batch meet all classes, and its distinct
@@ -25,6 +26,7 @@ rows are scored alike.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,13 +38,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantframe.llm.common import field, map_texts
-from quantframe.session import materialize, ship_package
+from quantframe.session import materialize, scratch_path, ship_package
 
 
 #: Keys scored at a time, contexts that meet the classes at a time, and scores inside a class at a time.
 PIECE, ROWS, CELLS = 1 << 17, 1 << 13, 1 << 22
 #: Rows of a parameter averaged at a time, and the largest vocabulary whose keys fit 63 bits.
 BLOCK, MOST_OUTPUTS = 1 << 13, (1 << 21) - 1
+#: Occurrences of one context and token that stay together in training.
+PART = 4096
 
 
 @dataclass(frozen=True)
@@ -55,6 +59,7 @@ class Settings:
     shards: int = 6
     rounds: int = 3
     draws: int = 300_000
+    shard_tokens: int = 4_000_000
     batch: int = 512
     rate: float = 0.05
 
@@ -125,7 +130,7 @@ def _keys(ids: np.ndarray, outputs: int) -> np.ndarray:
 
 
 def count_contexts(texts: DataFrame, text: str, words: tuple[bytes, ...], outputs: int) -> DataFrame:
-    """(key, n): how often each token followed each two tokens."""
+    """(key, n): how often each token followed each two tokens; a key may have several rows, which add up."""
     shared = texts.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words, 1)})
     limit = 1 << 21
 
@@ -148,8 +153,7 @@ def count_contexts(texts: DataFrame, text: str, words: tuple[bytes, ...], output
         if held:
             yield rows()
 
-    parts = texts.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "key bigint, n bigint")
-    return parts.groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "key bigint, n bigint")
 
 
 def class_edges(unigram: np.ndarray) -> np.ndarray:
@@ -183,12 +187,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def train_shard(keys: np.ndarray, counts: np.ndarray, params: dict[str, np.ndarray], unigram: np.ndarray,
                 settings: Settings, seed: int) -> dict[str, np.ndarray]:
-    """One round of noise-contrastive estimation on tokens drawn in proportion to their counts."""
+    """One round of noise-contrastive estimation: every token once, and all again until there are ``draws``."""
     rng = np.random.default_rng(seed)
     edges, size = params["edges"], settings.size
     p = {k: v.copy() for k, v in params.items()}
     seen = {k: np.full_like(v, 1e-3) for k, v in p.items() if k != "edges"}
-    drawn = rng.choice(keys, settings.draws, p=counts / counts.sum())
+    drawn = rng.permutation(np.repeat(keys, counts * max(1, -(-settings.draws // int(counts.sum())))))
     v = len(unigram)
     token, one, two = drawn % v, drawn // v % v, drawn // v // v
     class_of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
@@ -287,12 +291,11 @@ def fit(docs: DataFrame, training: Column | None = None, text: str = "text",
     unigram = np.array([n_texts, *(local[w] for w in words), tokens - held]) + 0.5
     unigram = unigram / unigram.sum()
     params = new_params(unigram, settings)
-    contexts = count_contexts(texts, text, words, len(unigram)).withColumn(
-        "shard", F.pmod(F.xxhash64("key"), F.lit(settings.shards)).cast("int"))
-    contexts = materialize(contexts, "contexts")
+    shards = max(settings.shards, -(-(tokens + n_texts) // settings.shard_tokens))
+    contexts = _shard_table(_dealt(count_contexts(texts, text, words, len(unigram)), shards))
     for turn in range(settings.rounds if n_texts else 0):
         train = _round(spark.sparkContext.broadcast(params), unigram, settings, turn)
-        changes = contexts.groupBy("shard").applyInArrow(train, "name string, block int, rows binary, weight binary, change binary")
+        changes = contexts.mapInArrow(train, "name string, block int, rows binary, weight binary, change binary")
         changes = changes.groupBy("name", "block").applyInArrow(_average, "name string, rows binary, change binary")
         params = {k: v.copy() for k, v in params.items()}
         for c in changes.collect():
@@ -302,17 +305,41 @@ def fit(docs: DataFrame, training: Column | None = None, text: str = "text",
     return model, counts
 
 
+def _dealt(contexts: DataFrame, shards: int) -> DataFrame:
+    """(key, n, shard); a count above ``PART`` is cut in parts and frequent keys are dealt task by task, so that no
+    context fills a shard."""
+    last = F.floor((F.col("n") - 1) / PART).cast("int")
+    task = F.when(F.col("n") > 16, F.spark_partition_id()).otherwise(0)
+    parts = contexts.select("key", "n", task.alias("task"), F.explode(F.sequence(F.lit(0), last)).alias("part"))
+    return parts.select("key", F.least(F.col("n") - F.col("part").cast("bigint") * PART, F.lit(PART)).alias("n"),
+                        F.pmod(F.xxhash64("key", "part", "task"), F.lit(shards)).cast("int").alias("shard"))
+
+
+def _shard_table(dealt: DataFrame) -> DataFrame:
+    """(number, data): one packed row and one file per shard, so that rounds read their shard without a shuffle."""
+    def pack(table: pa.Table) -> pa.Table:
+        keys, back = np.unique(table["key"].to_numpy(), return_inverse=True)
+        n = np.bincount(back, table["n"].to_numpy(), len(keys)).astype(np.int64)
+        data = zlib.compress(np.diff(keys, prepend=0).tobytes() + n.tobytes(), 1)
+        number = table["shard"][0].as_py()
+        return pa.table({"shard": pa.array([number], pa.int32()), "number": pa.array([number], pa.int32()),
+                         "data": pa.array([data], pa.binary())})
+
+    spark, path = dealt.sparkSession, scratch_path(dealt.sparkSession, "contexts")
+    dealt.groupBy("shard").applyInArrow(pack, "shard int, number int, data binary").write.partitionBy("shard").parquet(path)
+    return spark.read.schema("number int, data binary").parquet(path).select("number", "data")
+
+
 def _matrix(data: bytes, width: int) -> np.ndarray:
     return np.frombuffer(data, np.float16).astype(np.float32).reshape(-1, width)
 
 
 def _round(shared, unigram: np.ndarray, settings: Settings, turn: int):
     """What one shard does in one round: the rows it changed, block by block, and how often it met them."""
-    def train(table: pa.Table) -> pa.Table:
-        keys, n, params = table["key"].to_numpy(), table["n"].to_numpy(), shared.value
-        order = np.lexsort((n, keys))
-        keys, n, v = keys[order], n[order], len(unigram)
-        done = train_shard(keys, n, params, unigram, settings, turn * 100_000 + int(table["shard"][0].as_py()))
+    def train(number: int, data: bytes) -> pa.RecordBatch:
+        keys, n = np.frombuffer(zlib.decompress(data), np.int64).reshape(2, -1)
+        keys, params, v = np.cumsum(keys), shared.value, len(unigram)
+        done = train_shard(keys, n, params, unigram, settings, turn * 100_000 + number)
         token = np.bincount(keys % v, n, v)
         met = {"output": token, "context": np.bincount(keys // v % v, n, v) + np.bincount(keys // v // v, n, v),
                "classes": np.add.reduceat(token, params["edges"][:-1]), "place": np.full(2, n.sum(), dtype=np.float64)}
@@ -327,9 +354,14 @@ def _round(shared, unigram: np.ndarray, settings: Settings, turn: int):
                 for column, value in zip(out.values(), values, strict=True):
                     column.append(value)
         kinds = pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()
-        return pa.table({k: pa.array(x, t) for (k, x), t in zip(out.items(), kinds, strict=True)})
+        return pa.RecordBatch.from_pydict({k: pa.array(x, t) for (k, x), t in zip(out.items(), kinds, strict=True)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, data in zip(batch["number"], batch["data"], strict=True):
+                yield train(number.as_py(), data.as_py())
 
-    return train
+    return run
 
 
 def _average(table: pa.Table) -> pa.Table:

@@ -443,6 +443,20 @@ def test_vocabulary_follows_the_corpus(spark):
     assert gain > 0.5  # half of the words are certain, worth up to 1.2 each
 
 
+def test_training_covers_every_token(spark):
+    settings = language_model.Settings(words=300, size=8, draws=50)
+    ids = np.arange(4000) % 300 + 1
+    keys, counts = np.unique(language_model._keys(ids, settings.outputs), return_counts=True)
+    unigram = (np.bincount(ids, minlength=settings.outputs) + 0.5) / (len(ids) + 0.5 * settings.outputs)
+    params = language_model.new_params(unigram, settings)
+    done = language_model.train_shard(keys, counts, params, unigram, settings, 1)
+    assert (done["context"] != params["context"])[1:301].any(axis=1).all()
+    contexts = spark.createDataFrame([(7, 3 * language_model.PART + 5), (8, 2)], "key bigint, n bigint")
+    rows = language_model._dealt(contexts, 50).collect()
+    assert sum(r["n"] for r in rows if r["key"] == 7) == 3 * language_model.PART + 5
+    assert len(rows) == 5 and len({r["shard"] for r in rows if r["key"] == 7}) > 1
+
+
 # --- pipeline
 
 @needs_data
