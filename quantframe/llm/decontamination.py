@@ -2,7 +2,8 @@
 
 Seeds. Four fixed masks of six words each inside windows of eight to ten ignore the words between. Any overlap
 of 13 words with up to two substituted words matches at least one mask somewhere; so does nearly every overlap
-of 16 words with three. Words are letter and digit runs in lower case, without ASCII punctuation.
+of 16 words with three. Items of six words, shorter than any window, have one seed of all their words; documents
+take it only if there is such an item. Words are letter and digit runs in lower case, without ASCII punctuation.
 
 Hits. The benchmark's seed hashes fill a bit table sized by their number, up to a fixed bound; documents look
 their seeds up there and only seeds found go on to an equi-join with the benchmark's seeds on the hash. Beyond
@@ -10,7 +11,9 @@ the bound the table lets more seeds pass and the join does the work, with the sa
 
 Overlaps. Each hit says which benchmark word lies on which document word (a diagonal). On every diagonal with a
 hit the best run of equal words is taken, a substituted word costing as much as two equal ones earn. A document is
-contaminated by an item if the run has ``min_words`` equal words, or ``item_share`` of a shorter item.
+contaminated by an item if the run has ``min_words`` equal words, or ``item_share`` of a shorter item. Substitutions
+near an edge cut a run short, so where it is too short the longest window counts of whose words ``item_share`` are
+equal; the whole item is such a window if that share of it is in the document.
 
 Texts are keyed by a 128-bit hash, so copies are judged once and documents need no id.
 
@@ -20,7 +23,7 @@ of a seed) match nothing; repeated items are reported by each id; repeated docum
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import ceil, log2
 
@@ -35,6 +38,8 @@ from quantframe.session import materialize, ship_package
 
 #: Word positions that a seed looks at; found by search for the guarantee above.
 MASKS = ((0, 1, 3, 4, 7, 8), (0, 3, 4, 7, 8, 9), (0, 2, 4, 5, 6, 7), (0, 1, 3, 4, 5, 6))
+#: For items of its length only.
+SHORT = (0, 1, 2, 3, 4, 5)
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CACHE = 400_000
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -67,10 +72,10 @@ class Words:
         return out
 
 
-def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first word) of every mask at every place."""
+def seeds(words: np.ndarray, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of every mask at every place; of the short mask too if asked."""
     hashes, places = [], []
-    for number, mask in enumerate(MASKS, 1):
+    for number, mask in enumerate((*MASKS, SHORT) if short else MASKS, 1):
         n = len(words) - mask[-1]
         if n <= 0:
             continue
@@ -90,8 +95,9 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values), kind))
 
 
-def _seed_rows(df: DataFrame, text: str, keep: list[str], table: np.ndarray | None = None) -> DataFrame:
-    """Kept columns, hash and place of the seeds of each text; of those in the bit ``table`` if one is given."""
+def _seed_rows(df: DataFrame, text: str, keep: list[str], table: np.ndarray | None = None, short: bool = False) -> DataFrame:
+    """Kept columns, hash and place of the seeds of each text; of those in the bit ``table`` if one is given.
+    Short seeds are those of items, without a table, or ``short`` asks for them."""
     shared = None if table is None else df.sparkSession.sparkContext.broadcast(table)
 
     def make():
@@ -99,7 +105,7 @@ def _seed_rows(df: DataFrame, text: str, keep: list[str], table: np.ndarray | No
         bits = None if shared is None else shared.value
 
         def compute(texts: list[bytes]) -> Iterator[pa.Array]:
-            found = [seeds(words(t)) for t in texts]
+            found = [seeds(w, short if bits is not None else len(w) == len(SHORT)) for w in map(words, texts)]
             if bits is not None:
                 found = [(h[ok], p[ok]) for h, p in found for ok in [_held(bits, h)]]
             return [_lists([h.view(np.int64) for h, _ in found], pa.int64()), _lists([p for _, p in found], pa.int32())]
@@ -146,6 +152,39 @@ def best_run(doc: np.ndarray, item: np.ndarray, diagonal: int, settings: Setting
     return int(equal[start:end].sum())
 
 
+def best_window(doc: np.ndarray, item: np.ndarray, diagonal: int, settings: Settings) -> int:
+    """Most equal words in a window of one diagonal of whose words at least ``item_share`` are equal."""
+    a, b = max(0, -diagonal), min(len(item), len(doc) - diagonal)
+    if b <= a:
+        return 0
+    equal = item[a:b] == doc[a + diagonal:b + diagonal]
+    share = round(settings.item_share * 1000)
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1000 - share, -share))])
+    # the first start from which the window to each end has the share
+    start = np.searchsorted(-np.minimum.accumulate(total), -total)
+    upto = np.concatenate([[0], np.cumsum(equal)])
+    return int((upto - upto[start]).max())
+
+
+def overlap(doc: np.ndarray, item: np.ndarray, diagonals: Iterable[int], settings: Settings) -> int:
+    """Equal words of the longest run that suffices, or else of such a window; 0 if none does."""
+    least = min(settings.min_words, ceil(settings.item_share * len(item)))
+    for best in (best_run, best_window):
+        n = max((best(doc, item, d, settings) for d in diagonals), default=0)
+        if n >= least:
+            return n
+    return 0
+
+
+def _any_short(items: DataFrame) -> bool:
+    def make():
+        words = Words()
+        return lambda texts: [[len(words(t)) for t in texts]]
+
+    lengths = map_texts(items, "item_text", make, [field("n", "int")], keep=[])
+    return not lengths.filter(F.col("n") == len(SHORT)).isEmpty()
+
+
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str,
                        settings: Settings) -> DataFrame:
     """(k1, k2, items, overlap_words): keys of the contaminated texts, item ids and the longest overlap."""
@@ -156,7 +195,7 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text: str, item_id
     probes = materialize(_seed_rows(items, "item_text", ["item"]), "seeds").withColumnRenamed("place", "item_place")
     keyed = docs.select(F.col(text).cast("string").alias("text")).filter("text is not null").select(
         F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"), "text")
-    hits = materialize(_seed_rows(keyed, "text", ["k1", "k2"], bit_table(probes, settings)).distinct(), "hits")
+    hits = materialize(_seed_rows(keyed, "text", ["k1", "k2"], bit_table(probes, settings), _any_short(items)).distinct(), "hits")
     met = hits.join(probes, "hash").groupBy("k1", "k2", "item").agg(
         F.collect_set(F.col("place") - F.col("item_place")).alias("diagonals"))
     met = materialize(met, "met")
@@ -167,13 +206,12 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text: str, item_id
         words = Words()
         for batch in batches:
             rows = batch.to_pylist()
-            overlap = []
+            found = []
             for r in rows:
                 doc, item = words(r["text"].encode()), words(r["item_text"].encode())
-                n = max((best_run(doc, item, d, settings) for d in r["diagonals"]), default=0)
-                overlap.append(n if n >= min(settings.min_words, ceil(settings.item_share * len(item))) else 0)
+                found.append(overlap(doc, item, r["diagonals"], settings))
             yield pa.RecordBatch.from_pydict({
-                "k1": batch["k1"], "k2": batch["k2"], "item": batch["item"], "overlap": pa.array(overlap, pa.int32())})
+                "k1": batch["k1"], "k2": batch["k2"], "item": batch["item"], "overlap": pa.array(found, pa.int32())})
 
     checked = tasks.mapInArrow(verify, "k1 bigint, k2 bigint, item bigint, overlap int").filter("overlap > 0")
     return checked.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"),

@@ -324,6 +324,23 @@ def test_decontamination(spark, awkward, nothing):
     assert decontamination.decontaminate(docs, bench.limit(0)).filter("size(items) > 0").count() == 0
 
 
+def test_short_items_with_substitutions(spark):
+    settings = decontamination.Settings()
+    for n, gone in ((10, 1), (15, 2), (15, 3), (16, 3), (20, 4)):
+        item = np.arange(1, n + 1, dtype=np.uint64)
+        for places in itertools.combinations(range(n), gone):
+            doc = item.copy()
+            doc[list(places)] += 1000
+            assert decontamination.overlap(doc, item, [0], settings) >= min(12, -(-8 * n // 10))
+            assert decontamination.overlap(doc[:8], item, [0], settings) == (8 if n == 10 and places[-1] > 7 else 0)
+    items = {1: prose(15, 400), 2: prose(6, 401)}
+    words = [w if i not in (1, 13) else "new" for i, w in enumerate(items[1].split())]
+    docs = {1: f"{prose(40, 402)} {' '.join(words)} {prose(40, 403)}", 2: f"x {items[2]} y", 3: "x " + items[2][:-3]}
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    rows = decontamination.decontaminate(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), bench).collect()
+    assert {r["row"]["doc_id"]: r["items"] for r in rows} == {1: [1], 2: [2], 3: []}
+
+
 # --- near duplicates
 
 def brute_components(rows, width, percent):
