@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantframe.llm import (
-    bpe, decontamination, html_extraction, language_model, near_dedup, quality_classifier, quality_rules, token_files, toxicity, url_filter)
+    bpe, collocations, decontamination, fill_in_middle, html_extraction, language_model, near_dedup, quality_classifier,
+    quality_rules, repeated_windows, token_files, toxicity, url_filter)
 from quantframe.llm.common import fold_of
-from quantframe.session import scratch_path
+from quantframe.session import materialize, scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -131,7 +132,26 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(spark, path)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as compressed frames, cut and rearranged, with digests of the outputs and of what they restore."""
+    stored = materialize(fill_in_middle.seekable(_table(spark, sf_dir, "documents"), keep=["doc_id"]), "frames")
+    done = fill_in_middle.output_digests(fill_in_middle.fill_in_middle(stored))
+    return done.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language over all documents."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 400-byte strings that occur more than once."""
+    done = repeated_windows.remove_repeated(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_classifier, op2_url_filter, op3_bpe, op4_html_extraction, op5_decontamination, op6_toxicity,
-        op7_language_model, op8_near_dedup, op9_quality_rules, op10_token_files)}
+        op7_language_model, op8_near_dedup, op9_quality_rules, op10_token_files,
+        op11_fill_in_middle, op12_collocations, op13_repeated_windows)}

@@ -6,6 +6,9 @@ compare them with brute force, round trips and held-out labels.
 
 from __future__ import annotations
 
+from quantframe.llm.collocations import Settings as Phrases
+from quantframe.llm.fill_in_middle import MARKS
+from quantframe.llm.fill_in_middle import Settings as Frames
 from quantframe.llm.quality_rules import CAPITALS, SYMBOLS, TOLERANCE, Rules
 from quantframe.llm.url_filter import SCHEME
 
@@ -107,5 +110,64 @@ def url_filter() -> str:
     FROM captures c LEFT JOIN held USING (page_id)"""
 
 
+def fill_in_middle(settings: Frames = Frames()) -> str:
+    heads = ", ".join(f"CAST('0x' || substr(h, {1 + 8 * k}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))
+    plain = " OR ".join(["n = 0", *(f"contains(t, '{m.decode()}')" for m in MARKS),
+                         f"h3 % 100 >= {100 - settings.plain_percent}"])
+    return f"""
+    WITH hashed AS (
+      SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+             sha256('{settings.seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+    placed AS (SELECT doc_id, t, n, {heads} FROM hashed),
+    formed AS (
+      SELECT *, CASE WHEN {plain} THEN 'plain' WHEN h4 % 100 < {settings.spm_percent} THEN 'spm' ELSE 'psm' END AS form,
+             least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high FROM placed),
+    cut AS (
+      SELECT *, substr(t, 1, low) AS prefix, substr(t, low + 1, high - low) AS middle, substr(t, high + 1) AS suffix FROM formed)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                  ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM cut"""
+
+
+def collocations(settings: Phrases = Phrases()) -> str:
+    longest, words = settings.longest, "string_split_regex(piece, '[\\x20\\x09]+')"
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {m} AS m, array_to_string(w[i:i + {m - 1}], ' ') AS phrase FROM (SELECT lang, w, "
+        f"unnest(range(1, len(w) - {m - 2})) AS i FROM split)" for m in range(1, longest + 1))
+    return f"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+    split AS (SELECT lang, list_filter({words}, lambda x: x <> '') AS w FROM pieces),
+    counts AS (SELECT lang, m, phrase, count(*) AS f FROM ({grams}) GROUP BY ALL),
+    totals AS (SELECT lang, sum(f) AS n FROM counts WHERE m = 1 GROUP BY lang),
+    candidates AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, f AS a FROM counts WHERE m > 1 AND f >= {settings.least}),
+    inner_parts AS (
+      SELECT lang, m, a, array_to_string(w[i:j], ' ') AS phrase
+      FROM (SELECT lang, m, a, w, i, unnest(range(i + 1, m + 1)) AS j
+            FROM (SELECT lang, m, a, w, unnest(range(1, m)) AS i FROM candidates))
+      WHERE j - i + 1 < m),
+    covered AS (SELECT lang, phrase, max(a) AS longer FROM inner_parts GROUP BY ALL),
+    whole AS (
+      SELECT c.* FROM candidates c LEFT JOIN covered v USING (lang, phrase)
+      WHERE v.longer IS NULL OR 100 * v.longer < {settings.percent} * c.a),
+    cuts AS (
+      SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:m], ' ') AS rest
+      FROM (SELECT *, unnest(range(1, m)) AS k FROM whole)),
+    scores AS (
+      SELECT x.lang, x.phrase, x.a, k, p.f AS l, q.f AS r, n,
+             CAST((1000::HUGEINT * a * n) // (p.f::HUGEINT * q.f) AS BIGINT) AS score
+      FROM cuts x JOIN counts p ON x.lang = p.lang AND x.first = p.phrase
+      JOIN counts q ON x.lang = q.lang AND x.rest = q.phrase JOIN totals t ON x.lang = t.lang),
+    best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+    SELECT * FROM (
+      SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+             a, l, r, CAST(n AS BIGINT) AS n, score FROM best) WHERE rank <= {settings.top}"""
+
+
 def statements() -> dict[str, str]:
-    return {"op9_quality_rules": quality_rules(), "op2_url_filter": url_filter()}
+    return {"op9_quality_rules": quality_rules(), "op11_fill_in_middle": fill_in_middle(),
+            "op12_collocations": collocations(), "op2_url_filter": url_filter()}
