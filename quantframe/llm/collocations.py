@@ -17,9 +17,10 @@ Score of a cut into l and r: floor(1000 * a * n / (l * r)) in exact decimals; a
 A phrase is dropped when a longer one that holds it is as frequent. Extensions by one word suffice for that, as
 every phrase between two of equal count has that count.
 
-Defined cases: NULL text has no words; NULL language is ``und``; repeated rows count each time; a very long text is
-counted like many short ones, in runs of bounded size; ties are ranked by score, count and the phrase's bytes; an empty table or one
-without frequent phrases gives no rows; columns other than text and language are not read.
+Defined cases: NULL text has no words; NULL language is ``und``; repeated rows count each time; a very long text is a
+run of its own, so a task holds the words of one text or ``run_words``; ties are ranked by score, count and the
+phrase's bytes; an empty table or one without frequent phrases gives no rows; columns other than text and language
+are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -127,15 +128,14 @@ class PhraseCounter:
             present = np.nonzero(counts)[0]
             yield [names[k] for k in present.tolist()], counts[present].tolist()
         word_hash = hashes = None
-        for m in range(2, max(self.lengths) + 1):
+        for m in range(2, min(max(self.lengths), len(x)) + 1):
             at = np.nonzero((rank[:-1] >= 0) & (rank[1:] >= 0) & (x[m - 1:] >= 0))[0]
             keys, first, inverse, counts = np.unique(rank[at] * width + x[at + m - 1], return_index=True,
                                                      return_inverse=True, return_counts=True)
             first = at[first]
             if m in self.lengths:
-                kept = [names[k] for k in range(len(names))] if len(first) else []
                 rows = x[first[:, None] + np.arange(m)].tolist()
-                yield [b" ".join([kept[k] for k in row]) for row in rows], counts.tolist()
+                yield [b" ".join([names[k] for k in row]) for row in rows], counts.tolist()
             rank = np.full(len(x) - m + 1, RARE, dtype=np.int64)
             if m in self.tables:
                 if word_hash is None:

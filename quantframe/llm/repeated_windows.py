@@ -81,17 +81,18 @@ def anchors(data: np.ndarray, reach: int) -> np.ndarray:
 def fingerprints(text: bytes, a: np.ndarray, low: np.ndarray, high: np.ndarray, size: int, settings: Settings):
     """Cores and spans of sets of windows low to high of anchor a, where a set is ``size`` windows long at most.
 
-    The set's place on its anchor's grid fixes core and span, whichever of its windows the text has; where a text
-    begins or ends inside the span, the core's place in it counts, too.
+    The set's place on its anchor's grid fixes core and span, whichever of its windows the text has. That place seeds
+    the fingerprints, so that sets of two anchors over the same bytes are not taken for copies; so does the core's
+    place in the span, where a text begins or ends inside it.
     """
     depth, n = settings.depth, len(text)
     first = a - (a - high) // size * size  # last window of the set's place on the grid
     view, of = memoryview(text), xxhash.xxh3_64_intdigest
     cores, spans = [], []
-    for last in first.tolist():
+    for last, place in zip(first.tolist(), (a - first).tolist(), strict=True):
         start = max(0, last - size + 1)
-        cores.append(of(view[last:last - size + 1 + depth], 1))
-        spans.append(of(view[start:min(n, last + depth)], 2 + last - start))
+        cores.append(of(view[last:last - size + 1 + depth], place))
+        spans.append(of(view[start:min(n, last + depth)], 1 << 62 | last - start << 31 | place))
     return (np.array(cores, dtype=np.uint64).view(np.int64), np.array(spans, dtype=np.uint64).view(np.int64))
 
 
@@ -160,12 +161,13 @@ def _pass(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Groups of sets of equal core with a partner: ((t1, t2, low, high) of sets repeated as a whole, (t1, t2, a, low,
     high) of sets to cut, with one of each repeated kind that shares their core)."""
     sets = materialize(sets, "sets")
-    shared = sets.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
+    # counts are tables, so that both sides of a join are shuffled and adaptive execution can split a frequent core
+    shared = materialize(sets.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"), "cores")
     left = materialize(sets.join(shared, "core"), "shared_sets")
     kinds = materialize(left.groupBy("core", "span").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "a", "low", "high")).alias("first")), "kinds")
     whole = left.join(kinds.filter("n > 1").select("core", "span"), ["core", "span"]).select("t1", "t2", "low", "high")
-    undecided = kinds.filter("n = 1").select("core").distinct()
+    undecided = materialize(kinds.filter("n = 1").select("core").distinct(), "undecided")
     return whole, kinds.join(undecided, "core").select("first.*")
 
 
