@@ -1,8 +1,11 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from quantframe import session
 from quantframe.plans import average_ranks
+from quantframe.session import Scope, materialize, scratch_scope
 from support import PIECES
 
 
@@ -39,3 +42,28 @@ def test_one_value_may_hold_most_rows(spark, share):
     if share:
         tied = int(n * share)
         assert ranked.filter("x = 0").select("rank").distinct().collect() == [((tied + 1) / 2,)]
+
+
+def test_scopes_remove_their_tables(spark):
+    def there(df):
+        return all(os.path.exists(f.removeprefix("file://")) for f in df.inputFiles())
+
+    with scratch_scope(spark) as outer:
+        first = materialize(spark.range(5), "first")
+        with scratch_scope(spark) as inner:
+            step = materialize(spark.range(3), "step")
+            files = step.inputFiles()
+            kept = inner.keep(step.selectExpr("id + 1 AS id"))
+        assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+        assert sorted(r.id for r in kept.collect()) == [1, 2, 3] and first.count() == 5
+        left = kept.inputFiles()
+    assert outer.paths == [] and not any(os.path.exists(f.removeprefix("file://")) for f in left)
+    held = Scope(spark)
+    with scratch_scope(spark, held):
+        table = materialize(spark.range(2))
+    assert there(table)
+    held.drop()
+    with pytest.raises(ValueError), scratch_scope(spark) as failed:
+        gone = materialize(spark.range(2)).inputFiles()
+        raise ValueError
+    assert failed.paths == [] and not any(os.path.exists(f.removeprefix("file://")) for f in gone)
