@@ -121,31 +121,43 @@ class PhraseCounter:
 
     def _count(self, lang: bytes, x: np.ndarray) -> Iterator[tuple[list[bytes], list[int]]]:
         names = list(self.known[lang])
-        # RARE words share no id, so ids are places in a list of all words seen
-        width, rank = len(names) + 1, x
+        # a word's id is its place among all words seen, also where others are RARE
         if 1 in self.lengths:
             counts = np.bincount(x[x >= 0], minlength=len(names))
             present = np.nonzero(counts)[0]
             yield [names[k] for k in present.tolist()], counts[present].tolist()
-        word_hash = hashes = None
+        if max(self.lengths) == 1:
+            return
+        word_hash = np.array([xxhash.xxh3_64_intdigest(w) for w in names], dtype=np.uint64)[x]
+        hashes = _mixed(np.uint64(xxhash.xxh3_64_intdigest(lang)), word_hash)
+        fits = x >= 0
         for m in range(2, min(max(self.lengths), len(x)) + 1):
-            at = np.nonzero((rank[:-1] >= 0) & (rank[1:] >= 0) & (x[m - 1:] >= 0))[0]
-            keys, first, inverse, counts = np.unique(rank[at] * width + x[at + m - 1], return_index=True,
-                                                     return_inverse=True, return_counts=True)
-            first = at[first]
+            # a phrase may count if both its parts of m - 1 words may
+            fits = fits[:-1] & fits[1:]
             if m in self.lengths:
-                rows = x[first[:, None] + np.arange(m)].tolist()
-                yield [b" ".join([names[k] for k in row]) for row in rows], counts.tolist()
-            rank = np.full(len(x) - m + 1, RARE, dtype=np.int64)
+                yield self._phrases(x, np.nonzero(fits)[0], m, len(names) + 1, names)
+            hashes = _mixed(hashes[:-1], word_hash[m - 1:])
             if m in self.tables:
-                if word_hash is None:
-                    word_hash = np.array([xxhash.xxh3_64_intdigest(w) for w in names], dtype=np.uint64)
-                    base = np.uint64(xxhash.xxh3_64_intdigest(lang))
-                hashes = _mixed(base, word_hash[x[first]])
-                for k in range(1, m):
-                    hashes = _mixed(hashes, word_hash[x[first + k]])
-                inverse = np.where(self.tables[m](hashes), np.arange(len(keys)), RARE)[inverse]
-            rank[at] = inverse
+                at = np.nonzero(fits)[0]
+                fits[at] = self.tables[m](hashes[at])
+
+    @staticmethod
+    def _phrases(x: np.ndarray, at: np.ndarray, m: int, width: int, names: list[bytes]) -> tuple[list[bytes], list[int]]:
+        """The distinct phrases of m words at some places, and how often they are there."""
+        if width ** m < 1 << 63:
+            keys = x[at]
+            for k in range(1, m):
+                keys = keys * width + x[at + k]
+            keys, counts = np.unique(keys, return_counts=True)
+            ids = [keys // width ** k % width for k in reversed(range(m))]
+        else:
+            # too many digits for one number: the number of what came before stands for it
+            keys = x[at]
+            for k in range(1, m):
+                keys = np.unique(keys, return_inverse=True)[1] * width + x[at + k]
+            _, first, counts = np.unique(keys, return_index=True, return_counts=True)
+            ids = [x[at[first] + k] for k in range(m)]
+        return [b" ".join([names[k] for k in row]) for row in zip(*(i.tolist() for i in ids), strict=True)], counts.tolist()
 
 
 def count_phrases(docs: DataFrame, lengths: Sequence[int], tables: Mapping[int, tuple[int, np.ndarray, np.ndarray]],
