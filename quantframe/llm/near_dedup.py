@@ -9,23 +9,29 @@ documents of the similarity asked for agree in at least ``matches`` coordinates,
 documents share one of their first ``coordinates - matches + 1`` pairs: only this prefix is posted. A passage
 that very many documents share thus leaves the prefixes, however many there are; pairs of one holder are skipped.
 
-Pairs. In the postings of a pair, documents are compared with a pivot first (the text most typical of them, then
-others in further rounds) and classes that are found linked are merged; then all pairs of documents that share a posting but lie in
-different classes are compared. So every link between different classes is tried, and none inside a class need
-be. With pivots, equal coordinates are counted first and pairs with enough matches are confirmed on the full
-sets; the rest is compared on full sets in blocks of a bounded number of documents, where pairs that are not
-links never become rows.
+Pairs. Postings of up to ``few`` documents give all their pairs; in a longer one the documents are compared with
+its pivot, the text most typical of them. Pairs with enough equal coordinates are confirmed on the full sets, of
+each document the best pair first: its links put most other pairs inside one class, where they need not be tried.
+
+Rest. Where a long posting still holds several classes, its documents are posted anew under what tells them from the
+pivot. Two linked documents must have about half of these differences in common (``_differences`` has the exact
+bounds), so the unrelated changes that thousands of near copies have made to one text do not meet, and no pairs are
+formed among them. So every link between different classes is tried, and none inside a class need be.
+
+Texts are keyed by id and a 128-bit hash: rows of one id with different texts are different documents.
 
 Defined cases: a text without words has an empty set, is linked with nothing and kept; with fewer words than a
-shingle the whole sequence is one; rows with a NULL id are kept and have no component; repeated rows of one id
-get equal answers.
+shingle the whole sequence is one; a very long text is one set in one task; rows with a NULL id are kept and have no
+component; equal rows get equal answers, and dropping duplicates keeps one of them; of rows of one id whose texts
+are in one component one stays, of those in different components each; an empty table gives no rows; of the input's
+columns only id and text are read, so others cannot clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from math import sqrt
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +41,14 @@ from pyspark.sql import functions as F
 
 from quantframe.llm.common import field, map_texts
 from quantframe.llm.components import connected_components
-from quantframe.session import materialize
+from quantframe.session import materialize, scratch_scope, ship_package
 
 CACHE = 400_000
 MIX = np.uint64(0xFF51AFD7ED558CCD)
+AROUND, BESIDE, AWAY = range(3)
+#: Distance from a pivot up to which the differences from it are compared; more than twice the gap of any setting.
+NEAR = 0.5
+KEY = ["doc", "t1", "t2"]
 
 
 @dataclass(frozen=True)
@@ -48,8 +58,7 @@ class Settings:
     width: int = 5
     percent: int = 80
     coordinates: int = 48
-    pivots: int = 2
-    block: int = 256
+    few: int = 48
     seed: int = 11
 
     @property
@@ -97,8 +106,13 @@ def _arrays(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
 
 
-def signatures(docs: DataFrame, settings: Settings, doc_id: str, text: str) -> DataFrame:
-    """(id, n_shingles, h1, h2, sig): size, 128-bit hash and signature of each document's set."""
+def text_key(doc_id: Column, text: Column) -> list[Column]:
+    """Id and two 64-bit hashes of the text."""
+    return [doc_id.cast("bigint").alias("doc"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2")]
+
+
+def signatures(docs: DataFrame, settings: Settings) -> DataFrame:
+    """(doc, t1, t2, n_shingles, h1, h2, sig): size, 128-bit hash and signature of the set of each row's text."""
     factors = (np.random.default_rng(settings.seed).integers(0, 1 << 63, settings.coordinates, dtype=np.uint64)
                << np.uint64(1)) | np.uint64(1)
 
@@ -115,11 +129,10 @@ def signatures(docs: DataFrame, settings: Settings, doc_id: str, text: str) -> D
         return compute
 
     fields = [field("n_shingles", "bigint"), field("h1", "bigint"), field("h2", "bigint"), field("sig", "array<int>")]
-    return map_texts(docs, text, make, fields, keep=[doc_id], limit=1 << 20).select(
-        F.col("row")[doc_id].cast("bigint").alias("id"), *(f.name for f in fields))
+    return map_texts(docs, "text", make, fields, keep=KEY, limit=1 << 20).select("row.*", *(f.name for f in fields))
 
 
-def shingle_sets(docs: DataFrame, settings: Settings, text: str) -> DataFrame:
+def shingle_sets(texts: DataFrame, settings: Settings) -> DataFrame:
     """(id, set): the full sets of (id, text) rows."""
     def make():
         shingler = Shingler(settings.width)
@@ -129,183 +142,236 @@ def shingle_sets(docs: DataFrame, settings: Settings, text: str) -> DataFrame:
 
         return compute
 
-    return map_texts(docs, text, make, [field("set", "array<bigint>")], keep=["id"], limit=1 << 20).select("row.id", "set")
+    return map_texts(texts, "text", make, [field("set", "array<bigint>")], keep=["id"], limit=1 << 20).select("row.id", "set")
 
 
-def _postings(reps: DataFrame, settings: Settings) -> DataFrame:
-    """(token, id, weight): the prefix of each document, where a token packs a coordinate and its value.
+def _prefix(postings: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """(group, token, id, weight, linked) of (group, token, id, need, linked): each document's rarest tokens, as many as
+    it takes for documents with ``need`` tokens in common to meet in one.
 
-    The weight sums the holders of all its coordinates: in a group of near copies the text they stem from is
-    the heaviest.
+    Tokens of one holder come first in the order and never meet another document, so they only shorten the prefix.
+    The weight sums the holders of all tokens: in a group of near copies the text they stem from is the heaviest.
     """
-    token = (F.col("pos").cast("bigint") * (1 << 32)) + (F.col("value").cast("bigint") + (1 << 31))
-    posted = reps.select("id", F.posexplode("sig").alias("pos", "value")).select("id", token.alias("token"))
-    shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
-    # tokens of one holder come first in the order and never meet another document
-    held = posted.join(shared, "token").groupBy("id").agg(
+    group = list(group)
+    shared = postings.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    held = postings.join(materialize(shared, "holders"), [*group, "token"]).groupBy(*group, "id", "need", "linked").agg(
         F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("tokens"))
-    enough = held.filter(F.size("tokens") >= settings.matches)
-    prefix = F.slice("tokens", 1, F.size("tokens") - settings.matches + 1)
+    first = F.slice("tokens", 1, (F.size("tokens") - F.col("need") + 1).cast("int"))
     weight = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda total, t: total + t["holders"])
-    return enough.select("id", weight.alias("weight"), F.explode(F.transform(prefix, lambda t: t["token"])).alias("token"))
+    met = materialize(held.filter(F.size("tokens") >= F.col("need")).select(
+        *group, "id", "linked", weight.alias("weight"), F.explode(F.transform(first, lambda t: t["token"])).alias("token")), "postings")
+    # of postings with the same members one is enough
+    by = met.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"),
+                                          F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("n > 1")
+    one = by.groupBy(*group, "n", "x", "y").agg(F.min("token").alias("token")).select(*group, "token", F.col("n").alias("size"))
+    return materialize(met.join(materialize(one, "different"), [*group, "token"]), "met")
+
+
+def _members(met: DataFrame, classes: DataFrame, by: list[str]) -> DataFrame:
+    """Postings with the class that each document has by now, where more than one class is left."""
+    members = materialize(met.join(classes, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component"), "members")
+    mixed = members.groupBy(*by).agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
+    return members.join(materialize(mixed.select(*by), "mixed"), by)
+
+
+def _with_pivots(members: DataFrame) -> DataFrame:
+    """Members of each posting beside its pivot, the heaviest of them."""
+    pivots = members.groupBy("token").agg(F.min(F.struct(-F.col("weight"), F.col("id"))).alias("p")).select(
+        "token", F.col("p.id").alias("pivot"))
+    return members.join(materialize(pivots, "pivots"), "token").filter("id <> pivot")
+
+
+def _pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
+    return rows.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
 
 
-def _similar(a: Column, b: Column, n_a: Column, n_b: Column, settings: Settings) -> Column:
-    """Sizes allow the similarity, and enough coordinates are equal."""
-    sizes = (F.least(n_a, n_b) * 100) >= (F.greatest(n_a, n_b) * settings.percent)
-    equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
-    return sizes & (equal >= settings.matches)
+def _meeting(members: DataFrame, by: list[str], allowed: str = "true") -> DataFrame:
+    """Pairs of members of one posting in different classes."""
+    others = members.select(*by, F.col("id").alias("id_b"), F.col("class").alias("class_b"), F.col("linked").alias("linked_b"))
+    met = members.join(others, by).filter((F.col("id") < F.col("id_b")) & (F.col("class") != F.col("class_b")) & F.expr(allowed))
+    return _pairs(met, "id", "id_b")
+
+
+def _collided(pairs: DataFrame, signed: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b, hits): pairs whose sizes allow the similarity, with enough equal coordinates."""
+    a = signed.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
+    b = signed.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
+    sizes = (F.least("n_a", "n_b") * 100) >= (F.greatest("n_a", "n_b") * settings.percent)
+    hits = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda e: e))
+    met = pairs.join(a, "a").join(b, "b").filter(sizes).select("a", "b", hits.alias("hits"))
+    return materialize(met.filter(F.col("hits") >= settings.matches), "collided")
+
+
+def _ends(pairs: DataFrame, one: str = "a", other: str = "b") -> DataFrame:
+    ids = pairs.select(F.col(one).alias("id")).union(pairs.select(F.col(other).alias("id"))).distinct()
+    return materialize(ids, "ids")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    joined = pairs.join(left, "a").join(right, "b")
+    joined = materialize(pairs.select("a", "b"), "pairs").join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     measured = joined.select("a", "b", common.alias("i"), (F.size("set_a") + F.size("set_b")).alias("n"))
     return measured.filter(F.col("i") * 100 >= (F.col("n") - F.col("i")) * settings.percent).select("a", "b")
 
 
-def _pivot_pairs(members: DataFrame, settings: Settings, turn: int) -> DataFrame:
-    """Members of postings with several classes against the posting's pivot, in other classes.
+def _between(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose documents are in different classes."""
+    a = classes.select(F.col("id").alias("a"), F.col("component").alias("class_a"))
+    b = classes.select(F.col("id").alias("b"), F.col("component").alias("class_b"))
+    met = pairs.join(a, "a", "left").join(b, "b", "left")
+    return met.filter(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select(*pairs.columns)
+
+
+def _join_classes(pairs: DataFrame, sets: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
+    """Classes after trying the pairs (a, b, hits): of each document first its best pair, then all pairs that are still
+    between classes."""
+    for best in (True, False):
+        left = _between(pairs, classes)
+        if best:
+            ends = left.select(F.explode(F.array("a", "b")).alias("id"), F.struct("hits", "a", "b").alias("pair"))
+            left = ends.groupBy("id").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
+        links = materialize(_confirmed(left, sets, settings), "links")
+        if not links.isEmpty():
+            known = classes.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            classes = connected_components(links.union(known))
+    return classes
 
-    The first pivot is the heaviest member, later ones follow a hash.
-    """
-    rank = -F.col("weight") if turn == 0 else F.xxhash64("id", F.lit(turn))
-    pivots = members.groupBy("token").agg(
-        F.min("class").alias("low"), F.max("class").alias("high"),
-        F.min(F.struct(rank.alias("rank"), F.col("id").alias("id"), F.col("class").alias("class"))).alias("p"))
-    pivots = pivots.filter("low < high").select("token", F.col("p.id").alias("pivot"), F.col("p.class").alias("pivot_class"))
-    met = members.join(pivots, "token").filter(F.col("class") != F.col("pivot_class"))
-    return met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-
-
-def block_links(ids: np.ndarray, classes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between different classes of one block by exact similarity, as many as it takes to join them."""
-    m = len(ids)
-    sizes = np.array([len(x) for x in sets], dtype=np.int64)
-    values, column, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(m), sizes)
-    # shingles of one holder count in no intersection
-    number = np.where(holders > 1, np.cumsum(holders > 1) - 1, -1)[column]
-    owner, number = owner[number >= 0], number[number >= 0]
-    order = np.argsort(number, kind="stable")
-    owner, number = owner[order], number[order]
-    common = np.zeros((m, m), dtype=np.float32)
-    for start in range(0, int((holders > 1).sum()), 4096):
-        a, b = np.searchsorted(number, [start, start + 4096])
-        part = np.zeros((m, 4096), dtype=np.float32)
-        part[owner[a:b], number[a:b] - start] = 1
-        common += part @ part.T
-    common = common.astype(np.int64)
-    similar = common * 100 >= (sizes[:, None] + sizes[None, :] - common) * percent
-    found, root = [], {}
-
-    def top(c: int) -> int:
-        while root.get(c, c) != c:
-            c = root[c]
-        return c
-
-    for i, j in np.argwhere(np.triu(similar & (classes[:, None] != classes[None, :]), 1)).tolist():
-        a, b = top(int(classes[i])), top(int(classes[j]))
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            found.append((int(ids[i]), int(ids[j])))
-    return found
-
-
-def _rest_links(members: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """Links (a, b) among all pairs that share a posting but lie in different classes.
-
-    The members of a posting are dealt to blocks; each pair of blocks is one group, where full sets are compared
-    by matrix products. Pairs never become rows, only links that join classes do. Small postings share groups.
+
+def differences(own: np.ndarray, pivot: np.ndarray, percent: int) -> Iterator[tuple[int, bool, np.ndarray, int]]:
+    """(kind, linked, tokens, need) of a set against its pivot's: see ``_differences``."""
+    gap, n, m = 1 - percent / 100, len(own), len(pivot)
+    apart = np.setxor1d(own, pivot, assume_unique=True)
+    common = (n + m - len(apart)) // 2
+    distance = len(apart) / max(1, n + m - common)
+    half = max(1, ceil((1 - gap) * len(apart) / 2 - 1e-6))
+    if common * 100 >= (n + m - common) * percent:
+        yield BESIDE, True, apart, half
+        return
+    if distance <= NEAR:
+        left = max(1, ceil(len(apart) - gap * (n + n / (1 - gap)) / (2 - gap) - 1e-6))
+        yield AROUND, False, apart, max(half, left)
+        if distance <= 2 * gap:
+            yield BESIDE, False, apart, left
+    if distance > NEAR - gap:
+        yield AWAY, False, own, max(1, ceil((1 - gap) * n - 1e-6))
+
+
+def _differences(rest: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """(pivot, kind, token, id, need, linked) of (pivot, id) rows: what tells a document from its pivot, as postings.
+
+    With gap = 1 - similarity, let x and y be linked, D the shingles that a document or the pivot has alone. If x is not
+    linked with the pivot p, |x ^ y| <= gap |x | y| <= gap (|x | p| + |Dy|) < |Dx| + gap |Dy|, so that x and y have more
+    than (1 - gap) / 2 of Dy in common. In any case they have |Dx| - |x ^ y| of Dx in common, and |x ^ y| is at most
+    gap (|x| + |y|) / (2 - gap), where |y| is at most |x| / (1 - gap).
+
+    AROUND  neither is linked with the pivot, both are near it: the larger of both bounds.
+    BESIDE  x is not, y is linked with it: the first bound for y, the second for x; only such pairs are formed.
+    AWAY    both are far from it: the share of their own shingles that linked sets have in common.
+
+    Near and far overlap by the gap, so that two linked documents are both near or both far.
     """
-    open_ = members.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"),
-                                         F.ceil(F.count(F.lit(1)) / settings.block).cast("int").alias("blocks"))
-    open_ = materialize(members.join(open_.filter("low < high").select("token", "blocks"), "token").select(
-        "token", "id", "class", "blocks"), "open")
-    groups = max(1, open_.count() // settings.block)
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", "id", "class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("token"), F.lit(groups))).otherwise(
-                             F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))).alias("group"))
+    both = rest.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("pivot_set")), "pivot")
     percent = settings.percent
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("token", "ascending"), ("i", "ascending"), ("j", "ascending"), ("id", "ascending")])
-        key = np.stack([table[c].to_numpy() for c in ("token", "i", "j")], axis=1)
-        cuts = np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1
-        links = []
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
-            part = table.slice(a, b - a)
-            sets_ = [x.values.to_numpy(zero_copy_only=False) for x in part["set"]]
-            links += block_links(part["id"].to_numpy(), part["class"].to_numpy(), sets_, percent)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-    return dealt.join(sets, "id").groupBy("group").applyInArrow(compare, "a bigint, b bigint").distinct()
-
-
-def _link_classes(reps: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """(id, component) for representatives that are not the least of their component."""
-    spark = reps.sparkSession
-    posted = _postings(reps, settings)
-    posted = materialize(posted, "postings")
-    # of postings with the same members one is enough
-    met = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"),
-                                      F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("n > 1")
-    posted = materialize(posted.join(met.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token"), "token"), "met")
-    involved = posted.select("id").distinct()
-    signed = materialize(reps.join(involved, "id").select("id", F.col("n_shingles").alias("n"), "sig"), "signed")
-    sets = materialize(shingle_sets(texts.join(involved, "id").dropDuplicates(["id"]), settings, "text"), "sets")
-    classes = spark.createDataFrame([], "id bigint, component bigint")
-    for turn in range(settings.pivots + 1):
-        members = posted.join(classes, "id", "left").select(
-            "token", "id", "weight", F.coalesce("component", "id").alias("class"))
-        if turn < settings.pivots:
-            pairs = _pivot_pairs(members, settings, turn)
-            a = signed.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-            b = signed.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-            pairs = materialize(pairs.join(a, "a").join(b, "b").filter(
-                _similar(F.col("sig_a"), F.col("sig_b"), F.col("n_a"), F.col("n_b"), settings)).select("a", "b"), "pairs")
-            links = materialize(_confirmed(pairs, sets, settings), "links")
-        else:
-            links = materialize(_rest_links(members, sets, settings), "links")
-        if links.isEmpty():
-            continue
-        known = classes.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        classes = connected_components(links.union(known))
-    return classes
+    ship_package(rest.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pivot, one = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                own, other = (batch.column(k)[i].values.to_numpy() for k in (2, 3))
+                for kind, linked, tokens, need in differences(own, other, percent):
+                    for a in range(0, len(tokens), 100_000):
+                        n = len(tokens[a:a + 100_000])
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(np.full(n, pivot)), pa.array(np.full(n, kind, dtype=np.int32)), pa.array(tokens[a:a + n]),
+                            pa.array(np.full(n, one)), pa.array(np.full(n, need)), pa.array([linked] * n, pa.bool_())],
+                            ["pivot", "kind", "token", "id", "need", "linked"])
+
+    rows = both.select("pivot", "id", "set", "pivot_set").mapInArrow(
+        run, "pivot bigint, kind int, token bigint, id bigint, need bigint, linked boolean")
+    return materialize(rows, "differences")
+
+
+def _link_classes(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], settings: Settings) -> DataFrame:
+    """(id, component) for representatives (id, n, sig) that are not the least of their component. ``sets_of`` gives
+    the full sets of a table of ids."""
+    classes = reps.sparkSession.createDataFrame([], "id bigint, component bigint")
+    token = (F.col("pos").cast("bigint") * (1 << 32)) + (F.col("value").cast("bigint") + (1 << 31))
+    met = _prefix(reps.select("id", F.posexplode("sig").alias("pos", "value")).select(
+        "id", token.alias("token"), F.lit(settings.matches).cast("bigint").alias("need"), F.lit(False).alias("linked")))
+    short = met.filter(F.col("size") <= settings.few).withColumn("class", F.col("id"))
+    long_ = met.filter(F.col("size") > settings.few)
+    tried = _meeting(short, ["token"]).union(_pairs(_with_pivots(long_), "id", "pivot")).distinct()
+    pairs = _collided(tried, reps, settings)
+    classes = _join_classes(pairs, sets_of(_ends(pairs)), classes, settings)
+    rest = materialize(_with_pivots(_members(long_, classes, ["token"])).select("pivot", "id").distinct(), "rest")
+    if rest.isEmpty():
+        return classes
+    sets = sets_of(_ends(rest, "pivot", "id"))
+    apart = _prefix(_differences(rest, sets, settings), ["pivot", "kind"])
+    members = _members(apart, classes, ["pivot", "kind", "token"])
+    tried = _meeting(members, ["pivot", "kind", "token"], f"kind <> {BESIDE} OR linked <> linked_b")
+    return _join_classes(_collided(tried, reps, settings), sets, classes, settings)
+
+
+def _judged(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> DataFrame:
+    """(doc, t1, t2, n_shingles, h1, h2, component) of each row; ``component`` is the least id that links reach, NULL
+    for an empty set or a NULL id. A table; the steps' own tables are removed."""
+    column = F.col(f"`{text}`").cast("string")
+    narrow = docs.select(*text_key(F.col(f"`{doc_id}`"), column), column.alias("text"))
+    with scratch_scope(docs.sparkSession) as scope:
+        base = materialize(signatures(narrow, settings), "signatures")
+        equal = ["h1", "h2", "n_shingles"]
+        usable = base.filter(F.col("doc").isNotNull() & (F.col("n_shingles") > 0))
+        # of rows with equal sets one stands for all; its id names it, unless that id has several sets
+        heads = materialize(usable.groupBy(*equal).agg(F.min(F.struct(*KEY)).alias("key")).select(*equal, "key.*"), "heads")
+        first = materialize(heads.groupBy("doc").agg(F.min(F.struct(*equal)).alias("first"), F.count(F.lit(1)).alias("n")).filter(
+            "n > 1").select("doc", F.col("first").alias("named")), "several")
+        named = heads.join(first, "doc", "left")
+        vertex = F.when(F.coalesce(F.col("named") == F.struct(*equal), F.lit(True)), F.col("doc")).otherwise(F.xxhash64(*equal))
+        heads = materialize(named.select(*equal, *KEY, vertex.alias("id")), "named")
+        signed = base.join(heads, [*KEY, *equal]).select("id", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["id"])
+        signed = materialize(signed, "signed")
+        keys = heads.select("id", *KEY)
+
+        def sets_of(ids: DataFrame) -> DataFrame:
+            chosen = narrow.join(materialize(keys.join(ids, "id"), "chosen"), KEY).select("id", "text").dropDuplicates(["id"])
+            return materialize(shingle_sets(chosen, settings), "sets")
+
+        classes = heads.select(*equal, "id", "doc").join(_link_classes(signed, sets_of, settings), "id", "left").withColumn(
+            "class", F.coalesce("component", "id"))
+        classes = materialize(classes.select(*equal, "doc", "class"), "classes")
+        least = materialize(classes.groupBy("class").agg(F.min("doc").alias("component")), "least")
+        of_set = materialize(classes.join(least, "class").select(*equal, "component"), "components")
+        joined = base.drop("sig").join(of_set, equal, "left")
+        component = F.when(F.col("doc").isNotNull() & (F.col("n_shingles") > 0), F.col("component"))
+        return scope.keep(joined.select(*KEY, *equal, component.alias("component")), "judged")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     settings: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row. ``component_id`` is the least id that links reach."""
-    narrow = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    base = materialize(signatures(narrow, settings, "id", "text"), "signatures")
-    usable = base.filter(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
-    equal = ["h1", "h2", "n_shingles"]
-    heads = usable.groupBy(*equal).agg(F.min("id").alias("head"))
-    reps = materialize(usable.join(heads.select(F.col("head").alias("id"), *equal), ["id", *equal]).dropDuplicates(
-        ["id", *equal]), "heads")
-    texts = narrow.filter(F.col("id").isNotNull())
-    classes = _link_classes(reps, texts, settings).select(F.col("id").alias("head"), "component")
-    joined = base.drop("sig").join(heads, equal, "left").join(classes, "head", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.coalesce("component", "head", "id"))
-    return joined.select(F.col("id").alias(doc_id), "n_shingles", F.when(F.col("id").isNotNull(), component).alias("component_id"),
-                         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    component = F.coalesce("component", "doc")
+    return _judged(docs, doc_id, text, settings).select(
+        F.col("doc").alias(doc_id), "n_shingles", component.alias("component_id"),
+        F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                          settings: Settings = Settings()) -> DataFrame:
-    """The input's rows with one document of each component; of repeated rows of one id one stays."""
-    verdict = near_duplicates(docs, doc_id, text, settings).groupBy(doc_id).agg(
-        F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).filter("_kept")
-    verdict = materialize(verdict, "kept")
+    """The input's rows with one document of each component, and one of equal rows. Rows with a NULL id all stay."""
+    judged = _judged(docs, doc_id, text, settings).filter(F.col("doc").isNotNull())
+    lone = judged.filter("component IS NULL").select(*KEY)
+    first = judged.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(*KEY)).alias("key")).select("key.*")
+    rows = judged.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    kept = materialize(lone.union(first).distinct().join(rows, KEY), "kept")
+    again = materialize(kept.filter("n > 1"), "again")
     columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    on = F.col(f"d.`{doc_id}`") == F.col(f"v.`{doc_id}`")
-    once = docs.alias("d").join(verdict.filter("_rows = 1").alias("v"), on, "left_semi").select(*columns)
-    repeated = docs.alias("d").join(verdict.filter("_rows > 1").alias("v"), on, "left_semi").select(*columns)
-    nameless = docs.filter(F.col(doc_id).isNull())
-    return once.union(repeated.dropDuplicates([doc_id])).union(nameless)
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"),
+                        *text_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")))
+    once = keyed.join(kept.filter("n = 1").select(*KEY), KEY, "left_semi").select(*columns)
+    repeated = keyed.join(again.select(*KEY), KEY, "left_semi").dropDuplicates(KEY).select(*columns)
+    return once.union(repeated).union(docs.filter(F.col(f"`{doc_id}`").isNull()))

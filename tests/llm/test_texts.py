@@ -382,17 +382,84 @@ def near_copies():
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("width, percent, block", [(3, 85, 256), (5, 80, 16)])
-def test_components_equal_brute_force(spark, width, percent, block):
+@pytest.mark.parametrize("width, percent, few", [(3, 85, 256), (5, 80, 16), (3, 85, 2), (5, 80, 2)])
+def test_components_equal_brute_force(spark, width, percent, few):
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    settings = near_dedup.Settings(width=width, percent=percent, block=block, pivots=1)
+    settings = near_dedup.Settings(width=width, percent=percent, few=few)
     got = by_id(near_dedup.near_duplicates(docs, settings=settings))
     want = brute_components(rows, width, percent)
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
     assert all(r["kept"] == (i == want[i][1]) for i, r in got.items())
 
 
+def test_linked_sets_share_the_tokens_that_differences_ask_for():
+    rng = np.random.default_rng(3)
+    tried = dict.fromkeys((near_dedup.AROUND, near_dedup.BESIDE, near_dedup.AWAY), 0)
+    for turn in range(3000):
+        percent = (80, 85)[turn % 2]
+        pivot = rng.choice(2000, rng.integers(3, 150), replace=False)
+
+        def changed(base, most):
+            gone = rng.random(len(base)) < rng.random() * most
+            return np.unique(np.append(base[~gone], rng.integers(0, 4000, int(rng.random() * most * len(base)))))
+
+        x = changed(pivot, (0.25, 0.5, 1.5)[turn % 3])
+        y = changed(x, 0.2)
+        common = len(np.intersect1d(x, y))
+        if min(len(x), len(y)) == 0 or np.array_equal(x, y) or 100 * common < percent * (len(x) + len(y) - common):
+            continue
+        p = np.sort(pivot)
+        if np.array_equal(x, p) or np.array_equal(y, p):
+            continue
+        of_x, of_y = ({k: (linked, set(t.tolist()), need) for k, linked, t, need in near_dedup.differences(z, p, percent)} for z in (x, y))
+        both = [k for k in of_x if k in of_y and (k != near_dedup.BESIDE or of_x[k][0] != of_y[k][0])]
+        if not both:
+            assert of_x.keys() == of_y.keys() == {near_dedup.BESIDE}  # both are linked with the pivot
+        for k in both:
+            tried[k] += 1
+            shared = len(of_x[k][1] & of_y[k][1])
+            assert shared >= of_x[k][2] and shared >= of_y[k][2]
+    assert min(tried.values()) > 20
+
+
+def test_unrelated_changes_of_a_text_make_no_pairs(spark):
+    rng = random.Random(31)
+    base = prose(200, 60, 3000).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 400):
+        words = list(base)
+        for at in rng.sample(range(200), 18):
+            words[at] = f"q{rng.randrange(10**7)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, f"{rows[7][1]} tail{i}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    settings = near_dedup.Settings(width=3, percent=85)
+    seen = []
+
+    def watched(pairs, *args):
+        seen.append(pairs.count())
+        return collided(pairs, *args)
+
+    collided, near_dedup._collided = near_dedup._collided, watched
+    try:
+        got = by_id(near_dedup.near_duplicates(docs, settings=settings))
+    finally:
+        near_dedup._collided = collided
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_components(rows, 3, 85)
+    assert seen[-1] < 400  # of 80,000 pairs
+
+
+def test_rows_of_one_id_with_other_texts_are_other_documents(spark):
+    a, b, c = prose(80, 71), prose(80, 72), prose(80, 73)
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "y"), (2, a, "x"), (3, c, "x"), (4, b + " end", "x"), (None, a, "x"), (5, None, "x"), (5, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect() if r["doc_id"])
+    assert got == [(1, 76, 1, True)] * 3 + [(2, 76, 1, False), (3, 76, 3, True), (4, 77, 1, False), (5, 0, 5, True), (5, 0, 5, True)]
+    kept = sorted(map(str, ((r["doc_id"], r["text"]) for r in near_dedup.drop_near_duplicates(docs).collect())))
+    assert kept == sorted(map(str, [(1, a), (1, b), (3, c), (None, a), (5, None)]))
+
+
 def test_near_dedup_awkward_rows(awkward, nothing):
     kept = near_dedup.drop_near_duplicates(awkward)
     assert kept.columns == awkward.columns
