@@ -17,7 +17,6 @@ Defined cases: NULL text is empty; an empty or blank text has no ids and decodes
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import unicodedata
@@ -25,7 +24,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -174,9 +173,7 @@ class TextEncoder:
         self.special = regex.compile("|".join(map(regex.escape, vocabulary.special)) or r"(?!)")
         self.exact = pre_tokenizers.Split(Regex(vocabulary.pattern), "removed", invert=True)
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
-        self.decimal = [str(i) for i in range(max(vocabulary.texts) + 1)]
-        self.texts = [vocabulary.texts.get(i, "") for i in range(len(self.decimal))]
-        self.known: dict[bytes, object] = {b"": self.entry([])}
+        self.known: dict[bytes, list[int]] = {b"": []}
 
     def _words(self, text: str) -> list[str]:
         """Words of a text without special tokens, after the vocabulary's normalisation."""
@@ -207,7 +204,7 @@ class TextEncoder:
         distinct = list({*found, *(w for ws in parts for w in ws if isinstance(w, str))}.difference(("\n",)))
         entries = dict(zip(distinct, self._entries(distinct), strict=True))
         for m in {w for ws in parts for w in ws if not isinstance(w, str)}:
-            entries[m] = self.entry([m])
+            entries[m] = [m]
         known, join = self.known, self.join
         for c, ws in zip(rare, parts, strict=True):
             known[c] = join([entries[w] for w in ws])
@@ -226,15 +223,12 @@ class TextEncoder:
             return []
         ids, counts = self.merge([w.encode() for w in words])
         flat, ends = ids.tolist(), np.cumsum(counts).tolist()
-        return [self.entry(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def entry(self, ids: list[int]):
-        """What is kept of a word or chunk: ids as decimal text, decoded text, number of ids."""
-        return " ".join([self.decimal[i] for i in ids]), " ".join([self.texts[i] for i in ids]), len(ids)
-
-    def join(self, entries: list):
-        """The entry of a chunk of several words."""
-        return " ".join([e[0] for e in entries]), " ".join([e[1] for e in entries]), sum([e[2] for e in entries])
+    @staticmethod
+    def join(entries: list[list[int]]) -> list[int]:
+        """The ids of a chunk of several words."""
+        return [i for e in entries for i in e]
 
     def chunks(self, texts: list[bytes]) -> list[list[bytes]]:
         """Chunks of each text, all of them known on return."""
@@ -249,25 +243,17 @@ class TextEncoder:
         return cut
 
 
-class ArrayEncoder(TextEncoder):
-    """As TextEncoder, but entries are lists of ids."""
-
-    def entry(self, ids: list[int]):
-        return ids
-
-    def join(self, entries: list):
-        return [i for e in entries for i in e]
-
-
+#: Ids decoded at a time.
+DECODED = 1 << 20
 _ENCODERS: dict[tuple, TextEncoder] = {}
 
 
-def _encoder(kind: type[TextEncoder], vocabulary: Vocabulary) -> TextEncoder:
+def _encoder(vocabulary: Vocabulary) -> TextEncoder:
     """One encoder per worker process, so that its cache outlives a task."""
-    key = kind, len(vocabulary.ids), hash(vocabulary.merges), vocabulary.pattern
+    key = len(vocabulary.ids), hash(vocabulary.merges), vocabulary.pattern
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = kind(vocabulary)
+        _ENCODERS[key] = TextEncoder(vocabulary)
     return _ENCODERS[key]
 
 
@@ -276,7 +262,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: li
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make():
-        encoder = _encoder(ArrayEncoder, shared.value)
+        encoder = _encoder(shared.value)
 
         def compute(texts: list[bytes]):
             out = []
@@ -290,34 +276,29 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: li
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """The input with the text of each row's ids; NULL ids give NULL."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary.texts)
-
-    @F.pandas_udf("string")
-    def text_of(column: pd.Series) -> pd.Series:
-        texts = shared.value
-        return column.map(lambda x: None if x is None else " ".join(map(texts.__getitem__, x)))
+    """The input with the text of each row's ids; NULL ids give NULL. Ids are looked up and joined a batch at a time."""
+    size = max(vocabulary.texts, default=-1) + 1
+    shared = encoded.sparkSession.sparkContext.broadcast([vocabulary.texts.get(i, "") for i in range(size)])
+
+    @F.arrow_udf("string")
+    def text_of(column: pa.Array) -> pa.Array:
+        texts, done, start = pa.array(shared.value), [], 0
+        lengths = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy())
+        while start < len(column):
+            # rows of about DECODED ids at a time, or one longer row
+            before = lengths[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(lengths, before + DECODED, side="right")))
+            part = column.slice(start, end - start)
+            words = pa.ListArray.from_arrays(part.offsets, texts.take(part.values), mask=part.is_null())
+            done.append(pa.compute.binary_join(words, " "))
+            start = end
+        return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
     return encoded.withColumn(out, text_of(ids))
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Struct ``row``, n_tokens, ids_sha256 and decoded_sha256: encoding and decoding in one pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def make():
-        encoder = _encoder(TextEncoder, shared.value)
-
-        def compute(texts: list[bytes]):
-            out = [], [], []
-            for cs in encoder.chunks(texts):
-                parts = [e for e in map(encoder.known.__getitem__, cs) if e[2]]
-                out[0].append(sum(e[2] for e in parts))
-                out[1].append(hashlib.sha256(" ".join([e[0] for e in parts]).encode()).hexdigest())
-                out[2].append(hashlib.sha256(" ".join([e[1] for e in parts]).encode()).hexdigest())
-            return out
-
-        return compute
-
-    return map_texts(docs, text, make, [
-        field("n_tokens", "bigint"), field("ids_sha256", "string"), field("decoded_sha256", "string")], keep=keep)
+    """Struct ``row``, ids, decoded text, n_tokens, and the digests of the ids as decimals and of the decoded text."""
+    done = decode(encode(docs, vocabulary, text, keep), vocabulary)
+    return done.select("row", "ids", "decoded", F.size("ids").cast("bigint").alias("n_tokens"),
+                       F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

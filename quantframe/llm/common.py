@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,16 +58,35 @@ def pieces(array: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int
         yield start, len(lengths)
 
 
-def chunks_of(text: bytes) -> list[bytes]:
-    """Pieces of a text that a lower-casing vocabulary without blanks encodes one by one.
+def spaced(text: bytes) -> bytes:
+    """A text in which blanks part the pieces that a lower-casing vocabulary without blanks encodes one by one.
 
-    Cut at blanks, and before a comma or full stop that ends a piece after a letter, so that a word has one
-    form; lower-cased in ASCII, unless the text may hold a special token, whose case matters.
+    A blank goes before a comma or full stop that ends a piece after a letter, so that a word has one form; letters
+    are lower-cased in ASCII, unless the text may hold a special token, whose case matters.
     """
     text = text.translate(BLANKS)
-    if b"<|" in text:
-        return text.split(b" ")
-    return STOP.sub(b" \\1", text.lower()).split(b" ")
+    return text if b"<|" in text else STOP.sub(b" \\1", text.lower())
+
+
+def chunks_of(text: bytes) -> list[bytes]:
+    """The pieces of ``spaced``."""
+    return spaced(text).split(b" ")
+
+
+def spaced_batch(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """``spaced`` texts with a blank between them, and the number of pieces up to the end of each."""
+    joined = b" ".join(texts).translate(BLANKS)
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    if b"<|" in joined:
+        each = list(map(spaced, texts))
+        return b" ".join(each), np.cumsum([t.count(b" ") + 1 for t in each])
+    data = np.frombuffer(joined.lower() + b" ", dtype=np.uint8)
+    stop = ((data[1:-1] == 44) | (data[1:-1] == 46)) & (data[2:] == 32) & (data[:-2] >= 97) & (data[:-2] <= 122)
+    at = np.flatnonzero(stop) + 1
+    ends = np.cumsum(sizes + 1) - 1
+    ends += np.searchsorted(at, ends)
+    data = np.insert(data[:-1], at, 32)
+    return data.tobytes(), np.searchsorted(np.flatnonzero(data == 32), ends) + 1
 
 
 def map_texts(df: DataFrame, text: str | Column, make: Callable[[], Callable[[list[bytes]], Sequence[Sequence]]],

@@ -1,13 +1,17 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Every document gets five shares (symbols, repeated windows, repeated lines, capitals, characters per word).
-A quantile sketch of each share is kept per language and source: counts of logarithmic buckets, so sketches
-merge by adding counts, their size depends on the value range only, and the result does not depend on the
-order or the partitions of the rows. Sketches of a source with few documents give way to the merged sketch of
-the language, and that to the merged sketch of all. Documents are joined with the thresholds of their group.
+A quantile sketch of each share is kept per language and source: counts of buckets that keep the upper six binary
+digits of a share, so sketches merge by adding counts, their size depends on the value range only, and the result
+does not depend on the order or the partitions of the rows. A share may exceed its group's median by ``spread`` times
+the distance from the median to the upper quartile, on the share's own scale; a group with hardly any spread uses
+``LEAST_SPREAD`` for that distance. There are no fixed cutoffs: every limit moves with its group's median. Sketches of
+a source with few documents give way to the merged sketch of the language, and that to the merged sketch of all.
+Documents are joined with the thresholds of their group.
 
 Defined cases: NULL text has no words and fails; NULL language or source counts as the empty name; repeated
-rows are judged one by one; an empty table gives no rows; other columns are carried along untouched.
+rows are judged one by one; a very long text is judged whole; a share equal to its limit is kept; an empty table
+gives no rows; other columns are carried along untouched, in the struct ``row``, where no name can clash.
 """
 
 from __future__ import annotations
@@ -24,20 +28,17 @@ SYMBOLS = "#*$%&|<>"
 #: Characters counted as capitals: ASCII, and the Latin-1 capitals.
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Share in thousandths up to which a document is never rejected, however uniform its group is.
-TOLERANCE = {"symbols": 100, "repeats": 300, "lines": 500, "capitals": 250, "width": 12_000}
+#: Least distance, in thousandths, that is taken for the one between a group's median and upper quartile.
+LEAST_SPREAD = {"symbols": 10, "repeats": 40, "lines": 60, "capitals": 12, "width": 250}
 STATS = "_stats"
 
 
 @dataclass(frozen=True)
 class Rules:
-    """``spread``: how many times the distance from the tenth percentile to the median a share may exceed the
-    median; ``step``: buckets per factor e; ``slack``: buckets always allowed; ``min_group``: documents that a
-    sketch needs to be used."""
+    """``spread``: how many times the distance from the median to the upper quartile a share may exceed the median;
+    ``min_group``: documents that a sketch needs to be used."""
 
-    spread: float = 4.0
-    step: int = 32
-    slack: int = 8
+    spread: int = 6
     min_group: int = 200
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -107,13 +108,15 @@ def _shares(s: Column) -> dict[str, Column]:
             "width": _per_mille(s["word_chars"], s["n_words"])}
 
 
-def _bucket(share: Column, rules: Rules) -> Column:
-    return F.floor(F.log(share.cast("double") + 1) * rules.step).cast("int")
+def _bucket(share: Column) -> Column:
+    """The share with all but its upper six binary digits cleared: the lowest value of its bucket."""
+    rest = F.pow(F.lit(2), F.greatest(F.length(F.bin(share)) - 6, F.lit(0))).cast("long")
+    return share - share % rest
 
 
 def sketches(stats: DataFrame, lang: Column, source: Column, rules: Rules) -> DataFrame:
     """(lang, source, share, bucket, n) over documents with words."""
-    shares = F.array(*(F.struct(F.lit(k).alias("share"), _bucket(v, rules).alias("bucket"))
+    shares = F.array(*(F.struct(F.lit(k).alias("share"), _bucket(v).alias("bucket"))
                        for k, v in _shares(F.col(STATS)).items()))
     return (stats.filter(F.col(f"{STATS}.n_words") > 0)
             .select(F.coalesce(lang.cast("string"), F.lit("")).alias("lang"),
@@ -127,17 +130,17 @@ def _quantile(q: float) -> Column:
 
 
 def _limits(sketch: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
-    """One row per group of ``keys``: the highest bucket allowed per share, and the documents seen."""
+    """One row per group of ``keys``: the highest value allowed per share, and the documents seen."""
     merged = sketch.groupBy(*keys, "share", "bucket").agg(F.sum("n").alias("n"))
     by = Window.partitionBy(*keys, "share")
     placed = merged.withColumns({"upto": F.sum("n").over(by.orderBy("bucket")), "total": F.sum("n").over(by)})
-    edges = placed.groupBy(*keys, "share").agg(_quantile(0.5).alias("mid"), _quantile(0.1).alias("low"),
+    edges = placed.groupBy(*keys, "share").agg(_quantile(0.5).alias("mid"), _quantile(0.75).alias("high"),
                                                F.max("total").alias("docs"))
-    highest = F.col("mid") + F.floor((F.col("mid") - F.col("low")) * rules.spread).cast("int") + rules.slack
-    least = F.create_map(*(x for k, v in TOLERANCE.items() for x in (F.lit(k), _bucket(F.lit(v), rules))))
-    limited = edges.withColumn("limit", F.greatest(highest, least[F.col("share")]))
+    least = F.create_map(*(x for k, v in LEAST_SPREAD.items() for x in (F.lit(k), F.lit(v))))
+    spread = F.greatest(F.col("high") - F.col("mid"), least[F.col("share")].cast("long"))
+    limited = edges.withColumn("limit", F.col("mid") + spread * rules.spread)
     return limited.groupBy(*keys).agg(
-        F.max("docs").alias("docs"), *(F.max(F.when(F.col("share") == k, F.col("limit"))).alias(k) for k in TOLERANCE))
+        F.max("docs").alias("docs"), *(F.max(F.when(F.col("share") == k, F.col("limit"))).alias(k) for k in LEAST_SPREAD))
 
 
 def thresholds(sketch: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -153,9 +156,9 @@ def thresholds(sketch: DataFrame, rules: Rules = Rules()) -> DataFrame:
     def pick(name: str) -> Column:
         return (F.when(F.col("docs") >= rules.min_group, F.col(name))
                 .when(F.col("by_lang.docs") >= rules.min_group, F.col(f"by_lang.{name}"))
-                .otherwise(F.lit(every[name] if every else None).cast("int")).alias(name))
+                .otherwise(F.lit(every[name] if every else None).cast("long")).alias(name))
 
-    return joined.select("lang", "source", *(pick(k) for k in TOLERANCE))
+    return joined.select("lang", "source", *(pick(k) for k in LEAST_SPREAD))
 
 
 def judge(stats: DataFrame, limits: DataFrame, lang: Column, source: Column, rules: Rules = Rules()) -> DataFrame:
@@ -166,13 +169,13 @@ def judge(stats: DataFrame, limits: DataFrame, lang: Column, source: Column, rul
     left = stats.withColumns({"_lang": F.coalesce(lang.cast("string"), F.lit("")),
                               "_source": F.coalesce(source.cast("string"), F.lit(""))})
     table = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"),
-                          F.struct(*TOLERANCE).alias("_limits"))
+                          F.struct(*LEAST_SPREAD).alias("_limits"))
     joined = left.join(table, ["_lang", "_source"], "left")
     s = F.col(STATS)
     failed = (s["n_words"] < rules.min_words) | (
         s["n_repeat_words"] * 100 > s["n_words"] * rules.max_repeat_percent)
     over = F.array_compact(F.array(*(
-        F.when(_bucket(v, rules) > F.col("_limits")[k], F.lit(k)) for k, v in _shares(s).items())))
+        F.when(v > F.col("_limits")[k], F.lit(k)) for k, v in _shares(s).items())))
     verdict = F.struct(failed.alias("base_failed"), over.alias("rejected_by"),
                        (~failed & (F.size(over) == 0)).alias("kept"))
     return joined.withColumn("_verdict", verdict).drop("_lang", "_source", "_limits")

@@ -9,22 +9,21 @@ from __future__ import annotations
 from quantframe.llm.collocations import Settings as Phrases
 from quantframe.llm.fill_in_middle import MARKS
 from quantframe.llm.fill_in_middle import Settings as Frames
-from quantframe.llm.quality_rules import CAPITALS, SYMBOLS, TOLERANCE, Rules
+from quantframe.llm.quality_rules import CAPITALS, LEAST_SPREAD, SYMBOLS, Rules
 from quantframe.llm.url_filter import SCHEME
 
 SPACE = r"[\x20\x09-\x0D]"
 
 
 def quality_rules(rules: Rules = Rules()) -> str:
-    limits = ", ".join(f"max(CASE WHEN share = '{k}' THEN greatest(mid + CAST(floor((mid - low) * {rules.spread}) AS INT) + "
-                       f"{rules.slack}, CAST(floor(ln({v} + 1.0) * {rules.step}) AS INT)) END) AS {k}"
-                       for k, v in TOLERANCE.items())
+    limits = ", ".join(f"max(CASE WHEN share = '{k}' THEN mid + {rules.spread} * greatest(high - mid, {v}) END) AS {k}"
+                       for k, v in LEAST_SPREAD.items())
     picked = ", ".join(f"CASE WHEN o.docs >= {rules.min_group} THEN o.{k} WHEN l.docs >= {rules.min_group} THEN l.{k} "
-                       f"ELSE e.{k} END AS {k}" for k in TOLERANCE)
-    over = ", ".join(f"CASE WHEN b_{k} > t.{k} THEN '{k}' END" for k in TOLERANCE)
-    buckets = ", ".join(f"CAST(floor(ln({k} + 1.0) * {rules.step}) AS INT) AS b_{k}" for k in TOLERANCE)
+                       f"ELSE e.{k} END AS {k}" for k in LEAST_SPREAD)
+    over = ", ".join(f"CASE WHEN b.{k} > t.{k} THEN '{k}' END" for k in LEAST_SPREAD)
+    buckets = ", ".join(f"{k} - {k} % (1 << greatest(length(bin({k})) - 6, 0)) AS b_{k}" for k in LEAST_SPREAD)
     rows = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS share, b_{k} AS bucket FROM bucketed WHERE n_words > 0"
-                              for k in TOLERANCE)
+                              for k in LEAST_SPREAD)
 
     def level(name: str, keys: str) -> str:
         by = f"{keys}, share" if keys else "share"
@@ -32,7 +31,7 @@ def quality_rules(rules: Rules = Rules()) -> str:
         return f"""{name} AS (
           SELECT {lead} max(docs) AS docs, {limits} FROM (
             SELECT {by}, min(CASE WHEN upto * 1000 >= total * 500 THEN bucket END) AS mid,
-                   min(CASE WHEN upto * 1000 >= total * 100 THEN bucket END) AS low, max(total) AS docs
+                   min(CASE WHEN upto * 1000 >= total * 750 THEN bucket END) AS high, max(total) AS docs
             FROM (SELECT {by}, bucket, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto,
                          sum(n) OVER (PARTITION BY {by}) AS total
                   FROM (SELECT {by}, bucket, count(*) AS n FROM sketch GROUP BY {by}, bucket))

@@ -18,7 +18,8 @@ Where a document starts is a running sum in two levels: over the parts, of which
 and over the blocks inside a part.
 
 Defined cases: NULL text has the end id only; NULL doc_ids come first; documents of equal id stand side by
-side, ordered by text; an empty table gives a file without blocks.
+side, ordered by text; ids of equal frequency are ranked by id; a very long text is a block of its own; an empty
+table gives a file without blocks; only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +37,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantframe.llm.common import chunks_of, pieces
+from quantframe.llm.bpe import Vocabulary
+from quantframe.llm.common import pieces, spaced_batch
 from quantframe.session import ship_package
 
 BLOCK_IDS = 1 << 19
 CACHE = 500_000
 SCHEMA = ("part int, seq int, doc_ids array<bigint>, lengths array<int>, n_ids bigint, ranked binary, "
           "control binary, data binary")
-_tokenizers: dict[int, tuple[object, dict[bytes, bytes]]] = {}
+_encoders: dict[int, ChunkEncoder] = {}
 
 #: Byte counts of the four values behind each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -80,45 +83,68 @@ def unpack(n: int, ranked: bytes, control: bytes, data: bytes) -> np.ndarray:
     return np.frombuffer(ranked, dtype="<u4")[ranks]
 
 
-def _library(spec: str) -> tuple[object, dict[bytes, bytes]]:
-    """The public library's tokenizer and the cached ids of chunks, one per worker process."""
-    key = zlib.crc32(spec.encode())
-    if key not in _tokenizers:
+class ChunkEncoder:
+    """Ids of texts through the public library, which sees each distinct chunk between blanks once, as words never
+    reach over blanks. Chunks met lately are kept in two generations of bounded size."""
+
+    def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(spec)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _tokenizers.clear()
-        _tokenizers[key] = tokenizer, {}
-    return _tokenizers[key]
-
-
-def _ids_of(texts: list[bytes], spec: str, end_id: int) -> Iterator[bytes]:
-    """uint32 ids of each text and the end id. The library sees each distinct chunk between blanks once, as
-    words never reach over blanks."""
-    tokenizer, known = _library(spec)
-    cut = [chunks_of(t) for t in texts]
-    used = set().union(*cut)
-    fresh = list(used.difference(known))
-    if len(known) + len(fresh) > CACHE:
-        kept = {c: known[c] for c in used.difference(fresh)}
-        known.clear()
-        known.update(kept)
-    found = tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in fresh], add_special_tokens=False)
-    known.update(zip(fresh, [array("I", e.ids).tobytes() for e in found], strict=True))
-    end = int(end_id).to_bytes(4, "little")
-    for cs in cut:
-        yield b"".join([known[c] for c in cs]) + end
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = [c for c in chunks if c not in known]
+        known.update((c, older[c]) for c in missing if c in older)
+        fresh = [c for c in missing if c not in older]
+        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in fresh], add_special_tokens=False)
+        known.update(zip(fresh, [array("I", e.ids).tobytes() for e in found], strict=True))
+
+    def __call__(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id behind it; where each text ends)."""
+        if not texts:
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        joined, ends = spaced_batch(texts)
+        coded = pa.compute.split_pattern(pa.array([joined], pa.large_binary()), " ").values.dictionary_encode()
+        places = np.frombuffer(coded.dictionary.buffers()[1], dtype=np.int64)[:len(coded.dictionary) + 1].tolist()
+        octets = coded.dictionary.buffers()[2].to_pybytes()
+        chunks = [octets[a:b] for a, b in pairwise(places)]
+        self._learn(chunks)
+        entries = list(map(self.known.__getitem__, chunks))
+        pool = np.frombuffer(b"".join(entries), dtype=np.uint32)
+        size = np.fromiter(map(len, entries), dtype=np.int64, count=len(entries)) // 4
+        at = coded.indices.to_numpy()
+        counts = size[at]
+        upto = np.cumsum(counts)
+        ids = pool[np.repeat((np.cumsum(size) - size)[at] - upto + counts, counts) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        ends = upto[ends - 1]
+        return np.insert(ids, ends, end_id), ends + np.arange(1, len(texts) + 1)
+
+
+def _encoder(spec: str) -> ChunkEncoder:
+    """One encoder per worker process, so that what it knows outlives a task."""
+    key = zlib.crc32(spec.encode())
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = ChunkEncoder(spec)
+    return _encoders[key]
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = 1, doc_id: str = "doc_id",
                       text: str = "text", block_ids: int = BLOCK_IDS) -> None:
     """Encode every whole text and write the blocks in ascending order of ``doc_id``.
 
-    Only ids and texts are shuffled, once, by ranges of the id; encoding happens behind that shuffle.
+    Only ids and texts are shuffled, once, by ranges of the id; encoding happens behind that shuffle. The vocabulary
+    has to be one whose words end at blanks; another one is refused.
     """
+    Vocabulary.read(vocabulary_path)
     spark = docs.sparkSession
     ship_package(spark)
     with open(vocabulary_path, encoding="utf-8") as file:
@@ -127,23 +153,23 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_text")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, encode = TaskContext.get().partitionId(), 0, _encoder(spec.value)
         ids, runs, held = [], [], 0
 
         def block() -> pa.RecordBatch:
-            ranked, control, data = pack(np.frombuffer(b"".join(runs), dtype="<u4"))
-            row = {"part": part, "seq": seq, "doc_ids": ids, "lengths": [len(r) // 4 for r in runs], "n_ids": held,
+            ranked, control, data = pack(np.concatenate(runs))
+            row = {"part": part, "seq": seq, "doc_ids": ids, "lengths": [len(r) for r in runs], "n_ids": held,
                    "ranked": ranked, "control": control, "data": data}
             return pa.RecordBatch.from_pylist([row], BLOCK_ARROW)
 
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             for a, b in pieces(texts):
-                found = _ids_of([x or b"" for x in texts.slice(a, b - a).to_pylist()], spec.value, end_id)
-                for i, run in zip(batch.column(0).slice(a, b - a).to_pylist(), found, strict=True):
+                found, ends = encode([x or b"" for x in texts.slice(a, b - a).to_pylist()], end_id)
+                for i, run in zip(batch.column(0).slice(a, b - a).to_pylist(), np.split(found, ends[:-1]), strict=True):
                     ids.append(i)
                     runs.append(run)
-                    held += len(run) // 4
+                    held += len(run)
                     if held >= block_ids:
                         yield block()
                         ids, runs, held, seq = [], [], 0, seq + 1

@@ -183,7 +183,7 @@ def test_toxicity_learns_and_finds_passages(spark, awkward, nothing):
 # --- token ids
 
 def test_bpe_equals_the_library(vocabulary):
-    library, encoder = Tokenizer.from_file(PATH), bpe.ArrayEncoder(vocabulary)
+    library, encoder = Tokenizer.from_file(PATH), bpe.TextEncoder(vocabulary)
     rng = random.Random(5)
     near = "abcdehilnorst'é  \n1.,!AÉ世Ὼ́‍ \x85İΣ|<>"
     far = [chr(c) for c in range(32, 0x2fff)]
