@@ -9,11 +9,12 @@ documents of the similarity asked for agree in at least ``matches`` coordinates,
 documents share one of their first ``coordinates - matches + 1`` pairs: only this prefix is posted. A passage
 that very many documents share thus leaves the prefixes, however many there are; pairs of one holder are skipped.
 
-Pairs. Postings of up to ``few`` documents give all their pairs; in a longer one the documents are compared with
-its pivot, the text most typical of them. Pairs with enough equal coordinates are confirmed on the full sets, of
-each document the best pair first: its links put most other pairs inside one class, where they need not be tried.
+Pairs. The documents of a posting are compared with its pivot, the text most typical of them. Pairs with enough equal
+coordinates are confirmed on the full sets, of each document the best pair first: its links put most other pairs
+inside one class, where they need not be tried.
 
-Rest. Where a long posting still holds several classes, its documents are posted anew under what tells them from the
+Rest. Where a posting of up to ``few`` documents still holds several classes, its pairs between classes are tried. The
+documents of a longer one are posted anew under what tells them from the
 pivot. Two linked documents must have about half of these differences in common (``_differences`` has the exact
 bounds), so the unrelated changes that thousands of near copies have made to one text do not meet, and no pairs are
 formed among them. So every link between different classes is tried, and none inside a class need be.
@@ -49,6 +50,8 @@ AROUND, BESIDE, AWAY = range(3)
 #: Distance from a pivot up to which the differences from it are compared; more than twice the gap of any setting.
 NEAR = 0.5
 KEY = ["doc", "t1", "t2"]
+#: Size of the table that sorts out most rows before a join by key: a megabyte of bits.
+SIFT_BITS = 23
 
 
 @dataclass(frozen=True)
@@ -58,7 +61,7 @@ class Settings:
     width: int = 5
     percent: int = 80
     coordinates: int = 48
-    few: int = 48
+    few: int = 16
     seed: int = 11
 
     @property
@@ -302,24 +305,36 @@ def _link_classes(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], se
     token = (F.col("pos").cast("bigint") * (1 << 32)) + (F.col("value").cast("bigint") + (1 << 31))
     met = _prefix(reps.select("id", F.posexplode("sig").alias("pos", "value")).select(
         "id", token.alias("token"), F.lit(settings.matches).cast("bigint").alias("need"), F.lit(False).alias("linked")))
-    short = met.filter(F.col("size") <= settings.few).withColumn("class", F.col("id"))
-    long_ = met.filter(F.col("size") > settings.few)
-    tried = _meeting(short, ["token"]).union(_pairs(_with_pivots(long_), "id", "pivot")).distinct()
-    pairs = _collided(tried, reps, settings)
+    pairs = _collided(_pairs(_with_pivots(met), "id", "pivot"), reps, settings)
     classes = _join_classes(pairs, sets_of(_ends(pairs)), classes, settings)
-    rest = materialize(_with_pivots(_members(long_, classes, ["token"])).select("pivot", "id").distinct(), "rest")
+    members = materialize(_members(met, classes, ["token"]), "open")
+    pairs = _collided(_meeting(members.filter(F.col("size") <= settings.few), ["token"]), reps, settings)
+    long_ = members.filter(F.col("size") > settings.few)
+    rest = materialize(_with_pivots(long_).select("pivot", "id").distinct(), "rest")
+    sets = sets_of(materialize(_ends(pairs).union(_ends(rest, "pivot", "id")).distinct(), "ids"))
+    classes = _join_classes(pairs, sets, classes, settings)
     if rest.isEmpty():
         return classes
-    sets = sets_of(_ends(rest, "pivot", "id"))
     apart = _prefix(_differences(rest, sets, settings), ["pivot", "kind"])
     members = _members(apart, classes, ["pivot", "kind", "token"])
     tried = _meeting(members, ["pivot", "kind", "token"], f"kind <> {BESIDE} OR linked <> linked_b")
     return _join_classes(_collided(tried, reps, settings), sets, classes, settings)
 
 
+def _sifted(rows: DataFrame, keys: DataFrame, hit: str = "_hit") -> DataFrame:
+    """``rows`` with a flag: false only where the row's key is not in ``keys``. The keys' hashes are put in a bit table
+    of fixed size that every task gets; where it fills up, more flags are true."""
+    place = F.shiftrightunsigned(F.xxhash64(*KEY), 64 - SIFT_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))
+    words = keys.select((place / 64).cast("bigint").alias("_place"), bit.alias("_bit")).groupBy("_place").agg(
+        F.bit_or("_bit").alias("_word"))
+    met = rows.withColumn("_place", (place / 64).cast("bigint")).join(F.broadcast(materialize(words, "bits")), "_place", "left")
+    return met.withColumn(hit, F.coalesce(F.col("_word").bitwiseAND(bit) != 0, F.lit(False))).drop("_place", "_word")
+
+
 def _judged(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> DataFrame:
-    """(doc, t1, t2, n_shingles, h1, h2, component) of each row; ``component`` is the least id that links reach, NULL
-    for an empty set or a NULL id. A table; the steps' own tables are removed."""
+    """(doc, t1, t2, n_shingles, h1, h2, class, component) of each row: the component's own name and the least id that links
+    reach, NULL for an empty set or a NULL id. A table; the steps' own tables are removed."""
     column = F.col(f"`{text}`").cast("string")
     narrow = docs.select(*text_key(F.col(f"`{doc_id}`"), column), column.alias("text"))
     with scratch_scope(docs.sparkSession) as scope:
@@ -338,17 +353,18 @@ def _judged(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> Data
         keys = heads.select("id", *KEY)
 
         def sets_of(ids: DataFrame) -> DataFrame:
-            chosen = narrow.join(materialize(keys.join(ids, "id"), "chosen"), KEY).select("id", "text").dropDuplicates(["id"])
+            wanted = materialize(keys.join(ids, "id"), "chosen")
+            chosen = _sifted(narrow, wanted).filter("_hit").join(wanted, KEY).select("id", "text").dropDuplicates(["id"])
             return materialize(shingle_sets(chosen, settings), "sets")
 
         classes = heads.select(*equal, "id", "doc").join(_link_classes(signed, sets_of, settings), "id", "left").withColumn(
             "class", F.coalesce("component", "id"))
         classes = materialize(classes.select(*equal, "doc", "class"), "classes")
         least = materialize(classes.groupBy("class").agg(F.min("doc").alias("component")), "least")
-        of_set = materialize(classes.join(least, "class").select(*equal, "component"), "components")
+        of_set = materialize(classes.join(least, "class").select(*equal, "class", "component"), "components")
         joined = base.drop("sig").join(of_set, equal, "left")
-        component = F.when(F.col("doc").isNotNull() & (F.col("n_shingles") > 0), F.col("component"))
-        return scope.keep(joined.select(*KEY, *equal, component.alias("component")), "judged")
+        linked = F.col("doc").isNotNull() & (F.col("n_shingles") > 0)
+        return scope.keep(joined.select(*KEY, *equal, *(F.when(linked, F.col(c)).alias(c) for c in ("class", "component"))), "judged")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -364,14 +380,17 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
                          settings: Settings = Settings()) -> DataFrame:
     """The input's rows with one document of each component, and one of equal rows. Rows with a NULL id all stay."""
     judged = _judged(docs, doc_id, text, settings).filter(F.col("doc").isNotNull())
-    lone = judged.filter("component IS NULL").select(*KEY)
-    first = judged.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(*KEY)).alias("key")).select("key.*")
+    lone = judged.filter("class IS NULL").select(*KEY)
+    first = judged.filter("class IS NOT NULL").groupBy("class").agg(F.min(F.struct(*KEY)).alias("key")).select("key.*")
     rows = judged.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-    kept = materialize(lone.union(first).distinct().join(rows, KEY), "kept")
-    again = materialize(kept.filter("n > 1"), "again")
+    stay = lone.union(first).distinct().withColumn("stays", F.lit(True))
+    # only rows that go or repeat need to be looked up
+    looked = rows.join(stay, KEY, "left").filter("n > 1 OR stays IS NULL")
+    looked = materialize(looked.select(*KEY, F.lit(True).alias("_found"), F.coalesce("stays", F.lit(False)).alias("_stays")), "looked_up")
     columns = [F.col(f"d.`{c}`") for c in docs.columns]
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"),
                         *text_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")))
-    once = keyed.join(kept.filter("n = 1").select(*KEY), KEY, "left_semi").select(*columns)
-    repeated = keyed.join(again.select(*KEY), KEY, "left_semi").dropDuplicates(KEY).select(*columns)
-    return once.union(repeated).union(docs.filter(F.col(f"`{doc_id}`").isNull()))
+    flagged = _sifted(keyed, looked)
+    met = flagged.filter("_hit").join(looked, KEY, "left")
+    return flagged.filter("NOT _hit").select(*columns).union(met.filter("_found IS NULL").select(*columns)).union(
+        met.filter("_stays").dropDuplicates(KEY).select(*columns))
