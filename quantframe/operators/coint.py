@@ -2,14 +2,17 @@
 
 The test needs two regressions per pair. The first is an aggregate. The second, the augmented
 Dickey-Fuller regression of the residuals on their own lags, only needs the cross products of its
-design columns, which are sums: every block of rows gives its own small matrix, the matrices of a pair
-are added, and the regressions of all lag orders are solved from the total. No pair is gathered.
+design columns. These columns are one series of changes shifted against itself, so a product of two of
+them depends on their distance alone, but for a few rows at both ends. Every row is met with the changes
+before it, its products are added up by pair and distance, and the first and last residuals correct the
+ends: a row gives as many products as there are lags, not their square, all of it in built-in functions.
+The regressions of all lag orders are then solved from one row of sums per pair. No pair is gathered.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,7 +22,7 @@ from pyspark.sql import types as T
 
 from quantframe.functions.columns import missing_as_null
 from quantframe.operators.pairs import PAIR
-from quantframe.plans.halo import BLOCK, home_block, with_halo
+from quantframe.plans.halo import drop_halo, in_block, with_halo
 from quantframe.plans.layout import DEFAULT_LAYOUT, Layout
 from quantframe.plans.skew import join_by_key
 from quantframe.plans.scan import ROW_INDEX, SERIES_ROWS, index_rows
@@ -40,7 +43,6 @@ P_LARGE = (2.1945, 0.64695, -0.29198, -0.042377)
 # End of fixed values -----------------------------------------------------------------------------
 
 COLLINEAR_R2 = 1 - 100 * math.sqrt(np.finfo(float).eps)
-PARTIAL_SCHEMA = "size int, gram array<double>, head array<double>"
 RESULT_SCHEMA = "adf_stat double, used_lag int"
 
 
@@ -67,21 +69,33 @@ def _design(residuals: np.ndarray, first: int, last: int, lags: int) -> np.ndarr
     return np.column_stack(columns)
 
 
-def partial_products(block: pd.DataFrame, home: int, max_lag: int) -> dict:
-    """Cross products over the block's own rows that have ``max_lag`` changes before them. The block
-    that starts the pair also keeps its first residuals, from which rows with fewer lags are made."""
-    residuals = block["residual"].to_numpy(dtype=float)
-    index = block[ROW_INDEX].to_numpy()
-    own = block["_home"].to_numpy() == home
-    start = max(int(np.argmax(own)), int(max_lag + 1 - index[0]), 1)
-    last = len(residuals) - 1
-    size = max_lag + 2
-    gram = np.zeros((size, size))
-    if own.any() and start <= last:
-        rows = _design(residuals, start, last, max_lag)
-        gram = rows.T @ rows
-    head = residuals[: max_lag + 1].tolist() if index[0] == 0 else None
-    return {"size": size, "gram": gram.ravel().tolist(), "head": head}
+def cross_products(changes: np.ndarray, levels: np.ndarray, squares: float, head: np.ndarray,
+                   tail: np.ndarray) -> np.ndarray:
+    """Cross products of the design columns over all rows that have ``lags`` changes before them.
+
+    ``changes[d]`` and ``levels[d]`` sum, over all rows, the change and the residual times the change d rows back;
+    ``squares`` sums the squared residuals; ``head`` and ``tail`` are the first and last ``lags + 1`` residuals. Row s
+    of the sums for distance d serves design columns i and i + d in row s + i, so sums lose what lies outside.
+    """
+    lags = len(changes) - 1
+    gram = np.empty((lags + 2, lags + 2))
+    first, last = np.diff(head, prepend=np.nan), np.diff(tail, prepend=np.nan)  # changes 1..lags and the last ones
+    at = np.r_[0, np.arange(2, lags + 2)]  # column of each shifted change
+    for i in range(lags + 1):
+        for j in range(i, lags + 1):
+            d = j - i
+            early = first[d + 1:lags - i + 1] @ first[1:lags - i + 1 - d]
+            late = last[len(last) - i:] @ last[len(last) - i - d:len(last) - d] if i else 0.0
+            gram[at[i], at[j]] = gram[at[j], at[i]] = changes[d] - early - late
+    gram[1, 1] = squares - head[:lags] @ head[:lags] - tail[-1] ** 2
+    for j in range(1, lags + 1):
+        e = j - 1
+        early = head[e + 1:lags] @ first[1:lags - e]
+        gram[1, at[j]] = gram[at[j], 1] = levels[e] - early - tail[-1] * last[len(last) - 1 - e]
+    # the level before a change is the level behind it less the change
+    early = head[1:] @ first[1:] - first[1:] @ first[1:]
+    gram[0, 1] = gram[1, 0] = levels[0] - changes[0] - early
+    return gram
 
 
 def _solve(gram: np.ndarray, lags: int) -> tuple[np.ndarray, float, np.ndarray]:
@@ -146,29 +160,38 @@ def coint_screen(aligned: DataFrame, keys: Sequence[str] = PAIR, ts: str = "ts",
     residual = y - F.col("_intercept") - F.col("_slope") * x
     rows = join_by_key(indexed, usable, groups, ROW_INDEX, layout=layout).select(
         *groups, ROW_INDEX, F.col("n_obs").alias(SERIES_ROWS), "_max_lag", residual.alias("residual"))
-    placed = with_halo(rows, before=F.col("_max_lag") + 1, layout=layout).withColumn("_home", home_block(layout))
-
-    def to_partial(block: pd.DataFrame) -> pd.DataFrame:
-        ordered = block.sort_values(ROW_INDEX)
-        head = {c: ordered[c].iloc[0] for c in (*groups, SERIES_ROWS, "_max_lag")}
-        home, lag = int(ordered[BLOCK].iloc[0]), int(ordered["_max_lag"].iloc[0])
-        return pd.DataFrame([{**head, **partial_products(ordered, home, lag)}])
-
-    def to_statistic(parts: pd.DataFrame) -> pd.DataFrame:
-        first = parts.iloc[0]
-        size, lag = int(first["size"]), int(first["_max_lag"])
-        gram = np.sum([np.asarray(g) for g in parts["gram"]], axis=0).reshape(size, size)
-        head = np.asarray(max((h for h in parts["head"] if h is not None), key=len), dtype=float)
-        statistic, used = adf_statistic(gram, head, int(first[SERIES_ROWS]), lag)
-        return pd.DataFrame([{**{c: first[c] for c in groups}, "adf_stat": statistic, "used_lag": used}])
-
-    def schema(columns: Sequence[str], extra: str) -> T.StructType:
-        return T.StructType([placed.schema[c] for c in columns] + T.StructType.fromDDL(extra).fields)
-
-    partials = placed.groupBy(*groups, BLOCK).applyInPandas(
-        to_partial, schema([*groups, SERIES_ROWS, "_max_lag"], PARTIAL_SCHEMA))
-    # one small matrix per block reaches this group
-    tested = partials.groupBy(*groups).applyInPandas(to_statistic, schema(groups, RESULT_SCHEMA))
+    # the longest frame is one number; it grows with the fourth root of the longest pair
+    most = usable.agg(F.max("_max_lag")).first()[0] or 0
+    placed = with_halo(rows, before=most + 1, layout=layout)
+    by = in_block(groups)
+    changed = placed.withColumn("_change", F.col("residual") - F.lag("residual").over(by))
+    recent = F.slice(F.reverse(F.collect_list("_change").over(by.rowsBetween(-most, 0))), 1, F.col("_max_lag") + 1)
+    own = drop_halo(changed.withColumn("_recent", recent), layout)
+    # the first row of a pair has no change, and its NULL is not collected
+    change, level = F.col("_change"), F.col("residual")
+    cells = own.filter(change.isNotNull()).select(*groups, change, level, F.posexplode("_recent").alias("_back", "_earlier"))
+    sums = cells.groupBy(*groups, "_back").agg(F.sum(change * F.col("_earlier")).alias("c"), F.sum(level * F.col("_earlier")).alias("l"))
+    sums = sums.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("_back", "c", "l"))).alias("_sums"))
+    place = F.struct(ROW_INDEX, "residual")
+    ends = rows.groupBy(*groups).agg(
+        F.first(SERIES_ROWS).alias(SERIES_ROWS), F.sum(level * level).alias("_squares"),
+        F.sort_array(F.collect_list(F.when(F.col(ROW_INDEX) <= F.col("_max_lag"), place))).alias("_head"),
+        F.sort_array(F.collect_list(F.when(F.col(ROW_INDEX) >= F.col(SERIES_ROWS) - 1 - F.col("_max_lag"), place))).alias("_tail"))
+    summed = ends.join(sums, groups).select(
+        *groups, SERIES_ROWS, "_squares", F.col("_sums.c").alias("_changes"), F.col("_sums.l").alias("_levels"),
+        F.col("_head.residual").alias("_head"), F.col("_tail.residual").alias("_tail"))
+
+    def to_statistic(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for _, row in batch.iterrows():
+                changes, levels, head, tail = (np.asarray(row[c], dtype=float) for c in ("_changes", "_levels", "_head", "_tail"))
+                gram = cross_products(changes, levels, row["_squares"], head, tail)
+                found.append(adf_statistic(gram, head, int(row[SERIES_ROWS]), len(changes) - 1))
+            yield batch[groups].assign(adf_stat=[x for x, _ in found], used_lag=np.array([k for _, k in found], dtype=np.int32))
+
+    schema = T.StructType([summed.schema[c] for c in groups] + T.StructType.fromDDL(RESULT_SCHEMA).fields)
+    tested = summed.mapInPandas(to_statistic, schema)
 
     probability = F.pandas_udf(lambda s: s.map(p_value, na_action="ignore").astype("float64"), "double")
     free = F.col("n_obs") - 1

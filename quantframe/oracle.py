@@ -7,6 +7,7 @@ results, not plans.
 from __future__ import annotations
 
 from quantframe import catalog
+from quantframe.operators import coint
 from quantframe.sources.specs import GLOBAL_SPECS, SPECS, V3_SPECS, V4_SPECS
 
 R = catalog.SPREAD_RULES
@@ -40,6 +41,60 @@ signals AS (SELECT series_id, ts, value, CASE WHEN zscore > 0.5 THEN 1 WHEN zsco
   FROM scored)"""
 
 
+def normal_cdf(z: str) -> str:
+    """The normal distribution by its series around 0, summed from the far end."""
+    return (f"(0.5 + exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * ({z}) * list_reduce(list_concat([1.0::DOUBLE], "
+            f"list_transform(range(300, 0, -1), lambda k: k::DOUBLE)), lambda s, k: 1 + s * ({z}) * ({z}) / (2 * k + 1)))")
+
+
+def products(lags: str, source: str) -> str:
+    """Cross products of [change, level before, changes 1..lags back] from the rows that have them."""
+    def column(k: str) -> str:
+        return f"CASE WHEN {k} = 1 THEN e[{lags} + 1:n - 1] ELSE c[{lags} + 1 - greatest({k} - 1, 0):n - 1 - greatest({k} - 1, 0)] END"
+
+    return f"""SELECT a_id, b_id, n, {lags} AS lags, list_transform(range(0, {lags} + 2), lambda i: list_transform(
+    range(0, {lags} + 2), lambda j: list_dot_product({column("i")}, {column("j")}))) AS m FROM {source}"""
+
+
+def coint_screen() -> str:
+    """Engle-Granger by elimination on the cross products: one column at a time leaves the residual sum of squares of
+    every lag order in the first cell."""
+    step = "list_transform(m, lambda x: list_transform(x, lambda v, j: v - x[{q}] * m[{q}][j] / m[{q}][{q}]))"
+    polynomial = {k: " + ".join(f"({c}) * power(t, {i})" for i, c in enumerate(cs)) for k, cs in (("small", coint.P_SMALL), ("large", coint.P_LARGE))}
+    crits = ", ".join(f"{r(f'{b[0]} + {b[1]} / (n - 1) + {b[2]} / ((n - 1) * (n - 1))')} AS crit_{k}pct" for k, b in (
+        (1, coint.CRITICAL_1), (5, coint.CRITICAL_5), (10, coint.CRITICAL_10)))
+    return f"""WITH RECURSIVE {ALIGNED}, fits AS (
+  SELECT a_id, b_id, count(*) AS n, regr_slope(a, b) AS slope, regr_intercept(a, b) AS base,
+         coalesce(regr_r2(a, b) >= {coint.COLLINEAR_R2!r}, false) AS collinear,
+         CAST(least(floor(count(*) / 2) - 1, ceil(12 * power(count(*) / 100, 0.25))) AS BIGINT) AS most
+  FROM aligned GROUP BY a_id, b_id),
+left_over AS (
+  SELECT a_id, b_id, n, most, list(a - base - slope * b ORDER BY ts) AS e
+  FROM aligned JOIN fits USING (a_id, b_id) WHERE NOT collinear AND n - 1 - 2 * most > 1 AND most >= 0
+  GROUP BY ALL),
+moved AS (SELECT *, list_transform(range(2, n + 1), lambda i: e[i] - e[i - 1]) AS c FROM left_over),
+nested AS (
+  SELECT a_id, b_id, n, lags, 0 AS k, m FROM ({products("most", "moved")})
+  UNION ALL SELECT a_id, b_id, n, lags, k + 1, {step.format(q="(k + 2)")} FROM nested WHERE k <= lags),
+orders AS (
+  SELECT a_id, b_id, k - 1 AS lag, (n - 1 - lags) * (ln(2 * pi() * m[1][1] / (n - 1 - lags)) + 1) + 2 * k AS aic
+  FROM nested WHERE k > 0),
+best AS (SELECT a_id, b_id, arg_min(lag, (aic, lag)) AS lag FROM orders GROUP BY a_id, b_id),
+chosen AS (SELECT moved.*, lag FROM moved JOIN best USING (a_id, b_id)),
+final AS (
+  SELECT a_id, b_id, n, lags, 0 AS k, m FROM ({products("lag", "chosen")})
+  UNION ALL SELECT a_id, b_id, n, lags, k + 1, {step.format(q="(k + 3)")} FROM final WHERE k < lags),
+tested AS (
+  SELECT a_id, b_id, lags AS used_lag, m[1][2] / m[2][2]
+         / sqrt((m[1][1] - m[1][2] * m[1][2] / m[2][2]) / (n - 2 - 2 * lags) / m[2][2]) AS t
+  FROM final WHERE k = lags),
+scored AS (SELECT f.*, used_lag, CASE WHEN collinear THEN '-infinity'::DOUBLE ELSE t END AS t FROM fits f LEFT JOIN tested USING (a_id, b_id))
+SELECT a_id, b_id, {r("t")} AS t_stat, CASE WHEN t < {coint.P_MIN} THEN 0.0 WHEN t > {coint.P_MAX} THEN 1.0
+       WHEN t <= {coint.P_SPLIT} THEN {r(normal_cdf(polynomial["small"]))} ELSE {r(normal_cdf(polynomial["large"]))} END AS p_value,
+       CAST(used_lag AS INTEGER) AS used_lag, n AS n_obs, collinear, {r("slope")} AS hedge_ratio, {crits}
+FROM scored"""
+
+
 def ranked_ic(source: str, keys: str) -> str:
     """Spearman correlation by average ranks over ``source(keys, factor, fwd_ret)``."""
     return f"""ranks AS (
@@ -341,6 +396,7 @@ SELECT series_id, ts, {r("equity")} AS equity, {r("additive")} AS additive_equit
        {r("equity / max(equity) OVER (PARTITION BY series_id ORDER BY ts) - 1")} AS drawdown FROM curves"""
 
     sql["build_spread"] = f"WITH {ALIGNED} SELECT a_id, b_id, ts, {r('a - 0.5 * b')} AS spread FROM aligned"
+    sql["coint_screen"] = coint_screen()
     sql["hedge_ratio"] = f"""WITH {ALIGNED}, rolled AS (
   SELECT *, CASE WHEN count(*) OVER w = 60 AND regr_sxx(a, b) OVER w >= 1e-10 THEN regr_slope(a, b) OVER w END AS hedge
   FROM aligned WINDOW w AS (PARTITION BY a_id, b_id ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
