@@ -7,12 +7,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from quantframe.functions.columns import INF, as_column, missing_as_null
 from quantframe.operators.features import SERIES
-from quantframe.plans.halo import over_rows
 from quantframe.plans.layout import DEFAULT_LAYOUT, Layout
+from quantframe.plans.rolling import MOMENTS, rolling_moments
 from quantframe.plans.scan import previous_row
 from quantframe.plans.skew import join_by_key
 
@@ -49,13 +48,10 @@ def rolling_hedge_ratio(aligned: DataFrame, window: int = 60, keys: Sequence[str
     NULL on the first ``window`` rows, with a gap in the frame, or when b hardly varies.
     """
     y, x = missing_as_null(F.col(a)), missing_as_null(F.col(b))
-
-    def slope(rows: WindowSpec) -> dict[str, Column]:
-        frame = rows.rowsBetween(-window, -1)
-        usable = (F.count(y + x).over(frame) == window) & (F.regr_sxx(y, x).over(frame) >= MIN_SXX)
-        return {name: F.when(usable, F.regr_slope(y, x).over(frame))}
-
-    return over_rows(aligned, keys, ts, slope, before=window, layout=layout)
+    rows = rolling_moments(aligned, keys, ts, window, x, y, shift=1, layout=layout)
+    m = F.col(MOMENTS)
+    usable = (m["n"] == window) & (m["square"] >= MIN_SXX)
+    return rows.withColumn(name, F.when(usable, m["cross"] / m["square"])).drop(MOMENTS)
 
 
 def half_life(spread: DataFrame, keys: Sequence[str] = SERIES, ts: str = "ts", value: str = "value",

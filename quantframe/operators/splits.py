@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from quantframe.functions.columns import finite_or_null
 from quantframe.functions.signals import zscore_fixed
 from quantframe.operators.features import SERIES
-from quantframe.plans.intervals import join_ranges
+from quantframe.plans.intervals import DAY, join_ranges
 from quantframe.plans.layout import DEFAULT_LAYOUT, Layout
+from quantframe.plans.rolling import merged_moments
 from quantframe.plans.skew import join_by_key
+from quantframe.session import materialize
 
 MIN_TRAIN_DATES = 10
 MIN_TEST_DATES = 5
@@ -127,12 +129,42 @@ def rows_in_folds(data: DataFrame, folds: DataFrame, split: str | None = None, t
 def zscore_by_fold(panel: DataFrame, folds: DataFrame, keys: Sequence[str] = SERIES, ts: str = "ts",
                    value: str = "value", name: str = "zscore",
                    fold_keys: Sequence[str] = (), layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
-    """Test rows scored with the mean and deviation of their own fold's training rows."""
+    """Test rows scored with the mean and deviation of their own fold's training rows.
+
+    Training rows are summed once, per series and day, and the days' moments are merged per fold, so an overlap of
+    folds multiplies days and not rows. Of a day that a fold's training period cuts, the rows inside it are summed
+    for that fold.
+    """
     grouped = [*keys, "fold_idx"]
     number = finite_or_null(F.col(value))
-    train = rows_in_folds(panel, folds, "train", ts, fold_keys).groupBy(*grouped).agg(
-        F.avg(number).alias("_mu"), F.stddev_samp(number).alias("_sd"))
+    train = fold_moments(panel, folds, keys, ts, number, fold_keys)
+    mean, deviation = F.col("_m")["mean"], F.sqrt(F.try_divide(F.col("_m")["square"], F.col("_m")["n"] - 1))
+    known = F.col("_m")["n"] > 0
+    train = train.select(*grouped, F.when(known, mean).alias("_mu"), deviation.alias("_sd"))
     test = rows_in_folds(panel, folds, "test", ts, fold_keys)
     scored = join_by_key(test, train, grouped, ts, "left", layout)
     return scored.withColumn(name, zscore_fixed(F.col(value), F.col("_mu"), F.col("_sd"))).select(
         *test.columns, name)
+
+
+def fold_moments(panel: DataFrame, folds: DataFrame, keys: Sequence[str], ts: str, number: Column,
+                 fold_keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, fold_idx, _m): count, mean and sum of squared deviations of ``number`` over each fold's training rows."""
+    by = [*keys, *(k for k in fold_keys if k not in keys)]
+    moments = (F.count("_x").cast("double").alias("n"), F.avg("_x").alias("mean"),
+               (F.var_pop("_x") * F.count("_x")).alias("square"))
+    dated = panel.select(*by, F.col(ts).alias("_ts"), number.alias("_x"), F.to_date(ts).alias(DAY))
+    days = materialize(dated.groupBy(*by, DAY).agg(*moments, F.min("_ts").alias("_from"), F.max("_ts").alias("_to")), "days")
+    periods = folds.select(*fold_keys, "fold_idx", "train_start", "train_end").withColumn(
+        DAY, F.explode(F.sequence(F.to_date("train_start"), F.to_date("train_end"))))
+    met = days.join(periods, [*fold_keys, DAY]).filter("_to >= train_start AND _from <= train_end")
+    whole = (F.col("_from") >= F.col("train_start")) & (F.col("_to") <= F.col("train_end"))
+    cut = materialize(met.filter(~whole).select(*by, DAY, "fold_idx", "train_start", "train_end"), "cut_days")
+    inside = dated.join(cut, [*by, DAY]).filter(F.col("_ts").between(F.col("train_start"), F.col("train_end")))
+    parts = met.filter(whole).select(*by, "fold_idx", DAY, "n", "mean", "square").union(
+        inside.groupBy(*by, "fold_idx", DAY).agg(*moments).select(*by, "fold_idx", DAY, "n", "mean", "square"))
+    state = F.struct("n", "mean", "square", F.lit(0.0).alias("mean_y"), F.lit(0.0).alias("cross"))
+    none = F.struct(*(F.lit(0.0).alias(k) for k in ("n", "mean", "square", "mean_y", "cross")))
+    listed = F.sort_array(F.collect_list(F.struct(DAY, state.alias("m"))))
+    return parts.groupBy(*by, "fold_idx").agg(listed.alias("_days")).select(
+        *keys, "fold_idx", F.aggregate("_days", none, lambda done, d: merged_moments(done, d["m"])).alias("_m"))

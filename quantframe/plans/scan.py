@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from quantframe.plans.layout import DEFAULT_LAYOUT, Layout, chunk_of
+from quantframe.plans.layout import DEFAULT_LAYOUT, Layout, with_chunk_column
 
 CHUNK = "_chunk"
 ROW_INDEX = "row_index"
@@ -22,7 +22,7 @@ SERIES_ROWS = "series_rows"
 
 
 def with_chunk(df: DataFrame, ts: str, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
-    return df.withColumn(CHUNK, chunk_of(df, ts, layout))
+    return with_chunk_column(df, ts, layout, CHUNK)
 
 
 def in_chunk(keys: Sequence[str], ts: str) -> WindowSpec:

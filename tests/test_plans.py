@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quantframe import Layout, index_rows, keep_last, measure_layout, running_max, running_product, running_sum
 from quantframe.functions.columns import ieee_divide, is_finite, missing_as_null, safe_corr
 from quantframe.plans import average_ranks, join_ranges, ordered_counts, over_rows, previous_row
+from quantframe.plans.rolling import rolling_moments
 from quantframe.plans.skew import join_by_key
 from support import BOTH, PIECES, PLAIN, by_series, dates, frame, panel, series, walk
 
@@ -134,6 +135,78 @@ def test_measured_layout(spark):
     assert measure_layout(df.limit(0)).longest_series == 0
 
 
+def dense_panel(spark):
+    """A second apart for hours, a crowd inside one hour, another inside a second, and a sparse series over all."""
+    rng = np.random.RandomState(3)
+    start = pd.Timestamp("2024-01-01")
+    crowd = start + pd.to_timedelta(np.unique(rng.randint(0, 3_600_000_000, 3000, dtype=np.int64)), unit="us")
+    burst = start + pd.Timedelta(hours=30) + pd.to_timedelta(np.unique(rng.randint(0, 900_000, 2000)), unit="us")
+    named = {"second": pd.date_range(start, periods=9000, freq="s"), "crowd": crowd.append(burst),
+             "sparse": pd.date_range(start, periods=60, freq="h")}
+    rows = pd.concat([pd.DataFrame({"series_id": k, "ts": v.astype("datetime64[us]"), "value": rng.normal(size=len(v))}) for k, v in named.items()])
+    return rows, spark.createDataFrame(rows.sample(frac=1, random_state=1), "series_id string, ts timestamp_ntz, value double").repartition(5)
+
+
+def test_cuts_bound_every_piece_by_rows(spark):
+    from quantframe.plans.layout import micros
+    from quantframe.plans.scan import CHUNK, with_chunk
+
+    rows, df = dense_panel(spark)
+    layout = measure_layout(df, task_rows=500)
+    assert layout.block_rows == 500 and not layout.fits_one_task
+    placed = with_chunk(df, "ts", layout)
+    assert placed.count() == len(rows)
+    sizes = placed.groupBy("series_id", CHUNK).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).toPandas()
+    assert sizes["n"].max() <= 500 and len(sizes) > 40
+    # chunks follow time: no chunk begins before the one with a lower number has ended
+    for _, own in sizes.sort_values(CHUNK).groupby("series_id"):
+        assert (own["a"].iloc[1:].to_numpy() > own["b"].iloc[:-1].to_numpy()).all()
+    assert layout.cuts.table.agg(F.max(F.size("_starts"))).first()[0] < 60
+    outside = spark.sql("select 'x' series_id, timestamp_ntz'2020-01-01' ts, 0d value union all select 'x', timestamp_ntz'2030-01-01', 0d")
+    found = {r["ts"].year: r[CHUNK] for r in with_chunk(outside, "ts", layout).collect()}
+    assert found == {2020: -1, 2030: layout.cuts.last_chunk + 1}
+    assert df.select(micros(F.col("ts")) % 1_000_000).distinct().count() > 1000
+
+
+def test_scans_over_cuts_equal_plain_scans(spark):
+    rows, df = dense_panel(spark)
+    layout = measure_layout(df, task_rows=400)
+    ordered = rows.sort_values(["series_id", "ts"])
+    want = ordered.groupby("series_id")["value"]
+    checks = {"running": (running_sum(df, KEYS, F.col("value"), "running", layout=layout), want.cumsum()),
+              "top": (running_max(df, KEYS, F.col("value"), "top", layout=layout), want.cummax()),
+              "before": (previous_row(df, KEYS, "value", "before", layout=layout), want.shift()),
+              "row_index": (index_rows(df, KEYS, layout=layout), want.cumcount())}
+    for name, (got, expected) in checks.items():
+        found = got.toPandas().sort_values(["series_id", "ts"])
+        np.testing.assert_allclose(found[name].astype(float), expected.astype(float), rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("layout", [PLAIN, PIECES, Layout(block_rows=7)], ids=["plain", "pieces", "tiny"])
+@pytest.mark.parametrize("window, shift", [(1, 0), (2, 1), (5, 0), (20, 1), (60, 0)])
+def test_rolling_moments_equal_pandas(spark, layout, window, shift):
+    rng = np.random.RandomState(window)
+    values = np.r_[rng.normal(1e6, 1e4, 40), np.full(70, 5.0), 5 + rng.normal(0, 1e-3, 40)]
+    values[[3, 50]] = np.nan
+    other = values * 2 + rng.normal(size=len(values))
+    pdf = pd.DataFrame({"series_id": "a", "ts": dates(len(values)), "value": values, "other": other})
+    df = spark.createDataFrame(pdf.sample(frac=1, random_state=2))
+    x, y = (F.when(~F.isnan(c), F.col(c)) for c in ("value", "other"))
+    got = rolling_moments(df, KEYS, "ts", window, x, y, shift, layout).select("ts", "_moments.*").toPandas().sort_values("ts")
+    frame = pdf.set_index("ts")[["value", "other"]].rolling(window, min_periods=1)
+    n = frame["value"].count().shift(shift).fillna(0).to_numpy()
+    assert got["n"].to_numpy() == pytest.approx(n)
+    for i in range(len(pdf)):
+        part = pdf.iloc[max(0, i - shift - window + 1):i - shift + 1].dropna() if i >= shift else pdf.iloc[:0]
+        a, b = part["value"].to_numpy(), part["other"].to_numpy()
+        row = got.iloc[i]
+        assert row["n"] == len(a)
+        if len(a):
+            assert row["mean"] == pytest.approx(a.mean(), rel=1e-12)
+            assert row["square"] == pytest.approx(((a - a.mean()) ** 2).sum(), rel=1e-9, abs=1e-18)
+            assert row["cross"] == pytest.approx(((a - a.mean()) * (b - b.mean())).sum(), rel=1e-7, abs=1e-12)
+
+
 def test_dominant_series_is_cut_into_bounded_pieces(spark):
     """One series holding most rows is spread over many (series, chunk) and (series, block) groups."""
     from quantframe.plans.halo import BLOCK, with_halo

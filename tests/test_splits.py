@@ -120,3 +120,21 @@ def test_training_statistics_never_see_test_rows(spark):
         stats[name] = train.agg(F.avg("value"), F.stddev_samp("value")).first()
     assert stats["calm"] == stats["wild"]
     assert dates(1)[0].to_pydatetime() == dt.datetime(2020, 1, 1)
+
+
+@BOTH
+def test_fold_scores_on_intraday_rows_whose_last_day_is_cut(spark, layout):
+    rng = np.random.RandomState(6)
+    index = pd.date_range("2020-01-01 15:00", periods=6 * 130, freq="4h").astype("datetime64[us]")
+    named = {"a": pd.Series(rng.normal(size=len(index)).cumsum(), index), "b": pd.Series(1e7 + rng.normal(size=len(index)), index)}
+    named["b"].iloc[::17] = np.nan
+    df = panel(spark, named)
+    folds = walk_forward_splits(df, 40, 15, 3, step_days=5)
+    bounds = folds_of(folds)
+    assert len(bounds) > 10 and (bounds["train_end"].dt.hour != 23).any()
+    scored = zscore_by_fold(df, folds, layout=layout).toPandas()
+    for f in bounds.itertuples():
+        for name, s in named.items():
+            inside, test = s[f.train_start: f.train_end], s[f.test_start: f.test_end]
+            got = scored[(scored["fold_idx"] == f.fold_idx) & (scored["series_id"] == name)].sort_values("ts")
+            np.testing.assert_allclose(got["zscore"].astype(float), (test - inside.mean()) / inside.std(), rtol=1e-8, atol=1e-8)
