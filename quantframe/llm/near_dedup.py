@@ -61,7 +61,7 @@ class Settings:
     width: int = 5
     percent: int = 80
     coordinates: int = 48
-    few: int = 16
+    few: int = 5
     seed: int = 11
 
     @property
