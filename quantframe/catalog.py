@@ -10,7 +10,8 @@ import functools
 import io
 import itertools
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from contextvars import ContextVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,13 @@ REFRESH_AS_OF = "2024-01-30 12:07:00"
 PLACES = 6
 
 
+_limit: ContextVar[int] = ContextVar("rows a task may hold", default=Layout.task_rows)
+
+
+def layout_of(panel: DataFrame, keys: Sequence[str] = ("series_id",), ts: str = "ts", **options) -> Layout:
+    return measure_layout(panel, keys, ts, task_rows=_limit.get(), **options)
+
+
 @functools.cache
 def _schema(spark: SparkSession, path: str) -> T.StructType:
     """Read off the file once per session instead of once per use."""
@@ -86,7 +94,7 @@ def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_layout(spark: SparkSession, sf_dir: str) -> Layout:
     """Measured once per query; pairs, folds and horizons of the panel have no longer series."""
-    return measure_layout(order_dates(spark, sf_dir), bar_hours=24)
+    return layout_of(order_dates(spark, sf_dir), bar_hours=24)
 
 
 def returns(spark: SparkSession, sf_dir: str, layout: Layout) -> DataFrame:
@@ -154,7 +162,7 @@ def q_rank_ic_by_date(spark, sf_dir):
     """Cross-section: the groups are months instead of series."""
     pairs_of_day = _factor_pairs(spark, sf_dir, price_layout(spark, sf_dir))
     monthly = pairs_of_day.withColumn("month", F.date_format("ts", "yyyy-MM"))
-    by_month = measure_layout(order_dates(spark, sf_dir).select(F.date_format("ts", "yyyy-MM").alias("month"), "ts"), ["month"])
+    by_month = layout_of(order_dates(spark, sf_dir).select(F.date_format("ts", "yyyy-MM").alias("month"), "ts"), ["month"])
     return rounded(diagnostics.rank_ic(monthly, keys=["month"], layout=by_month), "ic").drop("n_obs")
 
 
@@ -684,8 +692,30 @@ def q_export_global(spark, sf_dir):
     return history.export_global(_endpoint_history(spark, sf_dir)).select("endpoint", "ts", "fear_greed")
 
 
+# the plans for long series -----------------------------------------------------------------------
+
+#: Rows that a task may hold in the entries below, so that every series of the given tables is cut into pieces.
+PIECE_ROWS = 128
+IN_BLOCKS = ("forward_returns", "zscore_rolling", "zscore_expanding", "equity_curves", "max_drawdown", "calmar", "metric_flags",
+             "hedge_ratio", "half_life", "coint_screen", "ic_decay", "quantile_returns", "signal_sweep", "walk_forward_backtest",
+             "spread_trades", "spread_equity")
+
+
+def _in_blocks(query: Query) -> Query:
+    """The same query under a layout measured as if a task could hold only ``PIECE_ROWS`` rows."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = _limit.set(PIECE_ROWS)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _limit.reset(before)
+
+    return run
+
+
 def registered() -> dict[str, Query]:
     named = {name.removeprefix("q_"): function for name, function in globals().items() if name.startswith("q_")}
     snapshots = {s.name for s in SNAPSHOT_SPECS}
     readers = {f"read_payload_{s.name}": _payload_query(s) for s in SPECS.values() if s.name not in snapshots}
-    return {**named, **readers}
+    blocks = {f"{name}_blocks": _in_blocks(named[name]) for name in IN_BLOCKS}
+    return {**named, **readers, **blocks}

@@ -521,4 +521,6 @@ UNION ALL SELECT 'v4_snapshot', 'BTC_oi_exchange', count(*), NULL, NULL FROM e W
        symbol, "interval", ts, value FROM history WHERE "interval" = '1d' AND endpoint IN ('basis', 'fr_oi_weight')"""
     sql["export_global"] = f"""WITH {ENDPOINT_HISTORY} SELECT 'global_fg' AS endpoint, ts, value AS fear_greed
 FROM history WHERE endpoint = 'fear_greed'"""
+    # the plans for long series answer the same statements
+    sql |= {f"{name}_blocks": sql[name] for name in catalog.IN_BLOCKS}
     return sql

@@ -52,8 +52,20 @@ def test_entry(spark):
     assert df.columns == ["series_id", "horizon", "column", "ic", "n_obs"] and df.count() == 15
 
 
-def test_only_the_screen_has_no_sql():
-    assert set(SQL) <= set(QUERIES) and set(QUERIES) - set(SQL) == {"coint_screen"}
+def test_every_query_has_sql():
+    assert set(SQL) == set(QUERIES)
+    assert {f"{name}_blocks" for name in catalog.IN_BLOCKS} <= set(QUERIES)
+
+
+def test_block_entries_cut_every_series(spark):
+    layouts = []
+    with pytest.MonkeyPatch.context() as patch:
+        measured = catalog.measure_layout
+        patch.setattr(catalog, "measure_layout", lambda *a, **k: layouts.append(measured(*a, **k)) or layouts[-1])
+        QUERIES["equity_curves_blocks"](spark, SF_DIR)
+        QUERIES["equity_curves"](spark, SF_DIR)
+    assert [x.fits_one_task for x in layouts] == [False, True]
+    assert layouts[0].cuts is not None and layouts[0].block_rows == catalog.PIECE_ROWS
 
 
 def test_entry_registers_the_whole_catalog():
