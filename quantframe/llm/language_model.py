@@ -209,14 +209,16 @@ def train_shard(keys: np.ndarray, counts: np.ndarray, params: dict[str, np.ndarr
         seen[name][rows] = total
         p[name][rows] += settings.rate * grad / np.sqrt(total)
 
-    for a in range(0, len(drawn), settings.batch):
-        first, second = one[a:a + settings.batch], two[a:a + settings.batch]
+    # a round of many tokens has steps enough in larger batches, whose rows are sorted and added up at once
+    batch = int(np.clip(len(drawn) // 1000, settings.batch, 8 * settings.batch))
+    for a in range(0, len(drawn), batch):
+        first, second = one[a:a + batch], two[a:a + batch]
         r1, r2 = p["context"][first], p["context"][second]
         h = np.ones((len(first), size + 1), dtype=np.float32)
         h[:, :size] = r1 * p["place"][0] + r2 * p["place"][1]
         d_h, steps = 0, []
         for name, at, base, upto in heads:
-            w = at[a:a + settings.batch]
+            w = at[a:a + batch]
             # one draw for the whole batch
             noise = np.minimum(np.searchsorted(upto, rng.random(settings.noise), side="right"), len(upto) - 1)
             q, q_noise = p[name][w], p[name][noise]
@@ -283,9 +285,9 @@ def fit(docs: DataFrame, training: Column | None = None, text: str = "text",
     known = max(settings.words, int(total[2]))
     if known + 2 > MOST_OUTPUTS:
         raise ValueError(f"{known} words occur {settings.least} times; raise least so that fewer than {MOST_OUTPUTS} do")
-    top = counts.orderBy(F.desc("n"), "word").limit(max(settings.local_words, known)).select("word", "n").toPandas()
-    local = dict(zip(map(bytes, top["word"]), map(int, top["n"]), strict=True))
-    words = tuple(list(local)[:known])
+    top = _most_frequent(counts, max(settings.local_words, known))
+    local = dict(top)
+    words = tuple([w for w, _ in top[:known]])
     held = sum(local[w] for w in words)
     # every output keeps some mass, seen or not
     unigram = np.array([n_texts, *(local[w] for w in words), tokens - held]) + 0.5
@@ -305,6 +307,21 @@ def fit(docs: DataFrame, training: Column | None = None, text: str = "text",
     return model, counts
 
 
+def _most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The ``most`` frequent words in order, equal counts by word. How often each count occurs tells which count the
+    last of them has; only words of that count or more reach the driver."""
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toPandas().sort_values("n", ascending=False)
+    upto = sizes["words"].cumsum()
+    enough = sizes["n"][upto >= most]
+    least = int(enough.iloc[0]) if len(enough) else 0
+    # of the words that tie for the last places the first in order are taken, as many as there is room for
+    room = int(most - upto[sizes["n"] > least].max()) if (sizes["n"] > least).any() else most
+    tied = counts.filter(F.col("n") == least).orderBy("word").limit(room) if least else counts.limit(0)
+    found = counts.filter(F.col("n") > least).select("word", "n").union(tied.select("word", "n")).toArrow()
+    pairs = zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True)
+    return sorted(pairs, key=lambda p: (-p[1], p[0]))
+
+
 def _dealt(contexts: DataFrame, shards: int) -> DataFrame:
     """(key, n, shard); a count above ``PART`` is cut in parts and frequent keys are dealt task by task, so that no
     context fills a shard."""
