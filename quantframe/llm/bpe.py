@@ -12,7 +12,9 @@ and broadcast; its size does not depend on the data. Ids equal those of the publ
 tokens added; strings of special tokens inside a text become their ids, as there. Decoding joins the symbols'
 texts by one space, as a model without a decoder does.
 
-Defined cases: NULL text is empty; an empty or blank text has no ids and decodes to the empty string.
+Defined cases: NULL text is empty; an empty or blank text has no ids and decodes to the empty string; repeated
+rows are encoded alike; of pairs with equal rank the leftmost is merged first; an empty table gives no rows; a very long
+text is encoded whole in one task; the kept columns travel in the struct ``row``, where no name can clash.
 """
 
 from __future__ import annotations

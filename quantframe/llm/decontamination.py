@@ -18,7 +18,9 @@ equal; the whole item is such a window if that share of it is in the document.
 Texts are keyed by a 128-bit hash, so copies are judged once and documents need no id.
 
 Defined cases: NULL or empty texts are clean; benchmark items of NULL text or fewer than six words (the weight
-of a seed) match nothing; repeated items are reported by each id; repeated documents are judged alike.
+of a seed) match nothing; repeated items are reported by each id; repeated documents are judged alike. An empty table
+of documents gives no rows, one of items leaves all clean; a very long text is read whole in one task; the documents'
+columns travel in the struct ``row``, where no name can clash.
 """
 
 from __future__ import annotations

@@ -12,8 +12,8 @@ BLOCK_TAGS = frozenset(
     "figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section "
     "select summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is no text of the page.
-SKIPPED_TAGS = frozenset("script style noscript template textarea svg iframe title object canvas math".split())
+#: Their content is code, form input or no part of the page. Text in others, such as ``noscript`` or ``object``, is for the field to judge.
+SKIPPED_TAGS = frozenset("script style textarea svg iframe title".split())
 #: An open element of the value ends where the key starts.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
         "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}

@@ -21,7 +21,8 @@ words, at least those of the vocabulary, are broadcast; those of other words mee
 word's hash, summed per text.
 
 Defined cases: NULL text is empty and is one end token; without training texts every count is zero; repeated
-rows are scored alike.
+rows are scored alike; an empty table gives no rows; a very long text is one batch in one task; words of equal count
+are ranked by their bytes; the kept columns travel in the struct ``row``, where no name can clash.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ parts of the sample and their weights averaged, so no task or driver holds more
 vectors or shards * 2**bits weights.
 
 Defined cases: NULL text counts as empty; an empty text gets the score of the bias alone; rows without a label
-or with a NULL label do not train; without any training rows all weights are zero and every score is 0.5.
+or with a NULL label do not train; without any training rows all weights are zero and every score is 0.5. An empty
+table gives no rows; a very long text is one sparse vector in one task; rows of one id are drawn together; of the
+input only the kept columns travel, in the struct ``row``, where no name can clash.
 """
 
 from __future__ import annotations

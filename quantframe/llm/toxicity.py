@@ -19,7 +19,9 @@ cluster and only nodes found in ``min_docs`` texts or more and pointing at toxic
 max_rows * words / min_docs of them. Scoring covers every row and every token.
 
 Defined cases: NULL text counts as empty; a text without tokens has no segment; without toxic training rows
-the table is empty and all texts get one same score below 0.5; repeated rows are scored one by one.
+the table is empty and all texts get one same score below 0.5; repeated rows are scored one by one. An empty table
+gives no rows; a very long text is scanned once, in time linear in its tokens; of segments with equal scores the first
+counts; the kept columns travel in the struct ``row``, where no name can clash.
 """
 
 from __future__ import annotations

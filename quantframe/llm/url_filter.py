@@ -5,13 +5,15 @@ A list is kept as dated entries (list, kind, pattern, action, time): ``add`` put
 judged by the intervals that hold at its fetch time. Kinds: ``host`` (the host or any host below it), ``prefix``
 (the start of host and path, cut at slashes). A list blocks or allows; an allowing list wins.
 
-Each capture has a bounded number of keys, one per host suffix and path prefix. Intervals of one pattern are one
-row (an array), so a join never multiplies captures by changes; a key of very many captures is split by
-adaptive execution. Only keys are joined: the captures' other columns meet the verdicts once, by a row key.
-
-Defined cases: a NULL or unreadable URL and a NULL time match nothing and pass; repeated captures are judged one
-by one; changes of one pattern at one time are applied removal first; unknown actions and kinds are ignored;
-empty lists let everything pass.
+Each distinct capture has a bounded number of keys, one per host suffix and path prefix. Keys are joined with the
+intervals of their pattern; those of one list and pattern do not overlap, so each gives a capture one row at most, and
+no pattern is gathered. A key of very many captures is split by adaptive execution. Only keys, URLs and times are
+joined: verdicts meet the captures once, by URL and time.
+
+Defined cases: a NULL or unreadable URL and a NULL time match nothing and pass; every capture has its own row, also
+where keys are NULL or repeat with other URLs or times; changes of one pattern at one time are applied removal first;
+unknown actions and kinds are ignored; empty lists let everything pass, an empty table gives no rows; a very long URL
+has a key per label and path part; a key column named as a result keeps its name.
 """
 
 from __future__ import annotations
@@ -57,26 +59,23 @@ def intervals(entries: DataFrame) -> DataFrame:
     return ends.select("list", "kind", "pattern", F.col("ts").alias("valid_from"), "valid_to")
 
 
-def match(captures: DataFrame, entries: DataFrame, key: str, url: str = "url", ts: str = "fetched_at") -> DataFrame:
-    """(key, lists) for captures that some list holds at their fetch time; ``lists`` is sorted."""
-    spans = intervals(entries).groupBy("kind", F.col("pattern").alias("key")).agg(
-        F.collect_list(F.struct("list", "valid_from", "valid_to")).alias("spans"))
-    asked = captures.select(F.col(key).alias("_id"), F.col(ts).alias("_ts"), F.inline(keys_of(F.col(url))))
-    held = asked.join(spans, ["kind", "key"]).select("_id", F.transform(
-        F.filter("spans", lambda s: (s["valid_from"] <= F.col("_ts")) & (
-            s["valid_to"].isNull() | (F.col("_ts") < s["valid_to"]))), lambda s: s["list"]).alias("lists"))
-    found = held.filter(F.size("lists") > 0).groupBy("_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("lists")))).alias("lists"))
-    return found.withColumnRenamed("_id", key)
+def match(captures: DataFrame, entries: DataFrame, url: str = "url", ts: str = "fetched_at") -> DataFrame:
+    """(_url, _ts, _lists) for the distinct captures that some list holds at their fetch time; ``_lists`` is sorted."""
+    spans = intervals(entries).select(F.col("kind").alias("_kind"), F.col("pattern").alias("_key"), F.col("list").alias("_list"),
+                                      F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"))
+    asked = captures.select(F.col(f"`{url}`").alias("_url"), F.col(f"`{ts}`").alias("_ts")).distinct()
+    keyed = asked.select("_url", "_ts", F.inline(keys_of(F.col("_url")))).withColumnsRenamed({"kind": "_kind", "key": "_key"})
+    held = (F.col("_from") <= F.col("_ts")) & (F.col("_to").isNull() | (F.col("_ts") < F.col("_to")))
+    return keyed.join(spans, ["_kind", "_key"]).filter(held).groupBy("_url", "_ts").agg(
+        F.array_sort(F.collect_set("_list")).alias("_lists"))
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, key: str, allowing: tuple[str, ...] = (), url: str = "url",
                 ts: str = "fetched_at") -> DataFrame:
-    """(key, lists, blocked) for each distinct non-NULL key of the captures."""
-    found = match(captures, entries, key, url, ts)
-    allowed = F.arrays_overlap("lists", F.lit(list(allowing)) if allowing else F.array().cast("array<string>"))
-    every = captures.select(key).filter(F.col(key).isNotNull()).distinct()
-    return every.join(found, key, "left").select(
-        key, F.coalesce("lists", F.array().cast("array<string>")).alias("lists"),
-        (F.coalesce(F.size("lists"), F.lit(0)) > 0).alias("_any"), F.coalesce(allowed, F.lit(False)).alias("_ok")).select(
-        key, "lists", (F.col("_any") & ~F.col("_ok")).alias("blocked"))
+    """(key, lists, blocked) for each capture, whatever its key. A result whose name is that of the key gets a ``_``."""
+    rows = captures.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{url}`").alias("_url"), F.col(f"`{ts}`").alias("_ts"))
+    lists = F.coalesce("_lists", F.array().cast("array<string>"))
+    allowed = F.arrays_overlap(lists, F.lit(list(allowing))) if allowing else F.lit(False)
+    lists_name, blocked_name = (n + "_" * (n == key) for n in ("lists", "blocked"))
+    return rows.join(match(captures, entries, url, ts), ["_url", "_ts"], "left").select(
+        F.col("_id").alias(key), lists.alias(lists_name), ((F.size(lists) > 0) & ~allowed).alias(blocked_name))

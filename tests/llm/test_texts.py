@@ -296,6 +296,25 @@ def test_url_lists_over_time(spark):
     assert url_filter.filter_urls(captures.limit(0), entries, "id").count() == 0
 
 
+def test_every_capture_has_its_own_verdict(spark):
+    entries = spark.sql("SELECT * FROM VALUES ('l','host','bad.com','add',1) AS t(list,kind,pattern,action,ts)")
+    captures = spark.createDataFrame([(1, "http://bad.com/x", 2), (1, "http://good.com/", 2), (None, "http://bad.com/y", 2),
+                                      (1, "http://bad.com/x", 0), (2, None, 2), (3, "http://bad.com/" + "a/" * 3000, 9)],
+                                     "lists bigint, url string, fetched_at int")
+    rows = url_filter.filter_urls(captures, entries, "lists").collect()
+    assert sorted((str(r["lists"]), r["blocked"]) for r in rows) == [
+        ("1", False), ("1", False), ("1", True), ("2", False), ("3", True), ("None", True)]
+    assert sorted(len(r["lists_"]) for r in rows) == [0, 0, 0, 1, 1, 1]
+
+
+def test_text_in_unusual_elements_is_a_block():
+    page = ("<article><p>Start.</p><noscript><p>kept text here.</p></noscript><object>prose &amp; more</object>"
+            "<div><canvas>drawn <p>after all</p></div></article><script>no</script><p>End" + " long" * 50_000 + "</p>")
+    texts = [b.text for b in html_blocks.parse(page)]
+    assert texts[:4] == ["Start.", "kept text here.", "prose & more", "drawn"] and texts[4] == "after all"
+    assert "no" not in texts and texts[-1].startswith("End long") and len(texts[-1]) == 3 + 5 * 50_000
+
+
 # --- overlaps
 
 def test_every_two_substitutions_in_thirteen_words_hit():
