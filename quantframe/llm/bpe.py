@@ -245,8 +245,6 @@ class TextEncoder:
         return cut
 
 
-#: Ids decoded at a time.
-DECODED = 1 << 20
 _ENCODERS: dict[tuple, TextEncoder] = {}
 
 
@@ -277,22 +275,24 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: li
     return map_texts(docs, text, make, [field("ids", "array<int>")], keep=keep, limit=1 << 20)
 
 
-def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """The input with the text of each row's ids; NULL ids give NULL. Ids are looked up and joined a batch at a time."""
+def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded", block: int = 1 << 20) -> DataFrame:
+    """The input with the text of each row's ids; NULL ids give NULL. About ``block`` ids are looked up and joined at a time."""
     size = max(vocabulary.texts, default=-1) + 1
     shared = encoded.sparkSession.sparkContext.broadcast([vocabulary.texts.get(i, "") for i in range(size)])
 
     @F.arrow_udf("string")
     def text_of(column: pa.Array) -> pa.Array:
         texts, done, start = pa.array(shared.value), [], 0
-        lengths = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy())
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy().astype(np.int64)
+        upto = np.append(0, np.cumsum(sizes))
         while start < len(column):
-            # rows of about DECODED ids at a time, or one longer row
-            before = lengths[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(lengths, before + DECODED, side="right")))
+            # rows of about ``block`` ids at a time, or one longer row
+            end = max(start + 1, int(np.searchsorted(upto, upto[start] + block, side="right")) - 1)
             part = column.slice(start, end - start)
-            words = pa.ListArray.from_arrays(part.offsets, texts.take(part.values), mask=part.is_null())
-            done.append(pa.compute.binary_join(words, " "))
+            offsets = pa.array((upto[start:end + 1] - upto[start]).astype(np.int32))
+            words = pa.ListArray.from_arrays(offsets, texts.take(part.flatten()))
+            joined = pa.compute.binary_join(words, " ")
+            done.append(pa.compute.if_else(part.is_valid(), joined, pa.scalar(None, pa.string())))
             start = end
         return pa.concat_arrays(done) if done else pa.array([], pa.string())
 

@@ -208,6 +208,12 @@ def test_bpe_digests_and_decoding(spark, awkward, nothing, vocabulary):
     decoded = bpe.decode(bpe.encode(awkward, vocabulary).select("row.doc_id", "row.text", "ids"), vocabulary)
     assert all(r["decoded"] == library.decode(r["ids"], skip_special_tokens=False) for r in decoded.collect())
     assert bpe.digests(nothing, vocabulary).count() == 0
+    rows = [(1, [5, 6]), (2, None), (3, []), (4, list(range(300, 340))), (5, [7]), (6, None), (7, [8, 9, 10])] * 9
+    ids = spark.createDataFrame(rows, "k int, ids array<int>").coalesce(1)
+    for block in (1, 3, 50, 1 << 20):
+        got = bpe.decode(ids, vocabulary, block=block).collect()
+        assert len(got) == len(rows)
+        assert all(r["decoded"] == (None if r["ids"] is None else library.decode(r["ids"], skip_special_tokens=False)) for r in got)
 
 
 def test_packed_ids_round_trip():
