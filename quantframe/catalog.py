@@ -25,8 +25,9 @@ from quantframe.operators import spread_backtest as spread_bt
 from quantframe.plans import Layout, keep_last, measure_layout, running_max, running_product, running_sum
 from quantframe.session import materialize, scratch_path, ship_package
 from quantframe.sources import coverage, history, klines, payloads, refresh, universe
+from quantframe.sources.upsert_log import UpsertLog
 from quantframe.sources.specs import SNAPSHOT_SPECS, SPECS, spec_for
-from quantframe.streaming import run_available, snapshot_batches, upsert_batches
+from quantframe.streaming import log_batches, run_available, snapshot_batches, upsert_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -604,6 +605,26 @@ def q_stream_upsert(spark, sf_dir):
     return history.load_history(spark, path).select("symbol", "ts", "buy")
 
 
+def q_stream_upsert_log(spark, sf_dir):
+    """Events that land in five files, one micro-batch each, merged into a log; the last batch is handed in twice."""
+    events = table(spark, sf_dir, "events")
+    landed, path, checkpoint = (scratch_path(spark, n) for n in ("landed", "log", "log-checkpoint"))
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    key = ["symbol", "ts"]
+    sink = log_batches(path, key, ["event_id"], fetched_at=_stamp(_FETCHED[0]))
+    bounds = events.agg(F.min("event_id"), F.max("event_id")).first()
+    step = (bounds[1] - bounds[0]) // 5 + 1
+    for k in range(5):
+        part = events.filter(F.floor((F.col("event_id") - bounds[0]) / step) == k)
+        part.write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(events.schema).parquet(landed)
+        records = stream.select(F.col("event_type").alias("symbol"), hour.alias("ts"), "event_id", F.col("value").alias("buy"))
+        run_available(records, sink, checkpoint)
+    again = part.select(F.col("event_type").alias("symbol"), hour.alias("ts"), "event_id", (F.col("value") + 1).alias("buy"))
+    sink(again, 4)
+    return UpsertLog(spark, path, key).read().select("symbol", "ts", "buy")
+
+
 def _append_snapshots(spark, sf_dir) -> str:
     path = scratch_path(spark, "snapshots")
     totals = table(spark, sf_dir, "events").groupBy("event_type").agg(

@@ -493,6 +493,7 @@ SELECT 'v4' AS api_version, '1h' AS "interval", 'taker_pair' AS endpoint, symbol
        CASE WHEN late THEN TIMESTAMP '2024-02-02' ELSE TIMESTAMP '2024-02-01' END AS fetched_at FROM marked"""
     sql["stream_upsert"] = """SELECT event_type AS symbol, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, max_by(value, event_id) AS buy
 FROM events GROUP BY 1, 2"""
+    sql["stream_upsert_log"] = sql["stream_upsert"]
     sql["snapshot_append"] = """SELECT event_type, count(*) AS n, CAST(NULL AS DOUBLE) AS top, 'oi_exchange' AS endpoint,
        TIMESTAMP '2024-02-01' AS fetched_at FROM events GROUP BY 1
 UNION ALL SELECT event_type, count(*), max(value), 'oi_exchange', TIMESTAMP '2024-02-02' FROM events GROUP BY 1"""

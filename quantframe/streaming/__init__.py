@@ -1,3 +1,3 @@
-from quantframe.streaming.sinks import run_available, snapshot_batches, upsert_batches
+from quantframe.streaming.sinks import log_batches, run_available, snapshot_batches, upsert_batches
 
-__all__ = ["run_available", "snapshot_batches", "upsert_batches"]
+__all__ = ["log_batches", "run_available", "snapshot_batches", "upsert_batches"]
