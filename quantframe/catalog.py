@@ -26,7 +26,7 @@ from quantframe.plans import Layout, keep_last, measure_layout, running_max, run
 from quantframe.session import materialize, scratch_path, ship_package
 from quantframe.sources import coverage, history, klines, payloads, refresh, universe
 from quantframe.sources.upsert_log import UpsertLog
-from quantframe.sources.specs import SNAPSHOT_SPECS, SPECS, spec_for
+from quantframe.sources.specs import BAR_FIELDS, SNAPSHOT_SPECS, SPECS, spec_for
 from quantframe.streaming import log_batches, run_available, snapshot_batches, upsert_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -558,6 +558,48 @@ def q_read_kline_zips(spark, sf_dir):
     return _bars_out(klines.bars_from_zips(archives))
 
 
+def q_read_kline_archives(spark, sf_dir):
+    """Archives of a symbol's day on disk, a member per half day, the second with a header too."""
+    def pack(day: pd.DataFrame) -> pd.DataFrame:
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+            for late, part in day.groupby("late"):
+                archive.writestr(f"half{int(late)}.csv", "open_time,o,h,l,c,v\n" + "\n".join(part["line"]))
+        return pd.DataFrame({"name": [f"{day['symbol'].iloc[0].upper()}USDT-15m-{day['day'].iloc[0]}.zip"], "content": [buffer.getvalue()]})
+
+    ship_package(spark)
+    lines = candles(spark, sf_dir).select("symbol", F.to_date("ts").cast("string").alias("day"), (F.hour("ts") >= 12).alias("late"),
+                                          F.concat_ws(",", *_kline_fields()).alias("line"))
+    archives = lines.groupBy("symbol", "day").applyInPandas(pack, "name string, content binary")
+    path = scratch_path(spark, "archives")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    # landing is the one step that is no table: a file at a time passes the driver
+    for row in archives.toLocalIterator():
+        out = files.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{row['name']}"))
+        out.write(bytearray(row["content"]))
+        out.close()
+    return _bars_out(klines.read_kline_zips(spark, path, every_member=True))
+
+
+def q_import_history_csv(spark, sf_dir):
+    """Hourly bars kept as CSV with a header, read back with a schema."""
+    path = scratch_path(spark, "history-csv")
+    hourly = candles(spark, sf_dir, 60).select("symbol", "ts", *BAR_FIELDS)
+    hourly.write.option("header", "true").csv(path)
+    return history.import_history_csv(spark, path, hourly.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
+
+
+def q_corrupt_documents(spark, sf_dir):
+    """Documents of all events, some cut short, some refused, some without data."""
+    event = F.col("event_id")
+    whole = F.to_json(F.struct(F.lit("0").alias("code"), F.array(F.struct("value")).alias("data")))
+    text = (F.when(event % 7 == 0, F.substring(whole, 1, 9)).when(event % 11 == 0, F.lit('{"code":"40001","msg":"no"}'))
+            .when(event % 13 == 0, F.lit('{"code":"0"}')).otherwise(whole))
+    raw = table(spark, sf_dir, "events").select("event_id", text.alias("value"))
+    return payloads.corrupt_documents(raw).select("event_id", "value")
+
+
 # history -----------------------------------------------------------------------------------------
 
 _META = {"api_version": "v4", "interval": "1h", "endpoint": "taker_pair"}

@@ -487,6 +487,11 @@ WHERE symbol IN ('click', 'view', 'purchase') GROUP BY 1"""
     sql["read_kline_pages"] = sql["read_kline_csv"] = every_bar
     sql["read_kline_zips"] = every_bar.replace("SELECT symbol, ts, o, h", "SELECT upper(symbol) AS symbol, ts, o, h")
 
+    sql["read_kline_archives"] = sql["read_kline_zips"]
+    sql["import_history_csv"] = f"WITH {HOURLY} SELECT symbol, ts, o, h, l, c, v FROM hourly"
+    sql["corrupt_documents"] = """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '{"code":"' WHEN event_id % 11 = 0
+       THEN '{"code":"40001","msg":"no"}' ELSE '{"code":"0"}' END AS value FROM events
+WHERE event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0"""
     sql["history_upsert"] = f"""WITH {HOURLY}, marked AS (SELECT *, ts >= TIMESTAMP '{catalog.TAIL_FROM}' AS late FROM hourly)
 SELECT 'v4' AS api_version, '1h' AS "interval", 'taker_pair' AS endpoint, symbol, ts, CASE WHEN late THEN h ELSE o END AS buy,
        CASE WHEN late THEN l ELSE c END AS sell, CASE WHEN late THEN v END AS trades,

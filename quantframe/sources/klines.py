@@ -15,7 +15,7 @@ from quantframe.plans.latest import keep_last
 from quantframe.session import ship_package
 from quantframe.sources.specs import BAR_FIELDS, KLINE_FIELDS
 
-LINES_PER_BATCH = 50_000
+BLOCK_BYTES = 1 << 20
 BAR_MINUTES = 15
 SYMBOL_IN_FILE_NAME = r"([A-Z0-9]+)USDT-"
 
@@ -35,46 +35,50 @@ def bars_from_fields(rows: DataFrame, fields: Column, kept: Sequence[str]) -> Da
     return rows.select(*kept, _millis(F.get(fields, 0)).alias("ts"), *values).filter(F.col("ts").isNotNull())
 
 
-def _unzip_lines(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-    """Lines of the first member of each archive, streamed in batches."""
+def _unzip_blocks(batches: Iterable[pd.DataFrame], every: bool) -> Iterable[pd.DataFrame]:
+    """Text of the members of each archive in blocks of whole lines, streamed. A line longer than a block stays whole."""
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                lines: list[str] = []
-                done = 0
-                with archive.open(archive.namelist()[0]) as member:
-                    for raw in member:
-                        lines.append(raw.decode("utf-8", "replace").rstrip("\r\n"))
-                        if len(lines) == LINES_PER_BATCH:
-                            yield _line_frame(path, done, lines)
-                            done += len(lines)
-                            lines = []
-                if lines:
-                    yield _line_frame(path, done, lines)
+                files = [m for m in archive.infolist() if not m.is_dir()]
+                for number, member in enumerate(files if every else files[:1]):
+                    with archive.open(member) as stream:
+                        block_no, rest = 0, b""
+                        while data := stream.read(BLOCK_BYTES):
+                            whole, newline, rest = (rest + data).rpartition(b"\n")
+                            if newline:
+                                yield _block_frame(path, number, block_no, whole)
+                                block_no += 1
+                        if rest:
+                            yield _block_frame(path, number, block_no, rest)
 
 
-def _line_frame(path: str, first: int, lines: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({"path": path, "line_no": range(first, first + len(lines)), "line": lines})
+def _block_frame(path: str, member: int, block: int, text: bytes) -> pd.DataFrame:
+    return pd.DataFrame({"path": [path], "member": [member], "block": [block], "text": [text.decode("utf-8", "replace")]})
 
 
-def read_kline_zips(spark: SparkSession, path: str, symbol_pattern: str = SYMBOL_IN_FILE_NAME) -> DataFrame:
+def read_kline_zips(spark: SparkSession, path: str, symbol_pattern: str = SYMBOL_IN_FILE_NAME,
+                    every_member: bool = False) -> DataFrame:
     """Bars of all zip archives under ``path``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    return bars_from_zips(files, symbol_pattern)
+    return bars_from_zips(files, symbol_pattern, every_member)
 
 
-def bars_from_zips(files: DataFrame, symbol_pattern: str = SYMBOL_IN_FILE_NAME) -> DataFrame:
+def bars_from_zips(files: DataFrame, symbol_pattern: str = SYMBOL_IN_FILE_NAME, every_member: bool = False) -> DataFrame:
     """Bars of zipped candlestick CSV files (``path``, ``content``), last line per (symbol, ts).
 
-    Spark has no zip codec, so archives are opened in Arrow batches and everything after that is
-    columns. One archive is one input row; monthly archives are far under the 2 GB a row may hold.
+    The first member of an archive is read, as its files are published, or every one in the archive's order. Spark has no
+    zip codec, so Python opens the archives and passes blocks of about a megabyte on; lines are cut and read in columns. One
+    archive is one input row; monthly archives are far under the 2 GB a row may hold.
     """
     ship_package(files.sparkSession)
-    lines = files.select("path", "content").mapInPandas(_unzip_lines, "path string, line_no long, line string")
+    blocks = files.select("path", "content").mapInPandas(
+        lambda batches: _unzip_blocks(batches, every_member), "path string, member int, block int, text string")
+    order = ["path", "member", "block", "line_no"]
+    lines = blocks.select("path", "member", "block", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
     symbol = F.regexp_extract(F.element_at(F.split("path", "/"), -1), symbol_pattern, 1)
-    named = lines.withColumn("symbol", symbol)
-    bars = bars_from_fields(named, F.split("line", ","), ["symbol", "path", "line_no"])
-    return keep_last(bars, ["symbol", "ts"], ["path", "line_no"]).select("symbol", "ts", *BAR_FIELDS)
+    bars = bars_from_fields(lines.withColumn("symbol", symbol), F.split("line", ","), ["symbol", *order])
+    return keep_last(bars, ["symbol", "ts"], order).select("symbol", "ts", *BAR_FIELDS)
 
 
 def read_kline_csv(spark: SparkSession, path: str, kept: Sequence[str] = ("symbol",)) -> DataFrame:

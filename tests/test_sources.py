@@ -176,15 +176,31 @@ def test_zipped_candles(spark, tmp_path):
     assert [(r["symbol"], r["o"], r["v"]) for r in got] == [("BTC", 3.0, 3.0), ("BTC", None, 11.0)]
 
 
-def test_long_archives_are_streamed_in_batches(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(klines, "LINES_PER_BATCH", 7)
+def test_every_member_of_an_archive(spark, tmp_path):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("part/", "")
+        z.writestr("part/a.csv", "open_time,o\r\n" + line(T0 * 1000, 1, 1, 1, 1, 1) + "\r\n" + line(T0 * 1000 + 900_000, 2, 2, 2, 2, 2))
+        z.writestr("empty.csv", "")
+        z.writestr("b.csv", line(T0 * 1000, 5, 5, 5, 5, 5) + "\n")
+    (tmp_path / "BTCUSDT-15m-2023-11.zip").write_bytes(buffer.getvalue())
+    both = klines.read_kline_zips(spark, str(tmp_path), every_member=True).orderBy("ts").collect()
+    assert [r["o"] for r in both] == [5.0, 2.0]
+    first = klines.read_kline_zips(spark, str(tmp_path)).orderBy("ts").collect()
+    assert [r["o"] for r in first] == [1.0, 2.0]
+
+
+def test_long_archives_are_streamed_in_blocks_of_whole_lines(monkeypatch):
     import pandas as pd
+    monkeypatch.setattr(klines, "BLOCK_BYTES", 64)
+    lines = [line(i, 1, 1, 1, 1, i) for i in range(20)] + ["x" * 300, line(20, 1, 1, 1, 1, 1)]
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
-        z.writestr("a.csv", "\n".join(line(i, 1, 1, 1, 1, i) for i in range(20)))
-    frames = list(klines._unzip_lines([pd.DataFrame({"path": ["p"], "content": [buffer.getvalue()]})]))
-    assert [len(f) for f in frames] == [7, 7, 6]
-    assert [n for f in frames for n in f["line_no"]] == list(range(20))
+        z.writestr("a.csv", "\n".join(lines))
+    frames = list(klines._unzip_blocks([pd.DataFrame({"path": ["p"], "content": [buffer.getvalue()]})], False))
+    assert [f["block"].iloc[0] for f in frames] == list(range(len(frames))) and len(frames) > 8
+    texts = [f["text"].iloc[0] for f in frames]
+    assert "\n".join(texts) == "\n".join(lines) and max(map(len, texts)) < 400
 
 
 def test_csv_candles(spark, tmp_path):
