@@ -586,3 +586,27 @@ def test_pipeline_stages(spark):
 def test_queries_give_a_row_per_row(spark, name):
     table = "pages" if "html" in name else "documents"
     assert queries.registered()[name](spark, SF_DIR).count() == spark.read.parquet(f"{SF_DIR}/{table}.parquet").count()
+
+
+@needs_data
+def test_pipeline_on_awkward_and_empty_tables(spark, awkward, nothing):
+    good = prose(120, 90, 3000)
+    more = [(20, good, "en", "s", 1, "a", 1.0, "x", 1), (21, good + " tail", "en", "s", 1, "a", 1.0, "x", 1), (20, prose(120, 91, 3000), "en", "s", 1, "a", 1.0, "x", 1),
+            (None, prose(120, 92, 3000), None, None, None, None, None, None, None)]
+    docs = awkward.union(spark.createDataFrame(more, SCHEMA))
+    for table, some in ((docs, True), (nothing, False)):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, kept, SF_DIR)
+            assert out.columns == table.columns, name
+            rows = out.collect()
+            assert set(map(tuple, rows)) <= set(map(tuple, kept.collect())), name
+            kept = spark.createDataFrame(rows, table.schema)
+        done = corpus_pipeline.STAGES[-1][1](spark, kept, SF_DIR).collect()
+        assert len(done) == kept.count() and bool(done) is some
+        left = sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect())
+        if some:
+            # both texts of id 20 stay, of the near copies one; LONG has no copy
+            assert [t for i, t in left if i == 20] == sorted([good, more[2][1]]) and not any(i == 21 for i, _ in left)
+            assert any(t == LONG for _, t in left) and any(t == more[3][1] for _, t in left)
+            assert all(r["n_tokens"] == len(r["ids"]) for r in done)
