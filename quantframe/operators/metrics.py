@@ -88,14 +88,14 @@ def profit_factor(returns: DataFrame, keys: Sequence[str] = SERIES, value: str =
 def metric_flags(returns: DataFrame, keys: Sequence[str] = SERIES, ts: str = "ts",
                  value: str = "value", layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     """Sample size and lag-1 autocorrelation, the two signs that a Sharpe ratio is not to be trusted."""
-    valid = returns.filter(is_finite(F.col(value))).select(*keys, ts, F.col(value).cast("double").alias("_r"))
-    lagged = previous_row(valid, keys, "_r", "_before", ts, layout)
-    both = F.col("_before").isNotNull()
-    found = lagged.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
+    valid = returns.select(*keys, ts, finite_or_null(F.col(value)).alias("_r"))
+    lagged = previous_row(valid, keys, "_r", "_before", ts, layout, skip_missing=True)
+    both = F.col("_r").isNotNull() & F.col("_before").isNotNull()
+    # rows without a value keep their series in the result and count in no sum
+    groups = lagged.groupBy(*keys).agg(
+        F.count("_r").alias("_n"),
         safe_corr(F.when(both, F.col("_before")), F.when(both, F.col("_r"))).alias("_corr"))
-    groups = returns.select(*keys).distinct().join(found, list(keys), "left")
-    n = F.coalesce(F.col("_n"), F.lit(0))
+    n = F.col("_n")
     correlation = F.when(n >= MIN_ROWS, F.col("_corr"))
     return groups.select(
         *keys, n.alias("n_obs"), (n < MIN_ROWS).alias("small_sample_warning"),
@@ -104,24 +104,28 @@ def metric_flags(returns: DataFrame, keys: Sequence[str] = SERIES, ts: str = "ts
 
 
 def _drawdown_table(rows: DataFrame, keys: Sequence[str], ts: str, level: Column,
-                    compounded: bool, layout: Layout) -> DataFrame:
+                    compounded: bool, layout: Layout, skip_missing: bool = False) -> DataFrame:
     """One row per chunk: the depth reached inside it and what later chunks need to know.
 
     ``level`` is an equity curve, or a growth factor per row when ``compounded``. Depth is relative,
     so a compounded curve may start each chunk from 1 and be scaled by the product of earlier chunks
-    afterwards; only chunk rows take part in that second step.
+    afterwards; only chunk rows take part in that second step. With ``skip_missing`` rows without a level change
+    nothing, but keep their series in the table.
     """
+    def counted(column: Column) -> Column:
+        return F.when(F.col("_level").isNotNull(), column) if skip_missing else column
+
     running = running_in_chunk(keys, ts)
     curve = with_chunk(rows.withColumn("_level", level), ts, layout)
     path = F.product("_level").over(running) if compounded else F.col("_level")
     curve = curve.withColumn("_path", path).withColumn("_peak", F.max("_path").over(running))
     depth = F.try_divide(F.col("_path") - F.col("_peak"), F.col("_peak"))
     chunks = curve.groupBy(*keys, CHUNK).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(depth).alias("_depth"),
+        F.count(counted(F.lit(1))).alias("_n"), F.min(depth).alias("_depth"),
         F.max("_path").alias("_high"), F.min("_path").alias("_low"),
         F.product("_level").alias("_growth"),
-        F.max(F.coalesce(~is_finite(F.col("_path")), F.lit(True))).alias("_not_finite"),
-        F.max(F.coalesce(F.col("_level") <= 0, F.lit(True))).alias("_not_positive"))
+        F.max(counted(F.coalesce(~is_finite(F.col("_path")), F.lit(True)))).alias("_not_finite"),
+        F.max(counted(F.coalesce(F.col("_level") <= 0, F.lit(True)))).alias("_not_positive"))
     earlier = earlier_chunks(keys)
     scale = F.coalesce(F.product("_growth").over(earlier), F.lit(1.0)) if compounded else F.lit(1.0)
     scaled = chunks.withColumn("_scale", scale).withColumn("_top", F.col("_scale") * F.col("_high"))
@@ -129,10 +133,11 @@ def _drawdown_table(rows: DataFrame, keys: Sequence[str], ts: str, level: Column
     bottom = F.col("_scale") * F.col("_low")
     from_before = F.try_divide(bottom - before, before)
     # what matters is the whole curve: it may overflow or vanish where no chunk of it does
+    any_rows = F.col("_n") > 0
     return scaled.withColumns({
         "_depth": F.least(F.col("_depth"), from_before),
-        "_not_finite": F.col("_not_finite") | ~is_finite(F.col("_top")) | ~is_finite(bottom),
-        "_not_positive": F.col("_not_positive") | (bottom <= 0)})
+        "_not_finite": any_rows & (F.col("_not_finite") | ~is_finite(F.col("_top")) | ~is_finite(bottom)),
+        "_not_positive": any_rows & (F.col("_not_positive") | (bottom <= 0))})
 
 
 def _drawdown_columns() -> list[Column]:
@@ -174,9 +179,11 @@ def calmar(returns: DataFrame, holding_days: int = 1, trading_days_per_year: int
            keys: Sequence[str] = SERIES, ts: str = "ts", value: str = "value", strict: bool = False,
            layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     """Compound annual growth over the absolute drawdown of the same curve."""
-    curve = compounded_drawdown(returns, keys, ts, value, layout)
-    groups = returns.select(*keys).distinct().join(curve, list(keys), "left")
-    n = F.coalesce(F.col("n_obs"), F.lit(0))
+    level = finite_or_null(F.col(value)) + 1.0
+    table = _drawdown_table(returns.select(*keys, ts, value), keys, ts, level, True, layout, skip_missing=True)
+    groups = table.groupBy(*keys).agg(*_drawdown_columns(), F.product("_growth").alias("growth"))
+    n = F.col("n_obs")
+    groups = groups.withColumn("max_drawdown", F.when(n > 0, F.col("max_drawdown")))
     yearly = trading_days_per_year / holding_days
     annual = F.pow(F.col("growth"), F.try_divide(F.lit(yearly), n)) - 1
     ratio = F.when((n >= 2) & (F.col("max_drawdown") < 0), F.try_divide(annual, F.abs("max_drawdown")))

@@ -60,13 +60,12 @@ def half_life(spread: DataFrame, keys: Sequence[str] = SERIES, ts: str = "ts", v
 
     Infinite under 20 present rows, for a constant series, or when the slope is not negative.
     """
-    present = spread.select(*keys, ts, missing_as_null(F.col(value)).alias("_s")).dropna(subset=["_s"])
-    lagged = previous_row(present, keys, "_s", "_before", ts, layout)
-    fitted = lagged.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.regr_slope(F.col("_s") - F.col("_before"), F.col("_before")).alias("_slope"))
-    groups = spread.select(*keys).distinct().join(fitted, list(keys), "left")
-    n = F.coalesce(F.col("_n"), F.lit(0))
+    present = spread.select(*keys, ts, missing_as_null(F.col(value)).alias("_s"))
+    lagged = previous_row(present, keys, "_s", "_before", ts, layout, skip_missing=True)
+    # rows without a value keep their series in the result and count in no sum
+    groups = lagged.groupBy(*keys).agg(
+        F.count("_s").alias("_n"), F.regr_slope(F.col("_s") - F.col("_before"), F.col("_before")).alias("_slope"))
+    n = F.col("_n")
     reverting = (n >= MIN_HALF_LIFE_ROWS) & (F.col("_slope") < 0)
     life = F.when(reverting, F.lit(-math.log(2)) / F.col("_slope")).otherwise(F.lit(INF))
     return groups.select(*keys, life.alias("half_life"), n.alias("n_obs"))

@@ -104,12 +104,21 @@ def running_max(df: DataFrame, keys: Sequence[str], value: Column, name: str, ts
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], value: str, name: str, ts: str = "ts",
-                 layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
-    """Value of the row before, across chunk borders; NULL on the first row of a series."""
+                 layout: Layout = DEFAULT_LAYOUT, skip_missing: bool = False) -> DataFrame:
+    """Value of the row before, across chunk borders; NULL on the first row of a series. With ``skip_missing`` rows
+    without a value are passed over."""
+    earlier = (Window.unboundedPreceding, -1)
     if layout.fits_one_task:
-        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(ts)))
-    before = F.lag("_last").over(Window.partitionBy(*keys).orderBy(CHUNK))
-    carried = carry_in(with_chunk(df, ts, layout), keys, {"_last": F.max_by(value, ts)}, {"_carry": before})
+        ordered = Window.partitionBy(*keys).orderBy(ts)
+        before = F.last(value, ignorenulls=True).over(ordered.rowsBetween(*earlier)) if skip_missing else F.lag(value).over(ordered)
+        return df.withColumn(name, before)
+    last = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(ts)) if skip_missing else F.col(ts))
+    carry = F.last("_last", ignorenulls=True).over(earlier_chunks(keys)) if skip_missing else \
+        F.lag("_last").over(Window.partitionBy(*keys).orderBy(CHUNK))
+    carried = carry_in(with_chunk(df, ts, layout), keys, {"_last": last}, {"_carry": carry})
     inside = in_chunk(keys, ts)
-    prior = F.when(F.row_number().over(inside) == 1, F.col("_carry")).otherwise(F.lag(value).over(inside))
+    if skip_missing:
+        prior = F.coalesce(F.last(value, ignorenulls=True).over(inside.rowsBetween(*earlier)), F.col("_carry"))
+    else:
+        prior = F.when(F.row_number().over(inside) == 1, F.col("_carry")).otherwise(F.lag(value).over(inside))
     return carried.withColumn(name, prior).drop(CHUNK, "_carry")
