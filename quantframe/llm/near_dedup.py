@@ -149,25 +149,31 @@ def shingle_sets(texts: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _prefix(postings: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """(group, token, id, weight, linked) of (group, token, id, need, linked): each document's rarest tokens, as many as
-    it takes for documents with ``need`` tokens in common to meet in one.
+    """(group, token, id, linked, size, pivot_of) of (group, token, id, need, linked): each document's rarest tokens, as
+    many as it takes for documents with ``need`` tokens in common to meet in one.
 
-    Tokens of one holder come first in the order and never meet another document, so they only shorten the prefix.
-    The weight sums the holders of all tokens: in a group of near copies the text they stem from is the heaviest.
+    Tokens of one holder come first in the order and never meet another document, so they only shorten the prefix. A
+    token's pivot is the heaviest of all its holders, posted under it or not, where the weight sums the holders of all
+    tokens: in a group of near copies that is the text they stem from, for nearly every token they share.
     """
     group = list(group)
     shared = postings.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
     held = postings.join(materialize(shared, "holders"), [*group, "token"]).groupBy(*group, "id", "need", "linked").agg(
         F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("tokens"))
-    first = F.slice("tokens", 1, (F.size("tokens") - F.col("need") + 1).cast("int"))
     weight = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda total, t: total + t["holders"])
-    met = materialize(held.filter(F.size("tokens") >= F.col("need")).select(
-        *group, "id", "linked", weight.alias("weight"), F.explode(F.transform(first, lambda t: t["token"])).alias("token")), "postings")
+    held = materialize(held.filter(F.size("tokens") >= F.col("need")).withColumn("weight", weight), "held")
+    first = F.slice("tokens", 1, (F.size("tokens") - F.col("need") + 1).cast("int"))
+    met = materialize(held.select(*group, "id", "linked", F.explode(F.transform(first, lambda t: t["token"])).alias("token")), "postings")
     # of postings with the same members one is enough
     by = met.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"),
                                           F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("n > 1")
     one = by.groupBy(*group, "n", "x", "y").agg(F.min("token").alias("token")).select(*group, "token", F.col("n").alias("size"))
-    return materialize(met.join(materialize(one, "different"), [*group, "token"]), "met")
+    one = materialize(one, "different")
+    heaviest = held.select(*group, "id", "weight", F.explode(F.transform("tokens", lambda t: t["token"])).alias("token")).join(
+        one.select(*group, "token"), [*group, "token"], "left_semi").groupBy(*group, "token").agg(
+            F.min(F.struct(-F.col("weight"), F.col("id"))).alias("p"))
+    one = materialize(one.join(heaviest, [*group, "token"]).select(*group, "token", "size", F.col("p.id").alias("pivot_of")), "pivots")
+    return materialize(met.join(one, [*group, "token"]), "met")
 
 
 def _members(met: DataFrame, classes: DataFrame, by: list[str]) -> DataFrame:
@@ -178,10 +184,8 @@ def _members(met: DataFrame, classes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _with_pivots(members: DataFrame) -> DataFrame:
-    """Members of each posting beside its pivot, the heaviest of them."""
-    pivots = members.groupBy("token").agg(F.min(F.struct(-F.col("weight"), F.col("id"))).alias("p")).select(
-        "token", F.col("p.id").alias("pivot"))
-    return members.join(materialize(pivots, "pivots"), "token").filter("id <> pivot")
+    """Members of each posting beside its pivot."""
+    return members.withColumn("pivot", F.col("pivot_of")).filter("id <> pivot")
 
 
 def _pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
