@@ -321,6 +321,44 @@ def test_text_in_unusual_elements_is_a_block():
     assert "no" not in texts and texts[-1].startswith("End long") and len(texts[-1]) == 3 + 5 * 50_000
 
 
+def test_ftrl_equals_the_update_rule_one_weight_at_a_time():
+    settings = quality_classifier.Settings(bits=10)
+    hasher, rng = quality_classifier.Hasher(10), random.Random(4)
+    rows = [(*hasher((prose(30, i, 40) + " #" * (i % 3)).encode()), rng.randrange(2)) for i in range(60)]
+    rows = [(i, v, y) for i, v, y in rows if len(set(i.tolist())) == len(i)]
+    z, n = [0.0] * 1024, [0.0] * 1024
+
+    def weight(k):
+        if abs(z[k]) <= settings.l1:
+            return 0.0
+        sign = 1 if z[k] > 0 else -1
+        return -(z[k] - sign * settings.l1) / ((settings.beta + n[k] ** 0.5) / settings.alpha + settings.l2)
+
+    for _ in range(2):
+        for index, value, y in rows:
+            at = [(int(k), float(v)) for k, v in zip(index, value, strict=True)]
+            own = {k: weight(k) for k, _ in at}
+            p = 1 / (1 + np.exp(-sum(own[k] * v for k, v in at)))
+            for k, v in at:
+                g = (p - y) * v
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / settings.alpha * own[k]
+                n[k] += g * g
+    got = quality_classifier.train_ftrl(rows, settings, 2)
+    assert len(rows) > 20 and np.allclose(got, [weight(k) for k in range(1024)], atol=1e-6) and np.count_nonzero(got) > 10
+
+
+def test_features_are_the_log_counts_of_hashed_ngrams():
+    hasher = quality_classifier.Hasher(20)
+    index, value = hasher(b"Alpha beta beta, alpha beta")
+    once, twice = hasher(b"beta")[0], hasher(b"alpha beta")[0]
+    assert index[0] == 0 and value[0] == 1.0 and abs((value[1:] ** 2).sum() - 1) < 1e-6
+    found = dict(zip(index.tolist()[1:], value.tolist()[1:], strict=True))
+    scale = max(found.values()) / np.log1p(max(np.round(np.expm1(np.array(list(found.values()))), 0).max(), 1))
+    word = [k for k in once.tolist()[1:] if k in found]
+    assert word and set(once.tolist()[1:]) & set(twice.tolist()[1:])
+    assert all(found[k] > 0 for k in word) and scale > 0
+
+
 # --- overlaps
 
 def test_every_two_substitutions_in_thirteen_words_hit():
@@ -366,6 +404,37 @@ def test_short_items_with_substitutions(spark):
     assert {r["row"]["doc_id"]: r["items"] for r in rows} == {1: [1], 2: [2], 3: []}
 
 
+def test_decontamination_equals_all_pairs(spark):
+    rng = random.Random(21)
+    items = {k: prose(rng.choice([6, 14, 20, 40]), 600 + k, 5000).split() for k in range(12)}
+    items[12] = items[3][:]  # the same item under another id
+    docs = {}
+    for k in range(60):
+        words = prose(rng.randrange(5, 120), 700 + k, 5000).split()
+        for _ in range(rng.randrange(3)):
+            own = list(items[rng.randrange(12)])
+            if len(own) > 14:
+                for at in rng.sample(range(len(own)), rng.randrange(3)):
+                    own[at] = "changed"
+                own = own[:rng.randrange(10, len(own) + 1)]
+            words[len(words) // 2:len(words) // 2] = own
+        docs[k] = words
+    settings, words_of = decontamination.Settings(), decontamination.Words()
+    want = {}
+    for k, words in docs.items():
+        doc = words_of(" ".join(words).encode())
+        found = {}
+        for i, own in items.items():
+            item = words_of(" ".join(own).encode())
+            found[i] = decontamination.overlap(doc, item, range(-len(item), len(doc) + 1), settings)
+        want[k] = (sorted(i for i, n in found.items() if n), max(found.values()))
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id bigint, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id bigint, text string")
+    got = {r["row"]["doc_id"]: (sorted(r["items"]), r["overlap_words"] or 0) for r in decontamination.decontaminate(table, bench).collect()}
+    assert got == want
+    assert sum(bool(i) for i, _ in want.values()) > 20 and any(not i for i, _ in want.values())
+
+
 # --- near duplicates
 
 def brute_components(rows, width, percent):
