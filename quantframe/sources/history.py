@@ -108,9 +108,9 @@ def upsert_history(incoming: DataFrame, path: str, metadata: Mapping[str, object
 
     Incoming records win over stored ones; among incoming ones ``order_by`` decides. ``key=None``
     appends without removing duplicates. An empty batch changes nothing. The merged partitions are
-    written beside the table first, because a path cannot be read and replaced in one job; running
-    an interrupted batch again gives the same table. ``table_schema`` saves the pass that merges the
-    stored files' schemas.
+    written beside the table first, because a path cannot be read and replaced in one job. Running a finished batch
+    again gives the same table, but a crash while partitions are replaced can lose stored rows: ``UpsertLog`` is
+    the form that cannot. ``table_schema`` saves the pass that merges the stored files' schemas.
     """
     spark = incoming.sparkSession
     batch = with_metadata(incoming, metadata or {}, fetched_at)
