@@ -236,7 +236,8 @@ def _join_classes(pairs: DataFrame, sets: DataFrame, classes: DataFrame, setting
     """Classes after trying the pairs (a, b, hits): of each document first its best pair, then all pairs that are still
     between classes."""
     for best in (True, False):
-        left = _between(pairs, classes)
+        # pairs come between classes, so they only have to be looked through again once some are joined
+        left = pairs if best else _between(pairs, classes)
         if best:
             ends = left.select(F.explode(F.array("a", "b")).alias("id"), F.struct("hits", "a", "b").alias("pair"))
             left = ends.groupBy("id").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
