@@ -166,7 +166,7 @@ class PairIndexEncoder:
 
 
 class TextEncoder:
-    """Ids of whole texts. Each distinct chunk has one cached entry."""
+    """Ids of whole texts. Each distinct chunk has one cached entry, its ids as 32-bit numbers."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.merge = vocabulary, PairIndexEncoder(vocabulary)
@@ -175,7 +175,7 @@ class TextEncoder:
         self.special = regex.compile("|".join(map(regex.escape, vocabulary.special)) or r"(?!)")
         self.exact = pre_tokenizers.Split(Regex(vocabulary.pattern), "removed", invert=True)
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
-        self.known: dict[bytes, list[int]] = {b"": []}
+        self.known: dict[bytes, bytes] = {b"": b""}
 
     def _words(self, text: str) -> list[str]:
         """Words of a text without special tokens, after the vocabulary's normalisation."""
@@ -206,8 +206,8 @@ class TextEncoder:
         distinct = list({*found, *(w for ws in parts for w in ws if isinstance(w, str))}.difference(("\n",)))
         entries = dict(zip(distinct, self._entries(distinct), strict=True))
         for m in {w for ws in parts for w in ws if not isinstance(w, str)}:
-            entries[m] = [m]
-        known, join = self.known, self.join
+            entries[m] = np.int32(m).tobytes()
+        known, join = self.known, b"".join
         for c, ws in zip(rare, parts, strict=True):
             known[c] = join([entries[w] for w in ws])
         chunk, own = iter(plain), []
@@ -224,14 +224,9 @@ class TextEncoder:
         if not words:
             return []
         ids, counts = self.merge([w.encode() for w in words])
-        flat, ends = ids.tolist(), np.cumsum(counts).tolist()
+        flat, ends = ids.astype(np.int32).tobytes(), (np.cumsum(counts) * 4).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    @staticmethod
-    def join(entries: list[list[int]]) -> list[int]:
-        """The ids of a chunk of several words."""
-        return [i for e in entries for i in e]
-
     def chunks(self, texts: list[bytes]) -> list[list[bytes]]:
         """Chunks of each text, all of them known on return."""
         cut = [chunks_of(t) for t in texts]
@@ -265,10 +260,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: li
         encoder = _encoder(shared.value)
 
         def compute(texts: list[bytes]):
-            out = []
-            for cs in encoder.chunks(texts):
-                out.append([i for c in cs for i in encoder.known[c]])
-            return [out]
+            ids = [b"".join(map(encoder.known.__getitem__, cs)) for cs in encoder.chunks(texts)]
+            ends = np.cumsum([0, *map(len, ids)]) // 4
+            flat = np.frombuffer(b"".join(ids), dtype=np.int32)
+            return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))]
 
         return compute
 
