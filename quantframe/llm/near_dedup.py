@@ -16,8 +16,10 @@ inside one class, where they need not be tried.
 Rest. Where a posting of up to ``few`` documents still holds several classes, its pairs between classes are tried. The
 documents of a longer one are posted anew under what tells them from the
 pivot. Two linked documents must have about half of these differences in common (``_differences`` has the exact
-bounds), so the unrelated changes that thousands of near copies have made to one text do not meet, and no pairs are
-formed among them. So every link between different classes is tried, and none inside a class need be.
+bounds). Near copies that happen to have changed the same words still meet there, more of them the larger the group;
+parity sketches of their sets, which bound from below how far two sets are apart, tell nearly all of these apart inside
+the join, so that few pairs besides the links leave it. So every link between different classes is tried, and none
+inside a class need be.
 
 Texts are keyed by id and a 128-bit hash: rows of one id with different texts are different documents.
 
@@ -52,6 +54,8 @@ NEAR = 0.5
 KEY = ["doc", "t1", "t2"]
 #: Size of the table that sorts out most rows before a join by key: a megabyte of bits.
 SIFT_BITS = 23
+#: Bits of a parity sketch.
+SKETCH_BITS = 1024
 
 
 @dataclass(frozen=True)
@@ -102,6 +106,14 @@ def signature(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return least.astype(np.uint32).view(np.int32)
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each bit, as int64 words. The sketches of two sets differ in one bit
+    for each shingle that one of them has alone, at most."""
+    place = ((shingles.view(np.uint64) * MIX) >> np.uint64(32)) % np.uint64(SKETCH_BITS)
+    odd = (np.bincount(place.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _arrays(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """A list array without a Python object per element."""
     offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
@@ -192,9 +204,32 @@ def _pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
     return rows.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
 
 
+def _sketched(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members with the size ``n`` and the parity sketch of their sets."""
+    ship_package(sets.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [batch.column(1)[i].values.to_numpy() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([len(v) for v in values], pa.int64()),
+                _arrays([parity_sketch(v) for v in values], pa.int64())], ["id", "n", "sketch"])
+
+    wanted = sets.join(materialize(members.select("id").distinct(), "ids"), "id").select("id", "set")
+    sketches = materialize(wanted.mapInArrow(run, "id bigint, n bigint, sketch array<bigint>"), "sketches")
+    return materialize(members.join(sketches, "id"), "sketched")
+
+
+def _near_enough(settings: Settings) -> str:
+    """SQL condition that linked sets of ``n`` and ``n_b`` shingles meet. They are apart by at most gap |x | y|, which is
+    gap (|x| + |y|) / (2 - gap), with gap = 1 - percent / 100; their sketches differ in no more bits."""
+    apart = " + ".join(f"bit_count(sketch[{i}] ^ sketch_b[{i}])" for i in range(SKETCH_BITS // 64))
+    return f"({apart}) * (100 + {settings.percent}) <= (n + n_b) * (100 - {settings.percent})"
+
+
 def _meeting(members: DataFrame, by: list[str], allowed: str = "true") -> DataFrame:
-    """Pairs of members of one posting in different classes."""
-    others = members.select(*by, F.col("id").alias("id_b"), F.col("class").alias("class_b"), F.col("linked").alias("linked_b"))
+    """Pairs of members of one posting in different classes; ``allowed`` may name the other member's columns by _b."""
+    others = members.select(*by, *(F.col(c).alias(f"{c}_b") for c in members.columns if c not in by))
     met = members.join(others, by).filter((F.col("id") < F.col("id_b")) & (F.col("class") != F.col("class_b")) & F.expr(allowed))
     return _pairs(met, "id", "id_b")
 
@@ -321,8 +356,8 @@ def _link_classes(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], se
     if rest.isEmpty():
         return classes
     apart = _prefix(_differences(rest, sets, settings), ["pivot", "kind"])
-    members = _members(apart, classes, ["pivot", "kind", "token"])
-    tried = _meeting(members, ["pivot", "kind", "token"], f"kind <> {BESIDE} OR linked <> linked_b")
+    members = _sketched(_members(apart, classes, ["pivot", "kind", "token"]), sets)
+    tried = _meeting(members, ["pivot", "kind", "token"], f"(kind <> {BESIDE} OR linked <> linked_b) AND {_near_enough(settings)}")
     return _join_classes(_collided(tried, reps, settings), sets, classes, settings)
 
 

@@ -544,6 +544,47 @@ def test_unrelated_changes_of_a_text_make_no_pairs(spark):
     assert seen[-1] < 400  # of 80,000 pairs
 
 
+def test_sketches_never_tell_linked_sets_apart():
+    rng = np.random.default_rng(8)
+    for turn in range(2000):
+        x = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 3000)), dtype=np.uint64))
+        y = np.unique(np.append(x[rng.random(len(x)) < 0.9], rng.integers(0, 1 << 63, int(rng.integers(0, 300)), dtype=np.uint64)))
+        bits = sum(int(w & 0xFFFFFFFFFFFFFFFF).bit_count() for w in
+                   (near_dedup.parity_sketch(x) ^ near_dedup.parity_sketch(y)).tolist())
+        apart, common = len(np.setxor1d(x, y)), len(np.intersect1d(x, y))
+        assert bits <= apart
+        percent = (80, 85)[turn % 2]
+        if common * 100 >= percent * (len(x) + len(y) - common):
+            assert bits * (100 + percent) <= (len(x) + len(y)) * (100 - percent)
+
+
+def test_changes_of_the_same_words_make_few_pairs(spark):
+    rng = random.Random(37)
+    base = prose(200, 61, 3000).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 400):
+        words = list(base)
+        for at in rng.sample(range(0, 200, 2), 18):
+            words[at] = f"q{at}x{rng.randrange(2)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, f"{rows[7][1]} tail{i}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    settings, seen = near_dedup.Settings(width=3, percent=85), []
+
+    def watched(*args):
+        pairs = meeting(*args)
+        seen.append(pairs.count())
+        return pairs
+
+    meeting, near_dedup._meeting = near_dedup._meeting, watched
+    try:
+        got = by_id(near_dedup.near_duplicates(docs, settings=settings))
+    finally:
+        near_dedup._meeting = meeting
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_components(rows, 3, 85)
+    assert seen[-1] < 400  # of 80,000 pairs
+
+
 def test_rows_of_one_id_with_other_texts_are_other_documents(spark):
     a, b, c = prose(80, 71), prose(80, 72), prose(80, 73)
     rows = [(1, a, "x"), (1, b, "x"), (1, b, "y"), (2, a, "x"), (3, c, "x"), (4, b + " end", "x"), (None, a, "x"), (5, None, "x"), (5, None, "z")]
