@@ -160,9 +160,9 @@ def shingle_sets(texts: DataFrame, settings: Settings) -> DataFrame:
     return map_texts(texts, "text", make, [field("set", "array<bigint>")], keep=["id"], limit=1 << 20).select("row.id", "set")
 
 
-def _prefix(postings: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+def _prefix(postings: DataFrame, group: Sequence[str] = (), pivots: bool = True) -> DataFrame:
     """(group, token, id, linked, size, pivot_of) of (group, token, id, need, linked): each document's rarest tokens, as
-    many as it takes for documents with ``need`` tokens in common to meet in one.
+    many as it takes for documents with ``need`` tokens in common to meet in one. ``pivot_of`` only with ``pivots``.
 
     Tokens of one holder come first in the order and never meet another document, so they only shorten the prefix. A
     token's pivot is the heaviest of all its holders, posted under it or not, where the weight sums the holders of all
@@ -181,6 +181,8 @@ def _prefix(postings: DataFrame, group: Sequence[str] = ()) -> DataFrame:
                                           F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("n > 1")
     one = by.groupBy(*group, "n", "x", "y").agg(F.min("token").alias("token")).select(*group, "token", F.col("n").alias("size"))
     one = materialize(one, "different")
+    if not pivots:
+        return materialize(met.join(one, [*group, "token"]), "met")
     heaviest = held.select(*group, "id", "weight", F.explode(F.transform("tokens", lambda t: t["token"])).alias("token")).join(
         one.select(*group, "token"), [*group, "token"], "left_semi").groupBy(*group, "token").agg(
             F.min(F.struct(-F.col("weight"), F.col("id"))).alias("p"))
@@ -355,7 +357,7 @@ def _link_classes(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], se
     classes = _join_classes(pairs, sets, classes, settings)
     if rest.isEmpty():
         return classes
-    apart = _prefix(_differences(rest, sets, settings), ["pivot", "kind"])
+    apart = _prefix(_differences(rest, sets, settings), ["pivot", "kind"], pivots=False)
     members = _sketched(_members(apart, classes, ["pivot", "kind", "token"]), sets)
     tried = _meeting(members, ["pivot", "kind", "token"], f"(kind <> {BESIDE} OR linked <> linked_b) AND {_near_enough(settings)}")
     return _join_classes(_collided(tried, reps, settings), sets, classes, settings)

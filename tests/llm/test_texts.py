@@ -585,6 +585,16 @@ def test_changes_of_the_same_words_make_few_pairs(spark):
     assert seen[-1] < 400  # of 80,000 pairs
 
 
+def test_differences_are_met_without_pivots(spark, monkeypatch):
+    rows = [(0, 0, t, i, 1, False) for i in range(4) for t in (1, 2, 3 + i)]
+    postings = spark.createDataFrame(rows, "pivot bigint, kind int, token bigint, id bigint, need bigint, linked boolean")
+    steps, materialize = [], near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, name: (steps.append(name), materialize(df, name))[1])
+    met = near_dedup._prefix(postings, ["pivot", "kind"], pivots=False)
+    assert "pivot_of" not in met.columns and "pivots" not in steps
+    assert sorted(r["id"] for r in met.collect()) == [0, 1, 2, 3]  # tokens 1 and 2 have the same members
+
+
 def test_rows_of_one_id_with_other_texts_are_other_documents(spark):
     a, b, c = prose(80, 71), prose(80, 72), prose(80, 73)
     rows = [(1, a, "x"), (1, b, "x"), (1, b, "y"), (2, a, "x"), (3, c, "x"), (4, b + " end", "x"), (None, a, "x"), (5, None, "x"), (5, None, "z")]
