@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import sys
+import tracemalloc
 import zlib
 
 import duckdb
@@ -686,6 +687,33 @@ def test_training_covers_every_token(spark):
     assert len(rows) == 5 and len({r["shard"] for r in rows if r["key"] == 7}) > 1
 
 
+def test_training_holds_one_number_per_token():
+    settings = language_model.Settings(words=300, size=8, draws=1)
+    rng = np.random.default_rng(5)
+    v, n = settings.outputs, 400_000
+    keys = np.unique(rng.integers(0, v ** 3, n))
+    unigram = np.full(v, 1 / v)
+    params = language_model.new_params(unigram, settings)
+    tracemalloc.start()
+    try:
+        language_model.train_shard(keys, np.ones(len(keys), dtype=np.int64), params, unigram, settings, 1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 24 * n
+
+
+def test_shards_hold_all_keys_and_shuffle_packed_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(k), int(c)) for k, c in zip(rng.integers(0, 500, 5000), rng.integers(1, 9000, 5000), strict=True)]
+    contexts = spark.createDataFrame(rows, "key bigint, n bigint").repartition(3)
+    dealt = language_model._dealt(contexts, 4).localCheckpoint()
+    want = {(r["shard"], r["key"]): r["n"] for r in dealt.groupBy("shard", "key").agg(F.sum("n").alias("n")).collect()}
+    table = language_model._shard_table(dealt)
+    got = {(r["number"], k): n for r in table.collect() for k, n in zip(*(x.tolist() for x in language_model._unpacked(r["data"])), strict=True)}
+    assert got == want and table.count() == 4
+
+
 # --- pipeline
 
 @needs_data
