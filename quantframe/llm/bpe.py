@@ -35,6 +35,8 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 from quantframe.llm.common import chunks_of, field, map_texts
 
 CACHE = 250_000
+#: Ids decoded at a time.
+BLOCK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -63,6 +65,11 @@ class Vocabulary:
         """Text of each id."""
         return {**{i: t for t, i in self.ids.items()}, **{i: t for t, i in self.special.items()}}
 
+    @property
+    def text_list(self) -> list[str]:
+        """Texts in the order of ids, empty for ids without one."""
+        return [self.texts.get(i, "") for i in range(max(self.texts, default=-1) + 1)]
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself where printable, else the next from U+0100."""
@@ -177,6 +184,10 @@ class TextEncoder:
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
         self.known: dict[bytes, bytes] = {b"": b""}
 
+    @cached_property
+    def texts(self) -> pa.Array:
+        return pa.array(self.v.text_list, pa.string())
+
     def _words(self, text: str) -> list[str]:
         """Words of a text without special tokens, after the vocabulary's normalisation."""
         if not unicodedata.is_normalized("NFC", text):
@@ -252,50 +263,70 @@ def _encoder(vocabulary: Vocabulary) -> TextEncoder:
     return _ENCODERS[key]
 
 
+def _ids(encoder: TextEncoder, texts: list[bytes]) -> pa.Array:
+    """Lists of the ids of each text."""
+    ids = [b"".join(map(encoder.known.__getitem__, cs)) for cs in encoder.chunks(texts)]
+    ends = np.cumsum([0, *map(len, ids)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+
+
+def _decoded(column: pa.Array, texts: pa.Array, block: int) -> pa.Array:
+    """Text of each list of ids; NULL for NULL. About ``block`` ids are looked up and joined at a time."""
+    done, start = [], 0
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy().astype(np.int64)
+    upto = np.append(0, np.cumsum(sizes))
+    while start < len(column):
+        # rows of about ``block`` ids at a time, or one longer row
+        end = max(start + 1, int(np.searchsorted(upto, upto[start] + block, side="right")) - 1)
+        part = column.slice(start, end - start)
+        offsets = pa.array((upto[start:end + 1] - upto[start]).astype(np.int32))
+        words = pa.ListArray.from_arrays(offsets, texts.take(part.flatten()))
+        joined = pa.compute.binary_join(words, " ")
+        done.append(pa.compute.if_else(part.is_valid(), joined, pa.scalar(None, pa.string())))
+        start = end
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Struct ``row`` of the kept columns, and ``ids`` of each text."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make():
         encoder = _encoder(shared.value)
-
-        def compute(texts: list[bytes]):
-            ids = [b"".join(map(encoder.known.__getitem__, cs)) for cs in encoder.chunks(texts)]
-            ends = np.cumsum([0, *map(len, ids)]) // 4
-            flat = np.frombuffer(b"".join(ids), dtype=np.int32)
-            return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))]
-
-        return compute
+        return lambda texts: [_ids(encoder, texts)]
 
     return map_texts(docs, text, make, [field("ids", "array<int>")], keep=keep, limit=1 << 20)
 
 
-def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded", block: int = 1 << 20) -> DataFrame:
-    """The input with the text of each row's ids; NULL ids give NULL. About ``block`` ids are looked up and joined at a time."""
-    size = max(vocabulary.texts, default=-1) + 1
-    shared = encoded.sparkSession.sparkContext.broadcast([vocabulary.texts.get(i, "") for i in range(size)])
+def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded", block: int = BLOCK) -> DataFrame:
+    """The input with the text of each row's ids; NULL ids give NULL."""
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary.text_list)
 
     @F.arrow_udf("string")
     def text_of(column: pa.Array) -> pa.Array:
-        texts, done, start = pa.array(shared.value), [], 0
-        sizes = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy().astype(np.int64)
-        upto = np.append(0, np.cumsum(sizes))
-        while start < len(column):
-            # rows of about ``block`` ids at a time, or one longer row
-            end = max(start + 1, int(np.searchsorted(upto, upto[start] + block, side="right")) - 1)
-            part = column.slice(start, end - start)
-            offsets = pa.array((upto[start:end + 1] - upto[start]).astype(np.int32))
-            words = pa.ListArray.from_arrays(offsets, texts.take(part.flatten()))
-            joined = pa.compute.binary_join(words, " ")
-            done.append(pa.compute.if_else(part.is_valid(), joined, pa.scalar(None, pa.string())))
-            start = end
-        return pa.concat_arrays(done) if done else pa.array([], pa.string())
+        return _decoded(column, pa.array(shared.value), block)
 
     return encoded.withColumn(out, text_of(ids))
 
 
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``decode`` after ``encode`` in one Python step, so that a core holds one worker instead of two."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def make():
+        encoder = _encoder(shared.value)
+
+        def compute(texts: list[bytes]):
+            ids = _ids(encoder, texts)
+            return [ids, _decoded(ids, encoder.texts, BLOCK)]
+
+        return compute
+
+    return map_texts(docs, text, make, [field("ids", "array<int>"), field("decoded", "string")], keep=keep, limit=1 << 20)
+
+
 def digests(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Struct ``row``, ids, decoded text, n_tokens, and the digests of the ids as decimals and of the decoded text."""
-    done = decode(encode(docs, vocabulary, text, keep), vocabulary)
+    done = round_trip(docs, vocabulary, text, keep)
     return done.select("row", "ids", "decoded", F.size("ids").cast("bigint").alias("n_tokens"),
                        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

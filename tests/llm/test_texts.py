@@ -217,6 +217,12 @@ def test_bpe_digests_and_decoding(spark, awkward, nothing, vocabulary):
         assert all(r["decoded"] == (None if r["ids"] is None else library.decode(r["ids"], skip_special_tokens=False)) for r in got)
 
 
+def test_digests_take_one_python_step(awkward):
+    done = bpe.digests(awkward, bpe.Vocabulary.read(PATH))
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
 def test_packed_ids_round_trip():
     rng = np.random.default_rng(2)
     for ids in (np.zeros(0, np.uint32), np.array([7], np.uint32), rng.integers(0, 49_000, 5001).astype(np.uint32),
