@@ -720,6 +720,28 @@ def test_shards_hold_all_keys_and_shuffle_packed_rows(spark):
     assert got == want and table.count() == 4
 
 
+def test_merging_a_shard_holds_little():
+    rng = np.random.default_rng(7)
+    n = 600_000
+    parts = []
+    for _ in range(30):
+        keys, counts = np.unique(rng.integers(0, 10 ** 9, n // 30), return_counts=True)
+        parts.append(language_model._packed(keys, counts))
+    keys, counts = (np.concatenate(x) for x in zip(*map(language_model._unpacked, parts), strict=True))
+    tracemalloc.start()
+    try:
+        data = language_model._merged(parts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    want, back = np.unique(keys, return_inverse=True)
+    got, times = language_model._unpacked(data)
+    assert got.tolist() == want.tolist() and times.tolist() == np.bincount(back, counts).astype(int).tolist()
+    assert peak < 45 * n
+    met = language_model._met(np.array([5, 7, 26]), np.array([2, 1, 4]), np.array([0, 1, 3]))
+    assert met["output"].tolist() == [0, 1, 6] and met["context"].tolist() == [3, 2, 9]
+
+
 # --- pipeline
 
 @needs_data
