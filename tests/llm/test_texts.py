@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -742,6 +743,118 @@ def test_merging_a_shard_holds_little():
     assert met["output"].tolist() == [0, 1, 6] and met["context"].tolist() == [3, 2, 9]
 
 
+def test_a_training_step_equals_the_plain_formula():
+    settings = language_model.Settings(words=40, size=6, noise=5, batch=1000)
+    rng = np.random.default_rng(8)
+    v = settings.outputs
+    keys = rng.zipf(1.3, (3, 900)).clip(1, v).astype(np.int64) - 1
+    keys = (keys[0] * v + keys[1]) * v + keys[2]
+    unigram = rng.random(v)
+    unigram /= unigram.sum()
+    params = language_model.new_params(unigram, settings)
+    params["place"] = rng.random(params["place"].shape).astype(np.float32)
+    got = language_model._train(keys.copy(), params, unigram, settings, 3)
+    draw, edges = np.random.default_rng(3), params["edges"]
+    draw.shuffle(keys)
+    token, one, two = keys % v, keys // v % v, keys // v // v
+    r1, r2 = params["context"][one].astype(float), params["context"][two].astype(float)
+    h = np.column_stack([r1 * params["place"][0] + r2 * params["place"][1], np.ones(len(keys))])
+    grads = {k: np.zeros(x.shape) for k, x in params.items() if k != "edges"}
+    d_h = 0
+    for name, share, right in (("output", unigram, token), ("classes", np.add.reduceat(unigram, edges[:-1]), np.searchsorted(edges, token, side="right") - 1)):
+        upto = np.cumsum(share) / share.sum()
+        noise = np.minimum(np.searchsorted(upto, draw.random(settings.noise), side="right"), len(upto) - 1)
+        q, base = params[name].astype(float), np.log(settings.noise * share)
+        a = 1 / (1 + np.exp((h * q[right]).sum(axis=1) - base[right]))
+        b = -1 / (1 + np.exp(-(h @ q[noise].T - base[noise])))
+        np.add.at(grads[name], right, a[:, None] * h)
+        np.add.at(grads[name], noise, b.T @ h)
+        d_h = d_h + (a[:, None] * q[right] + b @ q[noise])[:, :-1]
+    np.add.at(grads["context"], one, d_h * params["place"][0])
+    np.add.at(grads["context"], two, d_h * params["place"][1])
+    grads["place"] += np.stack([(d_h * r1).sum(axis=0), (d_h * r2).sum(axis=0)])
+    for name, g in grads.items():
+        want = params[name] + settings.rate * g / np.sqrt(1e-3 + g * g)
+        assert np.allclose(got[name][:, :want.shape[1]], want, atol=2e-4), name
+
+
+def test_runs_of_all_lengths_are_added_up():
+    rng = np.random.default_rng(9)
+    for n, kinds in ((1, 1), (10, 1), (3000, 30), (3000, 2000), (6, 6), (7, 1), (8, 2)):
+        rows, grad = rng.integers(0, kinds, n), rng.normal(size=(n, 5)).astype(np.float32)
+        order, first, distinct, at = language_model._grouped(rows)
+        assert distinct.tolist() == np.unique(rows).tolist() and (distinct[at] == rows).all()
+        want = np.zeros((kinds, 5))
+        np.add.at(want, rows, grad)
+        assert np.allclose(language_model._sums(grad[order], first), want[distinct], atol=1e-4)
+
+
+def test_shards_of_a_task_send_their_changes_once():
+    class Shared:
+        pass
+
+    settings = language_model.Settings(words=30, size=4, draws=1)
+    rng = np.random.default_rng(10)
+    v = settings.outputs
+    unigram = np.full(v, 1 / v)
+    shared = Shared()
+    shared.value = params = language_model.new_params(unigram, settings)
+    shards = [np.unique(rng.integers(0, v ** 3, 400), return_counts=True) for _ in range(5)]
+    batch = pa.RecordBatch.from_pydict({"number": pa.array(range(5), pa.int32()), "tokens": [int(s[1].sum()) for s in shards], "data": pa.array([language_model._packed(*s) for s in shards], pa.binary())})
+    run = language_model._round(shared, unigram, settings, 0)
+    together = pa.Table.from_batches(run([batch])).to_pylist()
+    apart = [r for i in range(5) for r in pa.Table.from_batches(run([batch.slice(i, 1)])).to_pylist()]
+    assert len(apart) == 20 and sorted(r["name"] for r in together) == ["classes", "context", "output", "place"]
+    for r in together:
+        parts = [p for p in apart if p["name"] == r["name"]]
+        schema = pa.schema({"name": pa.string(), "block": pa.int32(), "rows": pa.binary(), "weight": pa.binary(), "change": pa.binary()})
+        want, = language_model._average(pa.Table.from_pylist(parts, schema)).to_pylist()
+        assert want["rows"] == r["rows"]
+        assert np.allclose(np.frombuffer(want["change"], np.float16), np.frombuffer(r["change"], np.float16), atol=2e-3)
+
+
+def test_a_shard_comes_in_small_rows(spark, monkeypatch):
+    settings = language_model.Settings(words=30, draws=5000)
+    keys, n = np.unique(np.random.default_rng(11).integers(0, settings.outputs ** 3, 900), return_counts=True)
+    edges, size = np.array([0, 4, settings.outputs]), len(language_model._packed(keys, n))
+    monkeypatch.setattr(language_model, "PIECE", 100)
+    parts = [language_model._packed(keys[a:a + 350], n[a:a + 350]) for a in range(0, len(keys), 350)]
+    rows = [(language_model._packed(keys[a:a + 100], n[a:a + 100])) for a in range(0, len(keys), 100)]
+    merged = language_model._merged_keys(parts)
+    assert (merged[0] == keys).all() and (merged[1] == n).all() and max(map(len, rows)) < size / 4
+    batches = [pa.RecordBatch.from_pydict({"number": pa.array([i], pa.int32()), "tokens": [int(n.sum())], "data": pa.array([r], pa.binary())})
+               for i in (3, 4) for r in rows]
+    shards = list(language_model._shards(iter(batches), edges, settings))
+    assert [s.number for s in shards] == [3, 4]
+    for s in shards:
+        assert sorted(s.drawn[:s.filled]) == sorted(language_model._drawn(keys, n, settings)) and s.filled == len(s.drawn)
+        assert all((x == s.met[k]).all() for k, x in language_model._met(keys, n, edges).items() if k != "place")
+
+
+def test_counted_contexts_are_dealt_by_the_task(spark):
+    texts = ["a b a b c"] * 3000 + [f"w{i} x{i}" for i in range(500)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    words = (b"a", b"b", b"c")
+    ids = [language_model._keys(language_model._ids(language_model.words_of((t or "").encode()), {b"a": 1, b"b": 2, b"c": 3}, 4), 5) for t in texts]
+    packed = language_model.count_contexts(docs, "text", words, 5, 4)
+    assert packed.columns == ["shard", "data"] and packed.count() <= 3 * 4
+    table = language_model._merged_shards(packed).collect()
+    got = {}
+    for r in table:
+        for k, n in zip(*(x.tolist() for x in language_model._unpacked(r["data"])), strict=True):
+            got[k] = got.get(k, 0) + n
+    keys, n = np.unique(np.concatenate(ids), return_counts=True)
+    assert got == dict(zip(keys.tolist(), n.tolist(), strict=True))
+    keys, n, shard = language_model._dealt_keys(np.array([5, 7, 9]), np.array([1, 3 * language_model.PART + 5, 17]), 50, 2)
+    assert n[keys == 7].tolist() == [language_model.PART] * 3 + [5] and len(set(shard[keys == 7].tolist())) > 1
+
+
+def test_word_hashes_are_those_of_spark(spark):
+    words = [b"", b"a", "wörter".encode(), b"x" * 100]
+    rows = spark.createDataFrame([(w,) for w in words], "w binary").select("w", F.xxhash64("w").alias("h")).collect()
+    assert all(language_model.word_hash(bytes(r["w"])) == r["h"] for r in rows)
+
+
 # --- pipeline
 
 @needs_data
