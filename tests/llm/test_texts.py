@@ -849,6 +849,74 @@ def test_counted_contexts_are_dealt_by_the_task(spark):
     assert n[keys == 7].tolist() == [language_model.PART] * 3 + [5] and len(set(shard[keys == 7].tolist())) > 1
 
 
+def test_equal_tokens_are_trained_as_one_row():
+    settings = language_model.Settings(words=40, size=6, noise=5, batch=9000)
+    rng = np.random.default_rng(12)
+    v = settings.outputs
+    keys, n = np.unique(rng.zipf(1.2, 3000).clip(1, v ** 3) - 1, return_counts=True)
+    drawn = np.repeat(keys, n)
+    keys, times = language_model._together(drawn)
+    assert (np.repeat(keys, times) == drawn).all() and times.max() == language_model.TOGETHER and len(keys) < len(drawn) * 0.7
+    unigram = rng.random(v)
+    unigram /= unigram.sum()
+    params = language_model.new_params(unigram, settings)
+    got = language_model._train(keys, params, unigram, settings, 3, times)
+    # one step over all tokens by the plain formula, with the noise that is drawn for that many rows
+    draw = np.random.default_rng(3)
+    draw.shuffle(np.empty(len(keys)))
+    token, one, two = drawn % v, drawn // v % v, drawn // v // v
+    h = np.column_stack([params["context"][one].astype(float) + params["context"][two], np.ones(len(drawn))])
+    d_h, classes = 0, np.searchsorted(params["edges"], token, side="right") - 1
+    for name, share, right in (("output", unigram, token), ("classes", np.add.reduceat(unigram, params["edges"][:-1]), classes)):
+        noise = np.minimum(np.searchsorted(np.cumsum(share) / share.sum(), draw.random(settings.noise), side="right"), len(share) - 1)
+        q, base, g = params[name].astype(float), np.log(settings.noise * share), np.zeros(params[name].shape)
+        a = 1 / (1 + np.exp((h * q[right]).sum(axis=1) - base[right]))
+        b = -1 / (1 + np.exp(-(h @ q[noise].T - base[noise])))
+        np.add.at(g, right, a[:, None] * h)
+        np.add.at(g, noise, b.T @ h)
+        d_h = d_h + (a[:, None] * q[right] + b @ q[noise])[:, :-1]
+        want = params[name] + settings.rate * g / np.sqrt(1e-3 + g * g)
+        assert np.allclose(got[name][:, :want.shape[1]], want, atol=2e-3), name
+    g = np.zeros(params["context"].shape)
+    np.add.at(g, one, d_h)
+    np.add.at(g, two, d_h)
+    assert np.allclose(got["context"][:, :settings.size], params["context"] + settings.rate * g / np.sqrt(1e-3 + g * g), atol=2e-3)
+
+
+def test_words_of_many_texts_are_those_of_each(spark):
+    texts = ["", " a", "A b  C ", None, "\t\nx\x0by\x0cz\r", "Ünï Ä\u00a0b \x1c c\u2003d", "you 你好 A", " " * 5, "one"]
+    words, sizes = language_model.split_words(pa.array(texts * 2).slice(1, 12))
+    want = [language_model.words_of((t or "").encode()) for t in (texts * 2)[1:13]]
+    assert words.to_pylist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+    known = sorted(set(words.to_pylist()))[::2]
+    places = language_model.word_places(words, pa.array(known, pa.binary()))
+    assert places.tolist() == [known.index(w) if w in known else len(known) for w in words.to_pylist()]
+    ids = [language_model._ids(w, {k: i for i, k in enumerate(known, 1)}, len(known) + 1) for w in want]
+    keys = np.concatenate([language_model._keys(i, len(known) + 2) for i in ids])
+    assert (language_model._text_keys(places + 1, sizes, len(known) + 2) == keys).all()
+    odd = spark.sql("select cast(X'61ff2062' as string) t union all select 'a b'")  # not UTF-8
+    assert {bytes(r["word"]): r["n"] for r in language_model.count_words(odd, "t").collect()} == {b"a\xff": 1, b"a": 1, b"b": 2}
+
+
+def test_shared_parts_give_the_plain_softmax():
+    rng = np.random.default_rng(13)
+    settings = language_model.Settings(words=60, size=8)
+    v = settings.outputs
+    unigram = rng.random(v) + 0.01
+    for scale in (1, 8, 60):  # the largest leaves the range of 32 bits
+        params = language_model.new_params(unigram / unigram.sum(), settings)
+        params["context"] *= 10 * scale
+        keys = np.unique(rng.zipf(1.1, 9000).clip(1, v ** 3) - 1)
+        params64 = {k: x if k == "edges" else x.astype(float) for k, x in params.items()}
+        h = np.column_stack([params64["context"][keys // v % v] + params64["context"][keys // v // v], np.ones(len(keys))])
+        group = np.searchsorted(params["edges"], keys % v, side="right") - 1
+        classes, outputs = h @ params64["classes"].T, h @ params64["output"].T
+        inside = np.repeat(np.arange(len(params["edges"]) - 1), np.diff(params["edges"]))[None] == group[:, None]
+        want = classes[np.arange(len(keys)), group] - np.logaddexp.reduce(classes, axis=1)
+        want += outputs[np.arange(len(keys)), keys % v] - np.logaddexp.reduce(np.where(inside, outputs, -np.inf), axis=1)
+        assert np.allclose(language_model.log_probs(params, keys), want, rtol=1e-4, atol=1e-4)
+
+
 def test_word_hashes_are_those_of_spark(spark):
     words = [b"", b"a", "wörter".encode(), b"x" * 100]
     rows = spark.createDataFrame([(w,) for w in words], "w binary").select("w", F.xxhash64("w").alias("h")).collect()
